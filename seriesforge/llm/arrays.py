@@ -180,3 +180,9 @@ def equal_runs(x: np.ndarray) -> list[tuple[int, int]]:
         return []
     edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))).tolist()
     return list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def key_shift(width: int) -> np.uint64:
+    """Keys sent between `width` buckets keep so many upper bits that about one in thirty meets
+    another by chance, whatever the width."""
+    return U64(64 - min(64, 26 + width.bit_length()))

@@ -5,12 +5,13 @@ hash of its grams of k units. Consecutive windows with the same key form a run,
 (W - k + 2) / 2 windows; equal windows have equal keys wherever they are, so only runs of one key
 can share windows. A run's passage is the text its windows cover.
 
-1. Each bucket of documents sends its distinct (key, passage hash, first document) to the key's bucket.
-2. There, passages with an earlier equal passage are settled: all their windows occur earlier. A
-   key with several passages is open: the first holder of each passage must show its windows.
+1. Each bucket of documents sends its distinct keys; keys of one bucket only drop out.
+2. The distinct passages of the other keys follow, each with its first document. Passages with an
+   earlier equal passage are settled: all their windows occur earlier. A key with several passages
+   is open: the first holder of each passage must show its windows.
 3. Windows shown are compared by content, and the first document of each window is found.
 
-All of it is exact up to equal 64-bit hashes of unequal passages.
+All of it is exact up to equal 64-bit hashes of unequal passages or windows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
 
@@ -41,6 +43,24 @@ class Runs:
     passage: np.ndarray
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """cut(texts) yields (index of the first text, units, start and count of each text's units) of
+    parts of a bucket's texts. within: an earlier place in the same document counts as earlier."""
+
+    cut: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
+    window: int
+    gram: int
+    within: bool
+
+    def runs(self, texts: pa.Array) -> Runs:
+        parts, before = [], []
+        for low, values, start, count in self.cut(texts):
+            parts.append(runs_of(values, start, count, self.window, self.gram))
+            before.append(low)
+        return join_runs(parts, before)
+
+
 def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> Runs:
     """values: the units of some texts, one after another; start and count of each text's units."""
     least = A.sliding_least(A.grams(values, k), window - k + 1)
@@ -74,23 +94,18 @@ def join_runs(parts: list[Runs], docs_before: list[int]) -> Runs:
     )
 
 
-def firsts(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct passages (ascending), the first run of each, and each run's passage's place."""
-    return np.unique(r.passage, return_index=True, return_inverse=True)
-
-
 SENT = "kb int, bucket int, n long, keys binary, passages binary, docs binary, rank binary"
 
 
 def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, key: np.ndarray | None, width: int) -> pa.Table:
     """One row for each bucket of keys: distinct passages of this bucket, each with its first document.
 
-    doc: index in docs, ascending. Keys are cut to 32 bits here; that may put unequal grams under
+    doc: index in docs, ascending. Keys are cut to some upper bits here; that may put unequal grams under
     one key, which costs work only. Without keys the passages go by themselves.
     """
     passage, head = np.unique(passage, return_index=True)
     keyed = key is not None
-    key = key[head] >> U64(32) if keyed else passage
+    key = key[head] >> A.key_shift(width) if keyed else passage
     to = (key % U64(width)).astype(np.int64)
     order = np.lexsort((key, to))
     head, key, to, passage = head[order], key[order], to[order], passage[order]
@@ -98,7 +113,7 @@ def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, ke
     for a, b in A.equal_runs(to):
         own, rank = np.unique(docs[doc[head[a:b]]], return_inverse=True)
         small = np.uint16 if len(own) <= 1 << 16 else np.uint32
-        rows.append((int(to[a]), bucket, b - a, A.pack_ascending(key[a:b]) if keyed else None, passage[a:b].tobytes(),
+        rows.append((int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)) if keyed else None, passage[a:b].tobytes(),
                      A.pack_ascending(own.astype(np.int64).view(U64) ^ U64(1 << 63)), rank.astype(small).tobytes()))
     return table(rows, SENT)
 
@@ -161,16 +176,142 @@ def told(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return p[order], d[order]
 
 
-def questions(docs: DataFrame, find: Callable[[list[str]], Iterator[Runs]], width: int) -> DataFrame:
-    """TOLD rows for every bucket: docs is bucketed(); find gives the runs of a bucket's texts."""
+KEYS = "kb int, bucket int, n long, keys binary"
+
+
+def send_keys(bucket: int, r: Runs, width: int) -> pa.Table:
+    key = np.unique(r.key >> A.key_shift(width))
+    to = (key % U64(width)).astype(np.int64)
+    order = np.lexsort((key, to))
+    key, to = key[order], to[order]
+    return table([(int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width))) for a, b in A.equal_runs(to)], KEYS)
+
+
+def judge_keys(sent: pa.Table) -> pa.Table:
+    """Tell every bucket which of its keys other buckets have, too."""
+    rows = sent.to_pylist()
+    key = np.concatenate([A.unpack_ascending(x["keys"], x["n"]) for x in rows])
+    _, which, often = np.unique(key, return_inverse=True, return_counts=True)
+    shared = often[which] > 1
+    out, at = [], 0
+    for x in rows:
+        own = key[at : at + x["n"]][shared[at : at + x["n"]]]
+        at += x["n"]
+        if len(own):
+            out.append((x["kb"], x["bucket"], len(own), A.pack_ascending(own)))
+    return table(out, KEYS)
+
+
+def _send_shared(group: pa.Table, replies: pa.Table, scheme: Scheme, width: int) -> pa.Table:
+    A.calm_malloc()
+    if not group.num_rows:
+        return table([], SENT)
+    ids, texts = in_order(group)
+    r = scheme.runs(texts)
+    key = r.key >> A.key_shift(width)
+    parts = [A.unpack_ascending(x["keys"], x["n"]) * U64(width) + U64(x["kb"]) for x in replies.to_pylist()]
+    shared = np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64)
+    passage, head = np.unique(r.passage, return_index=True)
+    own, which, often = np.unique(key[head], return_inverse=True, return_counts=True)
+    on = head[A.places(shared, key[head])[1] | (often[which] > 1)]
+    on.sort()
+    return send(group.column("bucket")[0].as_py(), ids, r.doc[on], r.passage[on], r.key[on], width)
+
+
+def windows(values: np.ndarray, start: np.ndarray, r: Runs, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and rank name of every window of some runs.
+
+    The name of a window is made of the rank names of its halves: those of the positions p and
+    p + window / 2, at which a name stands for window / 2 units (rounded up).
+    """
+    half = -(-window // 2)
+    name = A.grams(values, half)
+    often = r.last[which] - r.first[which] + 1
+    doc = np.repeat(r.doc[which], often)
+    p = A.ranges(start[r.doc[which]] + r.first[which], often)
+    return doc, p - start[doc], A.mix(A.mix(name[p]) * U64(3) + name[p + window - half])
+
+
+def open_windows(texts: pa.Array, ids: np.ndarray, answers: pa.Table, scheme: Scheme, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that a bucket must show: those of open passages whose first holder is here.
+
+    inner: also those of runs in which the least gram occurs twice; only they can hold a window twice.
+    """
+    wanted, holder = told(answers, OPEN)
+    out = []
+    for low, values, start, count in scheme.cut(texts) if len(wanted) or inner else ():
+        r = runs_of(values, start, count, scheme.window, scheme.gram)
+        at, there = A.places(wanted, r.passage)
+        if len(wanted):
+            there &= holder[at] == ids[r.doc + low]
+        if inner:
+            there |= _doubled(values, start, r, scheme)
+        mine = np.flatnonzero(there)
+        if len(mine):
+            doc, p, name = windows(values, start, r, mine, scheme.window)
+            out.append((doc + low, p, name))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    doc, p, name = (np.concatenate(c) for c in zip(*out, strict=True))
+    return doc, p, name
+
+
+def _doubled(values: np.ndarray, start: np.ndarray, r: Runs, scheme: Scheme) -> np.ndarray:
+    """Runs in which the least gram occurs twice or more."""
+    if not len(r.doc):
+        return np.zeros(0, bool)
+    g = A.mix(A.grams(values, scheme.gram))
+    often = r.last - r.first + 1 + scheme.window - scheme.gram
+    same = g[A.ranges(start[r.doc] + r.first, often)] == np.repeat(r.key, often)
+    return np.add.reduceat(same.astype(np.int64), np.cumsum(often) - often) > 1
+
+
+def _show(group: pa.Table, answers: pa.Table, scheme: Scheme, width: int) -> pa.Table:
+    A.calm_malloc()
+    if not group.num_rows or not answers.num_rows:
+        return table([], SENT)
+    ids, texts = in_order(group)
+    doc, _, name = open_windows(texts, ids, answers, scheme)
+    return send(group.column("bucket")[0].as_py(), ids, doc, name, None, width)
+
+
+def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """TOLD rows for every bucket, with step 1 (passages) and 2 (windows). own is bucketed()."""
 
     def ask(group: pa.Table) -> pa.Table:
         A.calm_malloc()
-        ids, texts = in_order(group)
-        r = find(texts)
-        return send(group.column("bucket")[0].as_py(), ids, r.doc, r.passage, r.key, width)
-
-    return docs.groupBy("bucket").applyInArrow(ask, SENT).groupBy("kb").applyInArrow(judge, TOLD)
+        return send_keys(group.column("bucket")[0].as_py(), scheme.runs(in_order(group)[1]), width)
+
+    replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(judge_keys, KEYS)
+    passages = own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
+        lambda a, b: _send_shared(a, b, scheme, width), SENT
+    ).groupBy("kb").applyInArrow(judge, TOLD)
+    shown = own.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(
+        lambda a, b: _show(a, b, scheme, width), SENT
+    )
+    # Reranking: windows of one name are of one rank; their first document decides.
+    ranked = shown.groupBy("kb").applyInArrow(judge, TOLD)
+    return passages.withColumn("step", F.lit(1)).unionByName(ranked.withColumn("step", F.lit(2)))
+
+
+def earlier(group_ids: np.ndarray, texts: pa.Array, told_rows: pa.Table, scheme: Scheme) -> tuple[Runs, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The runs of a bucket and which of them occur earlier, whole; and the same for the windows shown."""
+    ids = group_ids
+    one = told_rows.filter(pc.equal(told_rows.column("step"), 1))
+    two = told_rows.filter(pc.equal(told_rows.column("step"), 2))
+    every = scheme.runs(texts)
+    gone = _later(every.passage, every.doc, ids, scheme.within) | A.places(told(one, SETTLED)[0], every.passage)[1]
+    shown = open_windows(texts, ids, one, scheme, scheme.within)
+    hit = _later(shown[2], shown[0], ids, scheme.within) | A.places(told(two, SETTLED)[0], shown[2])[1]
+    return every, gone, shown, hit
+
+
+def _later(name: np.ndarray, doc: np.ndarray, ids: np.ndarray, within: bool) -> np.ndarray:
+    """Which names stand before in this bucket: in a smaller document, or at all if within."""
+    _, head, which = np.unique(name, return_index=True, return_inverse=True)
+    if within:
+        return np.arange(len(name)) != head[which]
+    return ids[doc] > ids[doc[head]][which]
 
 
 def in_order(group: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray]:

@@ -14,7 +14,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,56 +33,13 @@ def _pieces(texts: pa.Array):
         yield low, b"".join(raw), np.cumsum(count) - count, count
 
 
-def _values(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).astype(U64) + U64(1)
-
-
-def _runs(texts: pa.Array, length: int, gram: int) -> R.Runs:
-    parts, before = [], []
+def _cut(texts: pa.Array):
     for low, data, start, count in _pieces(texts):
-        parts.append(R.runs_of(_values(data), start, count, length, gram))
-        before.append(low)
-    return R.join_runs(parts, before)
+        yield low, np.frombuffer(data, np.uint8).astype(U64) + U64(1), start, count
 
 
-def _windows(data: bytes, start: np.ndarray, r: R.Runs, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and rank name of every window of some runs.
-
-    The name of a window is made of the rank names of its halves: those of the positions p and
-    p + length / 2, at which a name stands for length / 2 bytes (rounded up).
-    """
-    half = -(-length // 2)
-    name = A.grams(_values(data), half)
-    often = r.last[which] - r.first[which] + 1
-    doc = np.repeat(r.doc[which], often)
-    p = A.ranges(start[r.doc[which]] + r.first[which], often)
-    return doc, p - start[doc], A.mix(A.mix(name[p]) * U64(3) + name[p + length - half])
-
-
-def _open_windows(texts: pa.Array, ids: np.ndarray, answers: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows that this bucket must show: those of open passages whose first holder is here."""
-    wanted, holder = R.told(answers, R.OPEN)
-    out = []
-    for low, data, start, count in _pieces(texts) if len(wanted) else ():
-        r = R.runs_of(_values(data), start, count, length, gram)
-        at, there = A.places(wanted, r.passage)
-        mine = np.flatnonzero(there & (holder[at] == ids[r.doc + low]))
-        if len(mine):
-            doc, p, name = _windows(data, start, r, mine, length)
-            out.append((doc + low, p, name))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    doc, p, name = (np.concatenate(c) for c in zip(*out, strict=True))
-    return doc, p, name
-
-
-def _show(group: pa.Table, answers: pa.Table, length: int, gram: int, width: int) -> pa.Table:
-    A.calm_malloc()
-    if not group.num_rows or not answers.num_rows:
-        return R.table([], R.SENT)
-    ids, texts = R.in_order(group)
-    doc, _, name = _open_windows(texts, ids, answers, length, gram)
-    return R.send(group.column("bucket")[0].as_py(), ids, doc, name, None, width)
+def scheme(length: int = LENGTH, gram: int = GRAM) -> R.Scheme:
+    return R.Scheme(_cut, length, gram, within=False)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -98,16 +54,8 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
         return R.table(rows, RESULT) if digest else group.select(schema)
     group = R.sort_group(group)
     ids, texts = R.in_order(group)
-    hit_doc, hit_at, name = _open_windows(texts, ids, answers, length, gram)
-    shared = answers.filter(pc.equal(answers.column("step"), 2))
-    _, head, which = np.unique(name, return_index=True, return_inverse=True)
-    hit = A.places(R.told(shared, R.SETTLED)[0], name)[1] | (ids[hit_doc] > ids[hit_doc[head]][which])
+    every, gone, (hit_doc, hit_at, _), hit = R.earlier(ids, texts, answers, scheme(length, gram))
     hit_doc, hit_at = hit_doc[hit], hit_at[hit]
-    answers = answers.filter(pc.equal(answers.column("step"), 1))
-    every = _runs(texts, length, gram)
-    _, head, which = R.firsts(every)
-    later = ids[every.doc] > ids[every.doc[head]][which]
-    gone = later | A.places(R.told(answers, R.SETTLED)[0], every.passage)[1]
     bound = np.searchsorted(every.doc, np.arange(len(ids) + 1))
     lo = np.searchsorted(hit_doc, np.arange(len(ids) + 1))
     left: list[str] = []
@@ -141,15 +89,9 @@ def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None
     width = shuffle_width(docs)
     more = [c for c in columns or [] if c not in ("doc_id", "text")]
     own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text", *more)
-    answers = R.questions(own, lambda texts: _runs(texts, length, gram), width)
-    shown = own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
-        lambda a, b: _show(a, b, length, gram, width), R.SENT
-    )
-    # Reranking: windows of one name are of one rank; their first document decides.
-    ranked = shown.groupBy("kb").applyInArrow(R.judge, R.TOLD)
-    both = answers.withColumn("step", F.lit(1)).unionByName(ranked.withColumn("step", F.lit(2)))
+    told = R.answers(own, scheme(length, gram), width)
     schema = columns or RESULT
-    return own.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(
+    return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         lambda a, b: _remove(a, b, length, gram, schema), docs.select(columns).schema if columns else RESULT
     )
 
