@@ -40,7 +40,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     calm_malloc()
     for batch in batches:
         texts = batch.column("text")
-        for low, high in runs(texts, 6 << 20):
+        for low, high in runs(texts, 3 << 20):
             _, sizes, streams, back = _text(texts.slice(low, high - low).to_pylist())
             rows = []
             names = flac_kinds(streams)

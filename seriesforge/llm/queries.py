@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import media, mixing, packing, quality_rules, substrings, url_filter
+from seriesforge.llm import jaccard, media, mixing, packing, passages, quality_rules, substrings, url_filter
 from seriesforge.llm.common import documents, table
 
 
@@ -24,6 +24,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(documents(spark, sf_dir))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
@@ -38,7 +46,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_packing, op4_url_filter, op7_mixing, op9_suffix_array_dedup, op10_media_columns)
+    for f in (
+        op1_quality_rules, op3_packing, op4_url_filter, op5_substring_dedup, op6_jaccard_join, op7_mixing,
+        op9_suffix_array_dedup, op10_media_columns,
+    )
 }
 
 _STOP = ", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)
