@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import mixing, packing, quality_rules, substrings
+from seriesforge.llm import jaccard, mixing, packing, quality_rules, substrings
 from seriesforge.llm.common import documents, stored
 
 
@@ -13,6 +13,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_representatives(docs)
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are taken out of the text."""
     return substrings.dedup_substrings(docs)
@@ -30,6 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
     ("suffix-array dedup", passages),
     ("mixing sources", mix),
     ("packing", pack),
