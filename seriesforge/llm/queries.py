@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import jaccard, media, mixing, packing, passages, quality_rules, substrings, url_filter
+from seriesforge.llm import jaccard, media, mixing, ordering, packing, passages, quality_rules, substrings, url_filter, weak_labels
 from seriesforge.llm.common import documents, table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -36,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.slot_digests(documents(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_substrings(documents(spark, sf_dir))
 
@@ -47,8 +55,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_packing, op4_url_filter, op5_substring_dedup, op6_jaccard_join, op7_mixing,
-        op9_suffix_array_dedup, op10_media_columns,
+        op1_quality_rules, op2_quality_classifier, op3_packing, op4_url_filter, op5_substring_dedup, op6_jaccard_join, op7_mixing,
+        op8_training_order,         op9_suffix_array_dedup, op10_media_columns,
     )
 }
 
