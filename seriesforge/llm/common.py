@@ -26,12 +26,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffle_width(df: DataFrame) -> int:
     """Buckets for an exchange of df: as many as the session shuffles into, more if df is larger.
 
-    The size is the optimizer's estimate from the files' sizes; no job runs.
+    The size is the optimizer's estimate from the files' sizes; no job runs. Inputs without one
+    (it is then over an exabyte) are dealt as the session says.
     """
     spark = df.sparkSession
     configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(configured, min(1_000_000, int(str(estimate)) // BUCKET_BYTES))
+    size = int(str(estimate))
+    return configured if size >> 60 else max(configured, min(1_000_000, size // BUCKET_BYTES))
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

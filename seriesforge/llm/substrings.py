@@ -88,11 +88,12 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
 def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None) -> DataFrame:
     width = shuffle_width(docs)
     more = [c for c in columns or [] if c not in ("doc_id", "text")]
-    own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text", *more)
+    rest = [F.struct(*more).alias("_rest")] if more else []  # one column, so that no name clashes
+    own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text", *rest)
     told = R.answers(own, scheme(length, gram), width)
-    schema = columns or RESULT
+    schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _remove(a, b, length, gram, schema), docs.select(columns).schema if columns else RESULT
+        lambda a, b: _remove(a, b, length, gram, schema), own.select(schema).schema if columns else RESULT
     )
 
 
@@ -114,6 +115,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Documents of which nothing is left go, and so do null texts and rows without doc_id.
     """
     out = _resolved(docs, length, gram, docs.columns)
+    out = out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
