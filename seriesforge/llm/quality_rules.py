@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import SPACE, WORD
+from seriesforge.llm.common import SPACE, WORD, stored
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -113,6 +113,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they are.
 
     The verdict joins back by doc_id; doc_id is unique in documents. Rows with a null doc_id go.
+    Verdicts are written first: a filter on them would be pushed below the projection that splits
+    the text, and the split would then be made anew for every element of the window expression.
     """
-    good = quality_rules(docs, rules).filter("kept").select("doc_id")
+    good = stored(quality_rules(docs, rules).select("doc_id", "kept"), "verdicts").filter("kept").select("doc_id")
     return docs.join(good, "doc_id", "left_semi")
