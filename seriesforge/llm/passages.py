@@ -24,6 +24,8 @@ from seriesforge.llm.common import bucketed, runs, shuffle_width
 WINDOW, GRAM = 20, 10
 #: Words in the patterns of one automaton.
 SHARD_WORDS = 1_000_000
+#: Bits of a word number in one symbol of an automaton.
+DIGIT_BITS = 5
 U64 = np.uint64
 
 
@@ -46,14 +48,36 @@ def scheme(window: int = WINDOW, gram: int = GRAM) -> R.Scheme:
     return R.Scheme(_cut, window, gram, within=True)
 
 
-def automata(patterns: list[tuple[tuple[int, ...], int]], shard_words: int = SHARD_WORDS):
-    """Aho-Corasick automata over word numbers; each match tells the pattern's length and number."""
+def digits(most: int) -> int:
+    """Symbols that word numbers up to `most` are written in."""
+    n = 1
+    while most >> (DIGIT_BITS * n):
+        n += 1
+    return n
+
+
+def symbols(number: np.ndarray, places: int) -> tuple[int, ...]:
+    """Word numbers as digits, each place with symbols of its own, so that matches start at words.
+
+    pyahocorasick searches the children of a node one by one; a root with a child for every first
+    word would be searched through for nearly every word of every text.
+    """
+    place = np.arange(places, dtype=np.int64)
+    cut = (number[:, None] >> (place * DIGIT_BITS)) & ((1 << DIGIT_BITS) - 1)
+    return tuple((cut + (place << DIGIT_BITS)).ravel().tolist())
+
+
+def automata(patterns, number: np.ndarray, places: int, shard_words: int = SHARD_WORDS):
+    """Aho-Corasick automata over the symbols of words, for patterns (start, words, label) in number.
+
+    Each match tells the pattern's length in words and its label.
+    """
     held, made = 0, None
-    for words, number in patterns:
+    for start, size, label in patterns:
         if made is None:
             made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        made.add_word(words, (len(words), number))
-        held += len(words)
+        made.add_word(symbols(number[start : start + size], places), (size, label))
+        held += size
         if held >= shard_words:
             made.make_automaton()
             yield made
@@ -89,11 +113,8 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
         labels = np.unique(which[repeats])
         first_here = start[head[labels]]
         stays = ~flag[head[labels]]  # the first occurrence of all is in this bucket
-        patterns = [
-            (tuple(number[s : s + n].tolist()), i)
-            for i, (s, n) in enumerate(zip(first_here.tolist(), size[head[labels]].tolist(), strict=True))
-        ]
-        mask = _locate(patterns, number.tolist(), base, count, first_here, stays)
+        patterns = zip(first_here.tolist(), size[head[labels]].tolist(), range(len(labels)), strict=True)
+        mask = _locate(patterns, number, base, count, first_here, stays)
     rows = []
     for low, data, w_start, w_end, _, edge in _words(texts):
         for i in range(len(edge) - 1):
@@ -105,14 +126,15 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
     return R.table(rows, RESULT)
 
 
-def _locate(patterns: list, number: list[int], base: np.ndarray, count: np.ndarray, first: np.ndarray, stays: np.ndarray) -> np.ndarray:
+def _locate(patterns, number: np.ndarray, base: np.ndarray, count: np.ndarray, first: np.ndarray, stays: np.ndarray) -> np.ndarray:
     """Words covered by an occurrence of a pattern, but for the first one where it stays."""
     delta = np.zeros(len(number) + 1, np.int64)
-    for machine in automata(patterns):
+    places = digits(int(number.max()))
+    for machine in automata(patterns, number, places):
         for b, n in zip(base.tolist(), count.tolist(), strict=True):
             begin, finish = [], []
-            for end, (size, i) in machine.iter(tuple(number[b : b + n])):
-                s = b + end - size + 1
+            for end, (size, i) in machine.iter(symbols(number[b : b + n], places)):
+                s = b + (end + 1) // places - size
                 if not (stays[i] and s == first[i]):
                     begin.append(s)
                     finish.append(s + size)
