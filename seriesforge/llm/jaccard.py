@@ -7,9 +7,10 @@ documents that link share one of the first n - ceil(0.75 n) + 1 of the larger an
 m - ceil(6 m / 7) + 1 of the smaller set (the prefix filter; 2 * 0.75 / 1.75 = 6 / 7). All documents
 of one such shingle share its pivot, the least doc_id; those that hold it in the short prefix are
 the region's core, and each link has an end there. In a region, distances to the
-pivot are exact; documents within 0.25 link to it and so to each other's component; by the
-triangle inequality only boundary documents in the window around the rest's distances go on with
-the rest, which is joined recursively with a new pivot until nothing is left.
+pivot are exact; documents within 0.25 link to it and so to each other's component. Core documents
+among them are compared with those beyond 0.25 in their triangle window and leave; by the triangle
+inequality only documents in the window around the rest's distances go on with the rest of the
+core, which is joined recursively with a new pivot until nothing is left.
 """
 
 from __future__ import annotations
@@ -165,30 +166,59 @@ EDGES = "a long, b long"
 REACH = (100 - SHARE) / 100
 
 
+def _shared(y: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How many shingles of y each of the sets holds."""
+    hit = A.places(y, np.concatenate(sets))[1]
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def bridge(ids: np.ndarray, sets: list[np.ndarray], d: np.ndarray, star: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
+    """Links of what is linked to one pivot (star) with others, one for each of the others at most.
+
+    star and others: places in ids, sets and d, the distances to the pivot.
+    """
+    edges = []
+    sizes = np.array([len(x) for x in sets])
+    for i in star.tolist():
+        if not len(others):
+            break
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        near = others[(np.abs(d[others] - d[i]) <= REACH + 1e-9) & (100 * low >= SHARE * high)]
+        if not len(near):
+            continue
+        both = _shared(sets[i], [sets[j] for j in near.tolist()], sizes[near])
+        on = near[100 * both >= SHARE * (sizes[near] + sizes[i] - both)]
+        edges += [(int(ids[i]), int(ids[j])) for j in on]
+        others = np.setdiff1d(others, on)
+    return edges
+
+
 def carve(ids: np.ndarray, sets: list[np.ndarray], core: np.ndarray) -> list[tuple[int, int]]:
     """Links among core documents and between core and others, enough to connect each component.
 
-    The first core document is the pivot. What links to it leaves the core and stays, as others
-    do, only if its distance is in the triangle window of what is left. Then the next pivot.
+    The first core document is the pivot. Core documents that link to it are compared with all that
+    do not and leave with it. Others stay only if their distance is in the triangle window of the
+    core that is left. Then the next pivot.
     """
     edges = []
     while core.any():
         pivot = int(np.flatnonzero(core)[0])
         y = sets[pivot]
         sizes = np.array([len(x) for x in sets])
-        hit = A.places(y, np.concatenate(sets))[1]
-        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        both = _shared(y, sets, sizes)
         either = sizes + len(y) - both
         linked = 100 * both >= SHARE * either
         linked[pivot] = False
         edges += [(int(ids[pivot]), int(ids[i])) for i in np.flatnonzero(linked)]
         d = 1 - both / either
-        left = core & ~linked
-        left[pivot] = False
+        unlinked = ~linked
+        unlinked[pivot] = False
+        edges += bridge(ids, sets, d, np.flatnonzero(core & linked), np.flatnonzero(unlinked))
+        left = core & unlinked
         if not left.any():
             break
         slack = REACH + 1e-9
-        stay = left | (~left & (d >= d[left].min() - slack) & (d <= d[left].max() + slack) & (np.arange(len(ids)) != pivot))
+        stay = left | (~core & (d >= d[left].min() - slack) & (d <= d[left].max() + slack))
         at = np.flatnonzero(stay)
         ids, sets, core = ids[at], [sets[i] for i in at.tolist()], left[at]
     return edges
@@ -201,6 +231,35 @@ def _finish(group: pa.Table) -> pa.Table:
     return R.table(edges, EDGES)
 
 
+def _bridged(group: pa.Table) -> pa.Table:
+    group = group.sort_by("doc_id")
+    sets = [np.frombuffer(x, U64) for x in group.column("items").to_pylist()]
+    star = group.column("star").to_numpy(zero_copy_only=False)
+    return R.table(bridge(group.column("doc_id").to_numpy(), sets, group.column("d").to_numpy(), np.flatnonzero(star), np.flatnonzero(~star)), EDGES)
+
+
+def bridges(measured: DataFrame, items: DataFrame) -> DataFrame:
+    """Links of core documents that are linked to their region's pivot with documents that are not.
+
+    measured: region, doc_id, core, linked and d. Both sides are dealt into blocks, and each pair of
+    blocks is compared in one task.
+    """
+    half = max(1, LOCAL_ROWS // 2)
+    star = measured.filter("core AND linked")
+    reach = star.groupBy("region").agg(F.max("d").alias("high"), F.ceil(F.count("*") / half).alias("n_star"))
+    others = measured.filter("NOT linked").join(reach, "region").filter(F.col("d") <= F.col("high") + REACH + 1e-9)
+    blocks = others.groupBy("region").agg(F.max("n_star").alias("n_star"), F.ceil(F.count("*") / half).alias("n_others"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        return side.select("region", "doc_id", "d").join(blocks, "region").select(
+            "region", "doc_id", "d", F.lit(own == "star").alias("star"), F.pmod(F.xxhash64("doc_id"), f"n_{own}").alias(f"b_{own}"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(f"b_{other}"),
+        )
+
+    both = dealt(star, "star", "others").unionByName(dealt(others, "others", "star"))
+    return both.join(items, "doc_id").groupBy("region", "b_star", "b_others").applyInArrow(_bridged, EDGES)
+
+
 def links(found: DataFrame) -> DataFrame:
     """(a, b): linked representatives of unequal sets, enough to connect every component."""
     near = found.filter(F.col("items").isNotNull())
@@ -228,9 +287,10 @@ def links(found: DataFrame) -> DataFrame:
         measured = stored(large.filter("doc_id <> pivot").join(items, "doc_id").join(
             items.select(F.col("doc_id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot"
         ).mapInArrow(_measured, "region long, doc_id long, core boolean, pivot long, shared long, either long"), "measured")
-        linked = F.expr(f"100 * shared >= {SHARE} * either")
-        edges = edges.unionByName(measured.filter(linked).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        rest = measured.withColumn("core", F.col("core") & ~linked).withColumn("d", F.expr("1 - shared / either"))
+        measured = measured.withColumn("linked", F.expr(f"100 * shared >= {SHARE} * either")).withColumn("d", F.expr("1 - shared / either"))
+        edges = edges.unionByName(measured.filter("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+        edges = edges.unionByName(bridges(measured, items))
+        rest = measured.filter("NOT (core AND linked)")
         window = rest.filter("core").groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
         members = rest.join(window, "region").filter(
             F.col("core") | F.col("d").between(F.col("low") - REACH - 1e-9, F.col("high") + REACH + 1e-9)

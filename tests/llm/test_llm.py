@@ -142,6 +142,68 @@ def test_jaccard(odd, empty, local, monkeypatch):
         assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.fixture(scope="session")
+def chains():
+    """Families of texts whose links form chains: each is the one before with some words changed."""
+    rng = random.Random(5)
+    out = []
+    for family in range(40):
+        words = [f"w{family}x{i}" for i in range(104)]
+        own = [list(words)]
+        for _ in range(5):
+            nxt = list(rng.choice(own))
+            for j in rng.sample(range(100), rng.randint(1, 3)):
+                nxt[j] = f"n{rng.random()}"
+            if rng.random() < 0.5:  # a larger set: it may be no core document
+                nxt += [f"m{rng.random()}" for _ in range(rng.randint(3, 25))]
+            own.append(nxt)
+        rng.shuffle(own)
+        out += [" ".join(x) for x in own]
+    return out
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+
+def labels_of(sets):
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+@pytest.mark.parametrize("local", [2, 2048])
+def test_jaccard_chains(spark, chains, local, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOCAL_ROWS", local)
+    p = [f"w{i}" for i in range(104)]
+    one, more = list(p), [f"m{i}" for i in range(30)]
+    one[50] = "edit"  # p and l link; x holds all of l, links to l, and not to p
+    texts = [*chains, " ".join(p), " ".join(one), " ".join(one + more)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == labels_of(sets)
+
+
+@pytest.mark.parametrize("core_x", [False, True])
+def test_carve_tests_ended_core_documents(core_x):
+    """The middle link of the chain 1 - 3 - 4 - 2, and one from a core document to another."""
+    at = [0, 30, 10, 20]  # ids 1, 2, 3, 4: places in a sliding window; 10 apart is a distance of 0.18
+    sets = [np.arange(x, x + 100, dtype=np.uint64) for x in at]
+    edges = jaccard.carve(np.array([1, 2, 3, 4]), sets, np.array([True, core_x, True, True]))
+    label = {i: i for i in range(1, 5)}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert set(label.values()) == {1}
+
+
 def test_mixing(odd, empty):
     rows = mixing.mix_documents(odd).collect()
     assert rows and sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_documents(odd).collect()))
