@@ -3,7 +3,7 @@
 Recurring passages are confirmed across buckets of documents (recurrence.py). Each bucket then
 compiles the passages that recur in its own documents into Aho-Corasick automata over word
 numbers, a bounded number of words in each, and streams all its documents through them to locate
-every occurrence. An automaton's shard is that of the documents, so a text is read against the
+every occurrence; one is removed if each of its windows occurs earlier. An automaton's shard is that of the documents, so a text is read against the
 phrases that it can hold, and not against those of the whole corpus.
 """
 
@@ -99,7 +99,7 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
     h = np.concatenate([x[4] for x in _words(texts)])
     count = np.concatenate([np.diff(x[5]) for x in _words(texts)])
     base = np.cumsum(count) - count
-    # Passages and windows that occur earlier: where, how long, and whether the first one here stays.
+    # Passages and windows that occur earlier: where and how long.
     start = np.concatenate((base[every.doc] + every.first, base[doc] + at))
     size = np.concatenate((every.last - every.first + window, np.full(len(at), window)))
     label = np.concatenate((every.passage, A.mix(name)))
@@ -111,10 +111,10 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
         repeats = np.flatnonzero(flag)
         _, head, which = np.unique(label, return_index=True, return_inverse=True)
         labels = np.unique(which[repeats])
-        first_here = start[head[labels]]
-        stays = ~flag[head[labels]]  # the first occurrence of all is in this bucket
-        patterns = zip(first_here.tolist(), size[head[labels]].tolist(), range(len(labels)), strict=True)
-        mask = _locate(patterns, number, base, count, first_here, stays)
+        patterns = zip(start[head[labels]].tolist(), size[head[labels]].tolist(), labels.tolist(), strict=True)
+        early = np.zeros(len(h), bool)  # the windows that occur earlier, by their first words
+        early[A.ranges(start[repeats], size[repeats] - window + 1)] = True
+        mask = _locate(patterns, number, base, count, early, window)
     rows = []
     for low, data, w_start, w_end, _, edge in _words(texts):
         for i in range(len(edge) - 1):
@@ -126,21 +126,23 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
     return R.table(rows, RESULT)
 
 
-def _locate(patterns, number: np.ndarray, base: np.ndarray, count: np.ndarray, first: np.ndarray, stays: np.ndarray) -> np.ndarray:
-    """Words covered by an occurrence of a pattern, but for the first one where it stays."""
+def _locate(patterns, number: np.ndarray, base: np.ndarray, count: np.ndarray, early: np.ndarray, window: int) -> np.ndarray:
+    """Words covered by an occurrence of a pattern all of whose windows occur earlier.
+
+    A pattern can also stand inside a longer passage of an earlier document, where it is the first.
+    """
     delta = np.zeros(len(number) + 1, np.int64)
+    before = np.concatenate(([0], np.cumsum(early)))
     places = digits(int(number.max()))
     for machine in automata(patterns, number, places):
         for b, n in zip(base.tolist(), count.tolist(), strict=True):
-            begin, finish = [], []
-            for end, (size, i) in machine.iter(symbols(number[b : b + n], places)):
-                s = b + (end + 1) // places - size
-                if not (stays[i] and s == first[i]):
-                    begin.append(s)
-                    finish.append(s + size)
-            if begin:
-                np.add.at(delta, begin, 1)
-                np.add.at(delta, finish, -1)
+            found = [(b + (end + 1) // places - size, size) for end, (size, _) in machine.iter(symbols(number[b : b + n], places))]
+            if found:
+                begin, size = np.array(found).T
+                free = size - window + 1
+                on = before[begin + free] - before[begin] == free
+                np.add.at(delta, begin[on], 1)
+                np.add.at(delta, begin[on] + size[on], -1)
     return np.cumsum(delta[:-1]) > 0
 
 

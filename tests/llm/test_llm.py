@@ -105,6 +105,27 @@ def test_passages(odd, empty):
     assert passages.remove_passages(empty).count() == 0
 
 
+def test_passages_first_inside_longer_runs(spark):
+    """A passage stands first in the middle of a document, then at the start of later ones: the first stays."""
+    rng = random.Random(11)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for _ in range(12):
+        header = text(60)
+        docs += [text(50) + header + text(50), *[header + text(30) for _ in range(5)], text(20) + header[5:50] + text(20)]
+    seen, want = set(), {}
+    for i, w in enumerate(docs):
+        off = bytearray(len(w))
+        for j in range(len(w) - 19):
+            x = tuple(w[j : j + 20])
+            if x in seen:
+                off[j : j + 20] = b"\1" * 20
+            seen.add(x)
+        want[i] = (len(w), sum(off), hashlib.sha256(" ".join(x for x, o in zip(w, off) if not o).encode()).hexdigest())
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in passages.remove_passages(df).collect()} == want
+
+
 def test_substrings(odd, empty):
     seen, want = set(), {}
     for i, t in texts_of(odd):
