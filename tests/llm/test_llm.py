@@ -300,6 +300,27 @@ def test_weak_labels(spark, odd, empty):
     assert m[(m.quality == 1) & (m.toxic == 0)].kept.mean() > 0.97
 
 
+def test_toxicity_is_learned_in_every_language(spark, odd, empty):
+    """Learns from the labels of even documents; judged on odd ones. One such word in clean text rejects nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    more = spark.createDataFrame([(-1, " ".join(["the best of all that is and was in this place"] * 3))], "doc_id long, text string")
+    clean = docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").filter("lang = 'en' AND length(text) > 3000").orderBy("doc_id").limit(20)
+    mention = clean.selectExpr("-2 - doc_id AS doc_id", "concat('trash ', text) AS text")
+    both = docs.select("doc_id", "text").unionByName(more).unionByName(mention)
+    got = weak_labels.classify(both, labels=labels.filter("doc_id % 2 = 0")).cache()
+    m = got.join(labels.filter("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    caught = (m[m.toxic == 1].toxicity > 0.5).groupby(m.lang).mean()
+    print(caught.to_dict(), (m[m.toxic == 0].toxicity > 0.5).groupby(m.lang).mean().to_dict())
+    assert len(caught) == 4 and caught.min() > 0.4, caught
+    assert not m[(m.toxic == 1) & (m.toxicity > 0.5)].kept.any()
+    assert m[(m.quality == 1) & (m.toxic == 0)].kept.mean() > 0.95
+    assert got.filter("doc_id < -1 AND kept").count() > 15
+    assert got.filter("toxicity IS NULL").count() == 0
+    assert weak_labels.classify(odd, labels=labels.filter("toxic = 0")).filter("toxicity IS NOT NULL").count() == 0
+    assert weak_labels.classify(empty, labels=labels).count() == 0
+
+
 def test_hashes_and_packing_of_numbers():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100).astype(np.uint64))
     assert (arrays.unpack_ascending(arrays.pack_ascending(x), 100) == x).all()
