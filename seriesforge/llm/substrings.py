@@ -1,11 +1,12 @@
 """Suffix-array dedup: byte strings of a fixed length that also start in an earlier document.
 
-Distributed prefix doubling over a sample of positions. Ranking all positions of a corpus and
-sorting the pairs at every offset moves tens of bytes for each byte of text. Here the positions
-are first thinned by content (recurrence.py), which ranks 20-byte grams and then whole passages;
-passages that repeat unchanged are settled there, unique ones drop out. What is left, where
-passages of one gram differ, goes through the doubling: every position gets the rank name of its
-25 bytes, Spark sorts the pairs (rank at p, rank at p + 25), and the pair is the rank of 50 bytes.
+The method is winnowing with window hashes, not prefix doubling: positions are thinned by content
+(recurrence.py), which hashes 20-byte grams and then whole passages; passages that repeat unchanged
+are settled there, unique ones drop out. Where passages of one gram differ, every window of 50 bytes
+gets a hash that combines those of its two halves of 25 bytes, and the first document of each hash
+decides. There are no ranks, no growing offsets and no Spark sort of pairs: ranking all positions of
+a corpus at every offset would move tens of bytes for each byte of text. Results are exact up to
+equal 64-bit hashes.
 """
 
 from __future__ import annotations
