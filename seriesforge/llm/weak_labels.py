@@ -234,7 +234,7 @@ def classify(docs: DataFrame, spec: Training = Training(), labels: DataFrame | N
     mean of posterior and score is above the threshold and toxicity is not. Null and empty
     texts get the votes of a text without words. Repeated rows stay; an empty table gives none.
     Extra columns don't matter. The training sample (spec.sample rows at most, by a hash of
-    doc_id), that of toxicity (spec.toxic_sample + spec.clean_sample at most) and the pattern counts are
+    doc_id and text), that of toxicity (spec.toxic_sample + spec.clean_sample at most) and the pattern counts are
     all that reaches the driver.
     """
     spark = docs.sparkSession
@@ -246,9 +246,7 @@ def classify(docs: DataFrame, spec: Training = Training(), labels: DataFrame | N
     patterns = [r["pattern"] for r in found]
     posterior, _, _ = estimate(patterns, [r["count"] for r in found])
     of = dict(zip(patterns, posterior.tolist(), strict=True))
-    picked = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample)
-    sample = votes(picked).join(picked, "doc_id").select("doc_id", "text", "pattern").collect()
-    sample.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"] or 0))
+    sample = _sampled(docs, sum(r["count"] for r in found), spec.sample)
     w = train([r["text"] for r in sample], np.array([of.get(r["pattern"], 0.5) for r in sample]), spec)
     toxic_w = None if labels is None else learn_toxicity(docs, labels, spec)
     shared = spark.sparkContext.broadcast((w, toxic_w))  # 2 ** bits and 2 ** toxic_bits weights
@@ -261,6 +259,19 @@ def classify(docs: DataFrame, spec: Training = Training(), labels: DataFrame | N
     )
 
 
+def _sampled(docs: DataFrame, rows: int, most: int) -> list:
+    """At most so many rows with their votes: those of the least hashes of doc_id and text.
+
+    A threshold on the hash, set for half as many rows more, is applied in the scan, so that only
+    about so many texts are sorted or sent. Rows of one doc_id count each.
+    """
+    share = min(1.0, 1.5 * (most + 50) / max(1, rows))
+    least = min(2**63 - 1, int(share * 2**64) - 2**63)
+    hashed = docs.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "text")).filter(F.col("h") <= least).drop("h")
+    rank = F.xxhash64(F.lit(7), "doc_id", "text")
+    return _with_votes(hashed).orderBy(rank, "doc_id", "text").limit(most).collect()
+
+
 def _with_votes(docs: DataFrame) -> DataFrame:
     """docs with the votes beside the text: the same projection, without a join."""
     again = docs.select("doc_id", "text")
