@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -34,38 +36,44 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 512
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
+
+
 def words(data: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of UTF-8 data, and a 64-bit hash of each word's bytes.
 
-    The hash is a polynomial in the bytes, by the word's own length, spread by mix().
+    Eight bytes are taken up at a time, with mix() between; so words of up to eight bytes and one
+    length never share a hash. Long words get a cryptographic hash.
     """
     a = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[a], [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    if lower:
-        a = _LOWER[a]
+    if not len(start):
+        return start, end, np.zeros(0, U64)
+    padded = np.zeros(len(a) + 8, np.uint8)
+    padded[: len(a)] = _LOWER[a] if lower else a
+    eight = np.ndarray((len(a) + 1,), "<u8", padded.data, strides=(1,))
     width = end - start
-    h = np.zeros(len(start), U64)
-    if len(start):
-        if int(width.max()) <= 64:  # byte after byte over all words; the words left shrink
-            order = np.argsort(-width, kind="stable")
-            at, left = start[order], width[order]
-            g = np.zeros(len(order), U64)
-            n, b = len(order), U64(_BASE)
-            counts = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), side="right")
-            for j, n in enumerate(counts):
-                g[:n] *= b
-                g[:n] += a[at[:n] + j].astype(U64) + U64(1)
-            h[order] = g
-        else:
-            p = powers(int(width.max()) + 1)
-            owner = np.repeat(np.arange(len(start)), width)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
-            terms = (a[start[owner] + inner].astype(U64) + U64(1)) * p[width[owner] - 1 - inner]
-            h = np.add.reduceat(terms, np.cumsum(width) - width)
-    return start, end, mix(h + width.astype(U64) * _M1)
+    order = np.argsort(-width, kind="stable")
+    at, left = start[order], width[order]
+    g = mix(left.astype(U64) * _M1)
+    first = int(np.searchsorted(-left, -LONG_WORD, side="left"))  # those before are long
+    for i in range(first):
+        g[i] = int.from_bytes(hashlib.blake2b(padded[at[i] : at[i] + left[i]].tobytes(), digest_size=8).digest(), "little")
+    at, left, rest = at[first:], left[first:], g[first:]
+    n, j = len(at), 0
+    while n:
+        lane = eight[at[:n] + j] & _KEEP[np.minimum(left[:n] - j, 8)]
+        rest[:n] = mix(rest[:n] ^ lane)
+        j += 8
+        n = int(np.searchsorted(-left, -j, side="left"))
+    h = np.empty(len(start), U64)
+    h[order] = g
+    return start, end, h
 
 
 def grams(v: np.ndarray, k: int) -> np.ndarray:

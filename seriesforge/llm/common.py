@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null doc_id inside; results have null again.
+NO_ID = -(2**63)
+
 #: Text of this many bytes (as the optimizer estimates it) goes to one bucket of an exchange.
 BUCKET_BYTES = 24 << 20
 
@@ -49,20 +53,79 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and lineage is cut."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: computed once, and lineage is cut.
+
+    The exchanges of the write are not needed any more once the table is there; their files go.
+    """
+    spark = df.sparkSession
+    path, before = work_folder(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the folders of stored() tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.folder)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: set[str] | None = None):
+    """Folders that stored() makes inside go at the end, but for those whose path is put in keep."""
+    kept = set() if keep is None else keep
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        for path in _scratch.pop():
+            if path not in kept:
+                _remove(spark, path)
+            elif _scratch:
+                _scratch[-1].append(path)
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """left joined with right, which has each key once and, as weight, how many rows of left have it.
+
+    Keys of more than total / most rows of left are joined by broadcast: there are fewer than `most` of them,
+    whatever the input, and their rows needn't meet in one task. The rest is an ordinary join.
+    """
+    cut = max(1, total // most)
+    hot = right.filter(F.col(weight) > cut)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col(weight) <= cut).drop(weight), on, how)
+    return left.join(F.broadcast(hot.drop(weight)), on).unionByName(rest)
 
 
 def bucketed(docs: DataFrame, width: int, *cols: str) -> DataFrame:
     """doc_id, the columns and a bucket by hash of doc_id, one partition or more per bucket.
 
-    The same call gives the same plan, so Spark reuses the exchange within one query.
+    Rows without doc_id get NO_ID, the least one. The same call gives the same plan, so Spark reuses
+    the exchange within one query.
     """
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         *cols,
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(width)).cast("int").alias("bucket"),
     ).repartition(width, "bucket")
