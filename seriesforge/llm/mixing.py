@@ -1,4 +1,12 @@
-"""Mixing sources to target weights: blocks, multinomial draws and index permutations, in the JVM."""
+"""Mixing sources to target weights: blocks, multinomial draws and index permutations, in the JVM.
+
+The words of a source stand in one row and are cut into blocks. The output is a row of slots, a
+block each, cut into shards. How many slots a source gets in a shard is a multinomial draw, under the
+condition that each source's slots add up to its target (else the noise of small mixes would be
+many blocks): the slots of all sources, laid end to end, are scattered over the output by a keyed
+permutation. The k-th slot of a source takes the block at index k mod n of a permutation of its n
+blocks, a new one for each round k div n. Blocks and slots are joined by index.
+"""
 
 from __future__ import annotations
 
@@ -79,58 +87,48 @@ def permuted(index: str, n: str, key: str, rounds: int) -> F.Column:
     )
 
 
-def draws(wanted: DataFrame, mix: Mix, width: int) -> DataFrame:
-    """(shard, skey, count): the multinomial counts of each output shard.
+def allotted(wanted: DataFrame, mix: Mix) -> DataFrame:
+    """wanted with n (blocks of the source), slots (that it gets), before (slots of the sources before
+    it) and total_slots; one small task.
 
-    A shard's expected counts are split: whole parts are taken as they are, and the slots left are
-    drawn from the multinomial of the fractions (residual sampling), one keyed hash per slot. That
-    has the multinomial's mean and less spread.
+    A source's slots are its target over the mean words of its blocks, the last of which may be
+    short; the running sums are rounded, so that each source is within one slot of its share.
     """
-    by = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
-    part = wanted.filter("target > 0").withColumn("expected", F.expr(f"{mix.shard} * target / total")).withColumn(
-        "whole", F.floor("expected")
-    ).withColumn("part", F.col("expected") - F.col("whole")).withColumn("upto", F.sum("part").over(by))
-    table = part.agg(
-        F.sort_array(F.collect_list(F.struct("skey", "whole", "upto"))).alias("sources"),
-        F.max("upto").alias("parts"), F.sum("whole").alias("wholes"), F.first("total").alias("total"),
-    ).withColumn("shards", F.expr(f"cast(ceil(coalesce(total, 0) / {mix.block} / {mix.shard}) AS long)"))
-    # one row, whose size is that of the list of sources
-    shards = table.filter("shards > 0").selectExpr("*", "explode(sequence(0L, shards - 1)) AS shard").repartition(width, "shard")
-    drawn = shards.withColumn("extra", F.expr(
-        f"transform(sequence(1, cast({mix.shard} - wholes AS int)), d -> "
-        f"(pmod(xxhash64({mix.seed}L, shard, d), 1048576L) + 0.5D) / 1048576 * parts)"
-    ))
-    counts = drawn.select("shard", F.expr(
-        "explode(transform(sources, (s, i) -> struct(s.skey AS skey, s.whole + size(filter(extra, u -> "
-        "u <= s.upto AND u > coalesce(get(sources, i - 1).upto, 0D))) AS count))) AS c"
-    ))
-    return counts.select("shard", "c.skey", F.col("c.count").cast("long").alias("count")).filter("count > 0")
+    upto = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return wanted.withColumn("n", F.expr(f"cast(ceil(source_size / {mix.block}) AS long)")).withColumn(
+        "share", F.expr("IF(source_size = 0, 0D, target * n / source_size)")
+    ).withColumn("upto", F.sum("share").over(upto)).withColumn("before", F.expr("cast(floor(upto - share + 0.5D) AS long)")).withColumn(
+        "slots", F.expr(f"least(cast(floor(upto + 0.5D) AS long) - before, {mix.most} * n)")
+    ).withColumn("total_slots", F.max(F.expr("cast(floor(upto + 0.5D) AS long)")).over(every)).drop("share", "upto")
 
 
-def mixed_slots(sized: DataFrame, wanted: DataFrame, mix: Mix, width: int) -> DataFrame:
-    """(shard, skey, block): which block of which source each slot of the output takes.
+def mixed_slots(allotted_sources: DataFrame, mix: Mix, width: int) -> DataFrame:
+    """(shard, slot, skey, block): which block of which source each slot of the output takes.
 
-    The k-th slot of a source takes the block at permutation index k mod n of its round k div n;
-    rounds past `most` would repeat a word too often and are left out.
+    The last shard may be partial. Sources are dealt out in chunks of slots, so a large one is many
+    tasks' work.
     """
-    counted = draws(wanted, mix, width).withColumn("chunk", F.expr("shard div 1024"))
-    first = running_sum(counted, ["skey"], "chunk", ["shard"], "count", "before", width)
-    blocks = wanted.select("skey", F.expr(f"cast(ceil(source_size / {mix.block}) AS long)").alias("n"))
-    slots = first.join(blocks, "skey").filter(f"before < {mix.most} * n").selectExpr(
-        "shard", "skey", "n", f"explode(sequence(before, least(before + count, {mix.most} * n) - 1)) AS k"
-    )
-    return slots.withColumn("in_round", F.expr("k % n")).withColumn(
-        "key", F.xxhash64(F.lit(mix.seed), "skey", F.expr("k div n"))
-    ).withColumn("block", permuted("in_round", "n", "key", mix.rounds)).select("shard", "skey", "block")
+    chunks = allotted_sources.filter("slots > 0").selectExpr(
+        "skey", "n", "slots", "before", "total_slots", "explode(sequence(0L, (slots - 1) div 8192)) AS chunk"
+    ).repartition(width, "skey", "chunk")
+    draws = chunks.selectExpr("*", "explode(sequence(chunk * 8192, least(slots, (chunk + 1) * 8192) - 1)) AS k")
+    placed = draws.withColumn("place", F.expr("before + k")).withColumn("place_key", F.lit(mix.seed + 1).cast("long")).withColumn(
+        "slot", permuted("place", "total_slots", "place_key", mix.rounds)
+    ).withColumn("in_round", F.expr("k % n")).withColumn("key", F.xxhash64(F.lit(mix.seed), "skey", F.expr("k div n")))
+    return placed.withColumn("block", permuted("in_round", "n", "key", mix.rounds)).select(
+        F.expr(f"slot div {mix.shard}").alias("shard"), "slot", "skey", "block")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document.
+    """doc_id, size, source_size, target, taken and first_shard of every document.
 
     size is the number of words (null text: 0). Words of a source stand in one row, by a hash of
     doc_id and doc_id itself, cut into blocks; taken counts how often the mix takes a document's
-    words. A null source is a source of its own, the last one. Repeated rows are documents of
-    their own. An empty table gives none. Extra columns are left out. Same input, same result.
+    words, and first_shard is the first output shard that does (null if none). A null source is a
+    source of its own, the last one. Repeated rows are documents of their own. An empty table gives
+    none. Extra columns are left out. Same input, same result. Sources are rows of one small table
+    (a name and sums each), which one task sorts for the weights.
     """
     source = docs["source"]
     sized = docs.select(
@@ -141,28 +139,28 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sized = stored(sized, "sizes")
     rows = sized.count()
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(width, rows // 65536))))
-    wanted = stored(targets(
-        sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), mix
-    ), "targets")
+    wanted = targets(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), mix)
+    wanted = stored(allotted(wanted, mix), "targets")
     placed = stored(running_sum(sized, ["skey"], "chunk", ["doc_id", "size"], "size", "start", width), "placed")
-    times = mixed_slots(sized, wanted, mix, width).groupBy("skey", "block").agg(F.count("*").alias("times"))
+    times = mixed_slots(wanted, mix, width).groupBy("skey", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     parts = placed.filter("size > 0").selectExpr(
         "doc_id", "skey", "start", "size",
         f"explode(sequence(start div {mix.block}, (start + size - 1) div {mix.block})) AS block",
     ).withColumn("words", F.expr(
         f"least(start + size, (block + 1) * {mix.block}) - greatest(start, block * {mix.block})"
     ))
-    taken = parts.join(times, ["skey", "block"]).groupBy(
+    # Both sides grow with the corpus, which the optimizer can't see behind the exploded rows.
+    taken = parts.hint("merge").join(times.hint("merge"), ["skey", "block"]).groupBy(
         F.col("skey").alias("t_skey"), F.col("doc_id").alias("t_doc_id"), F.col("start").alias("t_start")
-    ).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    ).agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
     found = placed.join(
-        taken,
+        taken.hint("merge"),
         (F.col("skey") == F.col("t_skey")) & F.col("doc_id").eqNullSafe(F.col("t_doc_id"))
         & (F.col("start") == F.col("t_start")) & (F.col("size") > 0),
         "left",
-    ).select("doc_id", "skey", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    ).select("doc_id", "skey", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
     return found.join(wanted.select("skey", "source_size", "target"), "skey").select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "first_shard"
     )
 
 
@@ -170,12 +168,13 @@ def take_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """docs as the mix takes them: each document as often as taken / size says.
 
     The fraction is settled by a hash of doc_id, so that a source's words come near its target.
-    Documents without words, or of a null doc_id, are left out. Columns stay as they are.
+    Documents without words, or of a null doc_id, are left out; rows of one doc_id count together
+    (the most taken decides for each). Columns stay as they are, whatever their names.
     """
     shares = mix_documents(docs, mix).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"),
-        F.expr(f"cast(floor(taken / size + (pmod(xxhash64({mix.seed}L, doc_id), 1048576L) + 0.5D) / 1048576) AS int)").alias("_times"),
-    ).filter("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    return docs.join(shares, docs["doc_id"] == shares["_id"]).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
-    ).select(*[docs[c] for c in docs.columns])
+        F.col("doc_id"),
+        F.expr(f"cast(floor(taken / size + (pmod(xxhash64({mix.seed}L, doc_id), 1048576L) + 0.5D) / 1048576) AS int)").alias("times"),
+    ).filter("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
+    whole = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    repeated = whole.join(shares, whole["id"] == shares["doc_id"]).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return repeated.select([F.col("row").getField(c).alias(c) for c in docs.columns])
