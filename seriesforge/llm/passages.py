@@ -1,25 +1,34 @@
 """Substring dedup by words: repeated-phrase automata.
 
-Recurring passages are confirmed across buckets of documents (recurrence.py). Each bucket then
-compiles the passages that recur in its own documents into Aho-Corasick automata over word
-numbers, a bounded number of words in each, and streams all its documents through them to locate
-every occurrence; one is removed if each of its windows occurs earlier. An automaton's shard is that of the documents, so a text is read against the
-phrases that it can hold, and not against those of the whole corpus.
+1. Recurring phrases are confirmed across buckets of documents (recurrence.py): passages, and
+   windows where passages overlap in part; each bucket is told which of its own phrases recur, and
+   the first document of each.
+2. Each bucket compiles its phrases into Aho-Corasick automata over word numbers, a bounded number of
+   words in each. A phrase's words are read where it first stands in the bucket. A phrase goes to
+   the automata of those buckets that hold it, so a text is read against the phrases that it can
+   hold, and not against those of the whole corpus.
+3. All documents of the bucket stream through its automata, which locate every occurrence of every
+   phrase, inside longer passages too. An occurrence is removed if it stands after the phrase's
+   first known place, by (doc_id, start); the first one stays wherever it is.
+
+Every window that occurs earlier is covered by a phrase that is told so, and every occurrence after
+a phrase's first known place does occur earlier; so the words removed are those asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import bucketed, runs, shuffle_width
+from seriesforge.llm.common import NO_ID, bucketed, runs, shuffle_width
 
 WINDOW, GRAM = 20, 10
 #: Words in the patterns of one automaton.
@@ -45,7 +54,7 @@ def _cut(texts: pa.Array):
 
 
 def scheme(window: int = WINDOW, gram: int = GRAM) -> R.Scheme:
-    return R.Scheme(_cut, window, gram, within=True)
+    return R.Scheme(_cut, window, gram)
 
 
 def digits(most: int) -> int:
@@ -90,31 +99,59 @@ def automata(patterns, number: np.ndarray, places: int, shard_words: int = SHARD
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+@dataclass
+class Phrases:
+    """Confirmed phrases of a bucket: place and number of words of the first occurrence here, and the
+    word from which on an occurrence is not the first."""
+
+    start: np.ndarray
+    size: np.ndarray
+    after: np.ndarray
+
+
+def confirmed(ids: np.ndarray, base: np.ndarray, texts: pa.Array, answers: pa.Table, scheme: R.Scheme) -> Phrases:
+    """The bucket's phrases that recur: those told by others, and those that stand here twice.
+
+    base: the place of each document's first word in the bucket.
+    """
+    one = answers.filter(pc.equal(answers.column("step"), 1))
+    two = answers.filter(pc.equal(answers.column("step"), 2))
+    every = scheme.runs(texts)
+    shown = R.open_windows(texts, ids, one, scheme, inner=True)
+    found = []
+    for name, check, place, size, names in (
+        (every.passage, every.check, base[every.doc] + every.first, every.last - every.first + scheme.window, R.told(one, R.SETTLED)),
+        (shown.name, shown.check, base[shown.doc] + shown.at, np.full(len(shown.at), scheme.window), R.told(two, R.SETTLED)),
+    ):
+        by = np.lexsort((place, check, name))
+        new = np.ones(len(by), bool)
+        new[1:] = (name[by][1:] != name[by][:-1]) | (check[by][1:] != check[by][:-1])
+        head = by[new]
+        often = np.diff(np.append(np.flatnonzero(new), len(by)))
+        at, known = names.find(name[head], check[head])
+        # Told of an earlier document: all that stands in later documents recurs. Else the first place here is the first.
+        after = place[head] + 1
+        if known.any():
+            beyond = np.append(base, np.iinfo(np.int64).max)[np.searchsorted(ids, names.doc[at[known]], side="right")]
+            after[known] = np.minimum(after[known], beyond)
+        on = known | (often > 1)
+        found.append((place[head][on], size[head][on], after[on]))
+    return Phrases(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
 def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Table:
     A.calm_malloc()
     if not group.num_rows:
         return R.table([], RESULT)
     ids, texts = R.in_order(group)
-    every, gone, (doc, at, name), hit = R.earlier(ids, texts, answers, scheme(window, gram))
-    h = np.concatenate([x[4] for x in _words(texts)])
-    count = np.concatenate([np.diff(x[5]) for x in _words(texts)])
+    parts = [(x[4], np.diff(x[5])) for x in _words(texts)]
+    h, count = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
     base = np.cumsum(count) - count
-    # Passages and windows that occur earlier: where and how long.
-    start = np.concatenate((base[every.doc] + every.first, base[doc] + at))
-    size = np.concatenate((every.last - every.first + window, np.full(len(at), window)))
-    label = np.concatenate((every.passage, A.mix(name)))
-    flag = np.concatenate((gone, hit))
+    phrases = confirmed(ids, base, texts, answers, scheme(window, gram))
     mask = np.zeros(len(h), bool)
-    if flag.any():
+    if len(phrases.start):
         _, number = np.unique(h, return_inverse=True)
-        number = (number + 1).astype(np.int64)
-        repeats = np.flatnonzero(flag)
-        _, head, which = np.unique(label, return_index=True, return_inverse=True)
-        labels = np.unique(which[repeats])
-        patterns = zip(start[head[labels]].tolist(), size[head[labels]].tolist(), labels.tolist(), strict=True)
-        early = np.zeros(len(h), bool)  # the windows that occur earlier, by their first words
-        early[A.ranges(start[repeats], size[repeats] - window + 1)] = True
-        mask = _locate(patterns, number, base, count, early, window)
+        mask = _locate(phrases, (number + 1).astype(np.int64), base, count)
     rows = []
     for low, data, w_start, w_end, _, edge in _words(texts):
         for i in range(len(edge) - 1):
@@ -122,25 +159,25 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Ta
             off = mask[base[low + i] : base[low + i] + b - a]
             kept = np.flatnonzero(~off) + a
             words = [data[s:e] for s, e in zip(w_start[kept].tolist(), w_end[kept].tolist(), strict=True)]
-            rows.append((int(ids[low + i]), b - a, int(off.sum()), hashlib.sha256(b" ".join(words)).hexdigest()))
+            doc = None if ids[low + i] == NO_ID else int(ids[low + i])
+            rows.append((doc, b - a, int(off.sum()), hashlib.sha256(b" ".join(words)).hexdigest()))
     return R.table(rows, RESULT)
 
 
-def _locate(patterns, number: np.ndarray, base: np.ndarray, count: np.ndarray, early: np.ndarray, window: int) -> np.ndarray:
-    """Words covered by an occurrence of a pattern all of whose windows occur earlier.
+def _locate(phrases: Phrases, number: np.ndarray, base: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Words covered by an occurrence of a phrase after its first known place.
 
-    A pattern can also stand inside a longer passage of an earlier document, where it is the first.
+    The automata of a bucket share out its phrases; every document runs through all of them.
     """
     delta = np.zeros(len(number) + 1, np.int64)
-    before = np.concatenate(([0], np.cumsum(early)))
     places = digits(int(number.max()))
+    patterns = zip(phrases.start.tolist(), phrases.size.tolist(), range(len(phrases.start)), strict=True)
     for machine in automata(patterns, number, places):
         for b, n in zip(base.tolist(), count.tolist(), strict=True):
-            found = [(b + (end + 1) // places - size, size) for end, (size, _) in machine.iter(symbols(number[b : b + n], places))]
+            found = [(b + (end + 1) // places - size, size, label) for end, (size, label) in machine.iter(symbols(number[b : b + n], places))]
             if found:
-                begin, size = np.array(found).T
-                free = size - window + 1
-                on = before[begin + free] - before[begin] == free
+                begin, size, label = np.array(found).T
+                on = begin >= phrases.after[label]
                 np.add.at(delta, begin[on], 1)
                 np.add.at(delta, begin[on] + size[on], -1)
     return np.cumsum(delta[:-1]) > 0
@@ -151,11 +188,12 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     Removed is each word covered by `window` consecutive words that also start earlier: in a
     smaller doc_id, or earlier in the same document; windows are judged on the input. Null and
-    empty texts have no words. Rows of one doc_id are read one after another, by text. Rows without
-    doc_id are left out; an empty table gives none. Columns other than doc_id and text don't matter.
+    empty texts have no words. Rows of one doc_id are read one after another, by text, as one document.
+    Rows without doc_id stand before all others, and are kept with a null id; an empty table gives
+    none. Columns other than doc_id and text don't matter.
     """
     width = shuffle_width(docs)
-    own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text")
+    own = bucketed(docs, width, "text")
     told = R.answers(own, scheme(window, gram), width)
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         lambda a, b: _remove(a, b, window, gram), RESULT

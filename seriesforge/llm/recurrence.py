@@ -11,7 +11,8 @@ can share windows. A run's passage is the text its windows cover.
    is open: the first holder of each passage must show its windows.
 3. Windows shown are compared by content, and the first document of each window is found.
 
-All of it is exact up to equal 64-bit hashes of unequal passages or windows.
+Passages and windows are named by two 64-bit hashes of different make, and count as equal only if
+both agree.
 """
 
 from __future__ import annotations
@@ -29,29 +30,30 @@ from seriesforge.llm import arrays as A
 
 U64 = np.uint64
 SETTLED, OPEN = 1, 2
+SALT = 0x5851F42D4C957F2D
 
 
 @dataclass
 class Runs:
     """Of a bucket's documents (by doc_id): each run's document, first and last window start in
-    that document, key and passage hash. Windows and runs stand in document order."""
+    that document, key and passage name (two hashes). Windows and runs stand in document order."""
 
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
     passage: np.ndarray
+    check: np.ndarray
 
 
 @dataclass(frozen=True)
 class Scheme:
     """cut(texts) yields (index of the first text, units, start and count of each text's units) of
-    parts of a bucket's texts. within: an earlier place in the same document counts as earlier."""
+    parts of a bucket's texts."""
 
     cut: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
     window: int
     gram: int
-    within: bool
 
     def runs(self, texts: pa.Array) -> Runs:
         parts, before = [], []
@@ -63,14 +65,14 @@ class Scheme:
 
 def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> Runs:
     """values: the units of some texts, one after another; start and count of each text's units."""
-    least = A.sliding_least(A.grams(values, k), window - k + 1)
+    gram = A.grams(values, k)
+    least = A.sliding_least(gram, window - k + 1)
     many = count >= window
     base = start[many]
     free = count[many] - window + 1
     at = A.ranges(base, free)  # starts of the windows that lie in one text
     if not len(at):
-        e = np.zeros(0, np.int64)
-        return Runs(e, e, e, np.zeros(0, U64), np.zeros(0, U64))
+        return _no_runs()
     least = least[at]
     opened = np.zeros(len(at), bool)
     opened[np.cumsum(free) - free] = True
@@ -81,43 +83,58 @@ def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: in
     doc = np.flatnonzero(many)[np.searchsorted(np.cumsum(free), one, side="right")]
     key = A.mix(least[one])
     passage = A.pieces(values, first, last + window)
-    return Runs(doc, first - start[doc], last - start[doc], key, passage)
+    check = A.pieces(A.mix(gram + U64(SALT)), first, last + window - k + 1)  # of spread grams, not of units
+    return Runs(doc, first - start[doc], last - start[doc], key, passage, check)
+
+
+def _no_runs() -> Runs:
+    e, h = np.zeros(0, np.int64), np.zeros(0, U64)
+    return Runs(e, e, e, h, h, h)
 
 
 def join_runs(parts: list[Runs], docs_before: list[int]) -> Runs:
     if not parts:
-        e = np.zeros(0, np.int64)
-        return Runs(e, e, e, np.zeros(0, U64), np.zeros(0, U64))
+        return _no_runs()
     return Runs(
         np.concatenate([p.doc + n for p, n in zip(parts, docs_before, strict=True)]),
-        *[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "key", "passage")],
+        *[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "key", "passage", "check")],
     )
 
 
-SENT = "kb int, bucket int, n long, keys binary, passages binary, docs binary, rank binary"
+SENT = "kb int, bucket int, n long, keys binary, passages binary, checks binary, docs binary, rank binary"
 
 
-def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, key: np.ndarray | None, width: int) -> pa.Table:
+def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, check: np.ndarray, key: np.ndarray | None, width: int) -> pa.Table:
     """One row for each bucket of keys: distinct passages of this bucket, each with its first document.
 
     doc: index in docs, ascending. Keys are cut to some upper bits here; that may put unequal grams under
     one key, which costs work only. Without keys the passages go by themselves.
     """
-    passage, head = np.unique(passage, return_index=True)
+    head = distinct(passage, check)
+    passage, check = passage[head], check[head]
     keyed = key is not None
     key = key[head] >> A.key_shift(width) if keyed else passage
     to = (key % U64(width)).astype(np.int64)
     order = np.lexsort((key, to))
-    head, key, to, passage = head[order], key[order], to[order], passage[order]
+    head, key, to, passage, check = head[order], key[order], to[order], passage[order], check[order]
     rows = []
     for a, b in A.equal_runs(to):
         own, rank = np.unique(docs[doc[head[a:b]]], return_inverse=True)
         small = np.uint16 if len(own) <= 1 << 16 else np.uint32
-        rows.append((int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)) if keyed else None, passage[a:b].tobytes(),
+        rows.append((int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)) if keyed else None, passage[a:b].tobytes(), check[a:b].tobytes(),
                      A.pack_ascending(own.astype(np.int64).view(U64) ^ U64(1 << 63)), rank.astype(small).tobytes()))
     return table(rows, SENT)
 
 
+def distinct(name: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The first place of each distinct (name, check), ascending by name."""
+    order = np.lexsort((check, name))  # stable: the first place comes first
+    a, b = name[order], check[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
+
+
 def table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
@@ -125,7 +142,7 @@ def table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-TOLD = "bucket int, kind int, n long, passages binary, docs binary"
+TOLD = "bucket int, kind int, n long, passages binary, checks binary, docs binary"
 
 
 def judge(sent: pa.Table) -> pa.Table:
@@ -136,10 +153,11 @@ def judge(sent: pa.Table) -> pa.Table:
     bucket = np.repeat(np.array([x["bucket"] for x in rows]), n)
     keyed = rows[0]["keys"] is not None
     passage = np.concatenate([np.frombuffer(x["passages"], U64) for x in rows])
+    check = np.concatenate([np.frombuffer(x["checks"], U64) for x in rows])
     doc = np.concatenate([_docs(x) for x in rows])
-    order = np.lexsort((doc, passage))
-    bucket, passage, doc = bucket[order], passage[order], doc[order]
-    new = np.concatenate(([True], passage[1:] != passage[:-1]))
+    order = np.lexsort((doc, check, passage))
+    bucket, passage, check, doc = bucket[order], passage[order], check[order], doc[order]
+    new = np.concatenate(([True], (passage[1:] != passage[:-1]) | (check[1:] != check[:-1])))
     group = np.cumsum(new) - 1
     first = doc[new][group]
     settled = first < doc
@@ -155,7 +173,7 @@ def judge(sent: pa.Table) -> pa.Table:
         for a, b in A.equal_runs(bucket[at]):
             own = at[a:b]
             sort = np.argsort(passage[own])
-            out.append((int(bucket[own[0]]), kind, b - a, passage[own][sort].tobytes(), first[own][sort].tobytes()))
+            out.append((int(bucket[own[0]]), kind, b - a, passage[own][sort].tobytes(), check[own][sort].tobytes(), first[own][sort].tobytes()))
     return table(out, TOLD)
 
 
@@ -165,15 +183,29 @@ def _docs(x: dict) -> np.ndarray:
     return (A.unpack_ascending(x["docs"], own) ^ U64(1 << 63)).view(np.int64)[rank]
 
 
-def told(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The passages (ascending) of one kind told to a bucket, and their first documents."""
-    rows = answers.filter(pc.equal(answers.column("kind"), kind)).select(["passages", "docs"]).to_pylist()
+@dataclass
+class Names:
+    """Names told to a bucket, ascending, with the first document of each."""
+
+    name: np.ndarray
+    check: np.ndarray
+    doc: np.ndarray
+
+    def find(self, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each name its place here, and whether it is there."""
+        at, there = A.places(self.name, name)
+        return at, there & (self.check[at] == check) if len(self.name) else there
+
+
+def told(answers: pa.Table, kind: int) -> Names:
+    """The passages of one kind told to a bucket."""
+    rows = answers.filter(pc.equal(answers.column("kind"), kind)).select(["passages", "checks", "docs"]).to_pylist()
     if not rows:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    p = np.concatenate([np.frombuffer(x["passages"], U64) for x in rows])
+        return Names(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
+    p, c = (np.concatenate([np.frombuffer(x[f], U64) for x in rows]) for f in ("passages", "checks"))
     d = np.concatenate([np.frombuffer(x["docs"], np.int64) for x in rows])
     order = np.argsort(p)
-    return p[order], d[order]
+    return Names(p[order], c[order], d[order])
 
 
 KEYS = "kb int, bucket int, n long, keys binary"
@@ -211,49 +243,56 @@ def _send_shared(group: pa.Table, replies: pa.Table, scheme: Scheme, width: int)
     key = r.key >> A.key_shift(width)
     parts = [A.unpack_ascending(x["keys"], x["n"]) * U64(width) + U64(x["kb"]) for x in replies.to_pylist()]
     shared = np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64)
-    passage, head = np.unique(r.passage, return_index=True)
+    head = distinct(r.passage, r.check)
     own, which, often = np.unique(key[head], return_inverse=True, return_counts=True)
     on = head[A.places(shared, key[head])[1] | (often[which] > 1)]
     on.sort()
-    return send(group.column("bucket")[0].as_py(), ids, r.doc[on], r.passage[on], r.key[on], width)
+    return send(group.column("bucket")[0].as_py(), ids, r.doc[on], r.passage[on], r.check[on], r.key[on], width)
 
 
-def windows(values: np.ndarray, start: np.ndarray, r: Runs, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and rank name of every window of some runs.
+@dataclass
+class Shown:
+    """Windows by document and start, with their names."""
 
-    The name of a window is made of the rank names of its halves: those of the positions p and
-    p + window / 2, at which a name stands for window / 2 units (rounded up).
-    """
+    doc: np.ndarray
+    at: np.ndarray
+    name: np.ndarray
+    check: np.ndarray
+
+
+def windows(values: np.ndarray, start: np.ndarray, r: Runs, which: np.ndarray, window: int) -> Shown:
+    """Every window of some runs. A window's name is made of the names of its halves: those of the
+    positions p and p + window / 2, at which a name stands for window / 2 units (rounded up)."""
     half = -(-window // 2)
-    name = A.grams(values, half)
     often = r.last[which] - r.first[which] + 1
     doc = np.repeat(r.doc[which], often)
     p = A.ranges(start[r.doc[which]] + r.first[which], often)
-    return doc, p - start[doc], A.mix(A.mix(name[p]) * U64(3) + name[p + window - half])
+    one, two = A.grams(values, half), A.grams(A.mix(values + U64(SALT)), half)
+    names = [A.mix(A.mix(n[p]) * U64(3) + n[p + window - half]) for n in (one, two)]
+    return Shown(doc, p - start[doc], *names)
 
 
-def open_windows(texts: pa.Array, ids: np.ndarray, answers: pa.Table, scheme: Scheme, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_windows(texts: pa.Array, ids: np.ndarray, answers: pa.Table, scheme: Scheme, inner: bool = False) -> Shown:
     """The windows that a bucket must show: those of open passages whose first holder is here.
 
     inner: also those of runs in which the least gram occurs twice; only they can hold a window twice.
     """
-    wanted, holder = told(answers, OPEN)
+    wanted = told(answers, OPEN)
     out = []
-    for low, values, start, count in scheme.cut(texts) if len(wanted) or inner else ():
+    for low, values, start, count in scheme.cut(texts) if len(wanted.name) or inner else ():
         r = runs_of(values, start, count, scheme.window, scheme.gram)
-        at, there = A.places(wanted, r.passage)
-        if len(wanted):
-            there &= holder[at] == ids[r.doc + low]
+        at, there = wanted.find(r.passage, r.check)
+        if len(wanted.name):
+            there = there & (wanted.doc[at] == ids[r.doc + low])
         if inner:
             there |= _doubled(values, start, r, scheme)
         mine = np.flatnonzero(there)
         if len(mine):
-            doc, p, name = windows(values, start, r, mine, scheme.window)
-            out.append((doc + low, p, name))
+            w = windows(values, start, r, mine, scheme.window)
+            out.append((w.doc + low, w.at, w.name, w.check))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    doc, p, name = (np.concatenate(c) for c in zip(*out, strict=True))
-    return doc, p, name
+        return Shown(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
+    return Shown(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
 def _doubled(values: np.ndarray, start: np.ndarray, r: Runs, scheme: Scheme) -> np.ndarray:
@@ -271,47 +310,46 @@ def _show(group: pa.Table, answers: pa.Table, scheme: Scheme, width: int) -> pa.
     if not group.num_rows or not answers.num_rows:
         return table([], SENT)
     ids, texts = in_order(group)
-    doc, _, name = open_windows(texts, ids, answers, scheme)
-    return send(group.column("bucket")[0].as_py(), ids, doc, name, None, width)
+    w = open_windows(texts, ids, answers, scheme)
+    return send(group.column("bucket")[0].as_py(), ids, w.doc, w.name, w.check, None, width)
 
 
-def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """TOLD rows for every bucket, with step 1 (passages) and 2 (windows). own is bucketed()."""
+def passages_told(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """TOLD rows for every bucket, by steps 1 and 2. own is bucketed()."""
 
     def ask(group: pa.Table) -> pa.Table:
         A.calm_malloc()
         return send_keys(group.column("bucket")[0].as_py(), scheme.runs(in_order(group)[1]), width)
 
     replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(judge_keys, KEYS)
-    passages = own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
+    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
         lambda a, b: _send_shared(a, b, scheme, width), SENT
     ).groupBy("kb").applyInArrow(judge, TOLD)
+
+
+def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+    """TOLD rows for every bucket, with step 1 (passages) and 2 (windows). own is bucketed()."""
+    passages = passages_told(own, scheme, width)
     shown = own.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(
         lambda a, b: _show(a, b, scheme, width), SENT
     )
-    # Reranking: windows of one name are of one rank; their first document decides.
+    # The first document of each window decides.
     ranked = shown.groupBy("kb").applyInArrow(judge, TOLD)
     return passages.withColumn("step", F.lit(1)).unionByName(ranked.withColumn("step", F.lit(2)))
 
 
-def earlier(group_ids: np.ndarray, texts: pa.Array, told_rows: pa.Table, scheme: Scheme) -> tuple[Runs, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """The runs of a bucket and which of them occur earlier, whole; and the same for the windows shown."""
-    ids = group_ids
-    one = told_rows.filter(pc.equal(told_rows.column("step"), 1))
-    two = told_rows.filter(pc.equal(told_rows.column("step"), 2))
-    every = scheme.runs(texts)
-    gone = _later(every.passage, every.doc, ids, scheme.within) | A.places(told(one, SETTLED)[0], every.passage)[1]
-    shown = open_windows(texts, ids, one, scheme, scheme.within)
-    hit = _later(shown[2], shown[0], ids, scheme.within) | A.places(told(two, SETTLED)[0], shown[2])[1]
-    return every, gone, shown, hit
-
-
-def _later(name: np.ndarray, doc: np.ndarray, ids: np.ndarray, within: bool) -> np.ndarray:
-    """Which names stand before in this bucket: in a smaller document, or at all if within."""
-    _, head, which = np.unique(name, return_index=True, return_inverse=True)
-    if within:
-        return np.arange(len(name)) != head[which]
-    return ids[doc] > ids[doc[head]][which]
+def earlier(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:
+    """Which runs of a bucket have a passage that a smaller document has, too, here or elsewhere."""
+    _, head, which = np.unique(r.passage, return_index=True, return_inverse=True)
+    here = (ids[r.doc] > ids[r.doc[head]][which]) & (r.check == r.check[head][which])
+    return here | told(told_rows, SETTLED).find(r.passage, r.check)[1]
+
+
+def open_runs(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:
+    """The runs of open passages of which the first holder is here."""
+    wanted = told(told_rows, OPEN)
+    at, there = wanted.find(r.passage, r.check)
+    return there & (wanted.doc[at] == ids[r.doc]) if len(wanted.name) else there
 
 
 def in_order(group: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray]:

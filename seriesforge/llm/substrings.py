@@ -1,12 +1,12 @@
 """Suffix-array dedup: byte strings of a fixed length that also start in an earlier document.
 
-The method is winnowing with window hashes, not prefix doubling: positions are thinned by content
-(recurrence.py), which hashes 20-byte grams and then whole passages; passages that repeat unchanged
-are settled there, unique ones drop out. Where passages of one gram differ, every window of 50 bytes
-gets a hash that combines those of its two halves of 25 bytes, and the first document of each hash
-decides. There are no ranks, no growing offsets and no Spark sort of pairs: ranking all positions of
-a corpus at every offset would move tens of bytes for each byte of text. Results are exact up to
-equal 64-bit hashes.
+1. Most positions can't start a repeated string; they are left out first (recurrence.py). Every
+   window of 50 bytes has a key, the least hash of its grams of 28 bytes; equal windows have equal
+   keys, so windows whose key no other document has go, and so do passages that an earlier document
+   has whole (by two 64-bit hashes): all their windows are repeats. No repeated window is lost.
+2. The windows that are left, those of passages that share a key and differ, go through prefix
+   doubling (doubling.py): rank pairs are dealt by Spark and sorted at offsets 8, 16 and 18, reranked, and dropped
+   once unique. Past 50 bytes the least document of each string decides.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
+from seriesforge.llm import doubling as D
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import bucketed, runs, shuffle_width
+from seriesforge.llm.common import NO_ID, bucketed, runs, shuffle_width, stored
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
 U64 = np.uint64
 
 
@@ -40,12 +42,49 @@ def _cut(texts: pa.Array):
 
 
 def scheme(length: int = LENGTH, gram: int = GRAM) -> R.Scheme:
-    return R.Scheme(_cut, length, gram, within=False)
+    return R.Scheme(_cut, length, gram)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int) -> pa.Table:
+    """A bucket's state for the doubling: the open passages first held here; neighbours are one piece."""
+    A.calm_malloc()
+    if not group.num_rows or not answers.num_rows:
+        return R.table([], D.STATE)
+    ids, texts = R.in_order(group)
+    found, text = [], []
+    for low, data, start, count in _pieces(texts):
+        r = R.runs_of(np.frombuffer(data, np.uint8).astype(U64) + U64(1), start, count, length, gram)
+        r.doc = r.doc + low
+        on = np.flatnonzero(R.open_runs(ids, r, answers))
+        if not len(on):
+            continue
+        doc, first, last = r.doc[on], r.first[on], r.last[on]
+        opened = np.ones(len(on), bool)
+        opened[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
+        one = np.flatnonzero(opened)
+        last = last[np.append(one[1:], len(on)) - 1]
+        doc, first = doc[one], first[one]
+        size = last - first + length
+        begin = start[doc - low] + first
+        text += [data[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+        found.append((doc, ids[doc], first, size))
+    if not found:
+        return R.table([], D.STATE)
+    return R.table([D.state_row(group.column("bucket")[0].as_py(), *(np.concatenate(c) for c in zip(*found, strict=True)), b"".join(text))], D.STATE)
+
+
+def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (its place in the bucket), first and last start of the strings found by the doubling."""
+    rows = answers.filter(pc.equal(answers.column("kind"), D.HIT)).to_pylist()
+    if not rows:
+        e = np.zeros(0, np.int64)
+        return e, e, e
+    return tuple(np.concatenate([np.frombuffer(x[c], "<i8") for x in rows]) for c in ("passages", "checks", "docs"))
+
+
 def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema: str | list[str]) -> pa.Table:
     """RESULT rows; or, if schema lists columns, the group's rows with what is left of text."""
     A.calm_malloc()
@@ -55,8 +94,9 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
         return R.table(rows, RESULT) if digest else group.select(schema)
     group = R.sort_group(group)
     ids, texts = R.in_order(group)
-    every, gone, (hit_doc, hit_at, _), hit = R.earlier(ids, texts, answers, scheme(length, gram))
-    hit_doc, hit_at = hit_doc[hit], hit_at[hit]
+    every = scheme(length, gram).runs(texts)
+    gone = R.earlier(ids, every, answers)
+    hit_doc, hit_first, hit_last = _hit(answers)
     bound = np.searchsorted(every.doc, np.arange(len(ids) + 1))
     lo = np.searchsorted(hit_doc, np.arange(len(ids) + 1))
     left: list[str] = []
@@ -65,18 +105,18 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
             d = low + i
             raw = data[start[i] : start[i] + count[i]]
             on = bound[d] + np.flatnonzero(gone[bound[d] : bound[d + 1]])
-            more = hit_at[lo[d] : lo[d + 1]]
+            more = slice(lo[d], lo[d + 1])
             removed = spans = 0
-            if len(on) or len(more):
+            if len(on) or lo[d] < lo[d + 1]:
                 mask = A.cover(
-                    len(raw), np.concatenate((every.first[on], more)),
-                    np.concatenate((every.last[on] + length, more + length)),
+                    len(raw), np.concatenate((every.first[on], hit_first[more])),
+                    np.concatenate((every.last[on], hit_last[more])) + length,
                 )
                 removed = int(mask.sum())
                 spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
                 raw = np.frombuffer(raw, np.uint8)[~mask].tobytes()
             if digest:
-                rows.append((int(ids[d]), int(count[i]), removed, spans, hashlib.sha256(raw).hexdigest()))
+                rows.append((None if ids[d] == NO_ID else int(ids[d]), int(count[i]), removed, spans, hashlib.sha256(raw).hexdigest()))
             else:
                 left.append(raw.decode(errors="ignore"))
     if digest:
@@ -90,8 +130,13 @@ def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None
     width = shuffle_width(docs)
     more = [c for c in columns or [] if c not in ("doc_id", "text")]
     rest = [F.struct(*more).alias("_rest")] if more else []  # one column, so that no name clashes
-    own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text", *rest)
-    told = R.answers(own, scheme(length, gram), width)
+    own = bucketed(docs, width, "text", *rest)
+    plain = bucketed(docs, width, "text")  # the other columns stay at home until the end
+    told = stored(R.passages_told(plain, scheme(length, gram), width), "passages")
+    pieces = stored(plain.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
+        lambda a, b: _pieces_of(a, b, length, gram), D.STATE
+    ), "pieces")
+    told = told.unionByName(D.repeated(pieces, length, width))
     schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         lambda a, b: _remove(a, b, length, gram, schema), own.select(schema).schema if columns else RESULT
@@ -103,8 +148,8 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
     Removed is each byte covered by a string of `length` bytes that also starts in a document with
     a smaller doc_id; strings are judged on the input. Null and empty texts have no bytes. Rows of
-    one doc_id are one document as to "smaller", and stay separate rows. Rows without doc_id are
-    left out. An empty table gives none. Columns other than doc_id and text don't matter.
+    one doc_id are one document as to "smaller", and stay separate rows. Rows without doc_id stand
+    before all others, as one document, and keep their null id. An empty table gives none. Columns other than doc_id and text don't matter.
     """
     return _resolved(docs, length, gram, None)
 
@@ -113,10 +158,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """docs with the removed bytes taken out of text; the columns stay.
 
     What is left of a cut character is dropped with it. n_chars, if there, is counted anew.
-    Documents of which nothing is left go, and so do null texts and rows without doc_id.
+    Documents of which nothing is left go, and so do null texts. Nulls in doc_id as in remove_substrings.
     """
     out = _resolved(docs, length, gram, docs.columns)
-    out = out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+    named = {c: F.col("_rest").getField(c) for c in docs.columns} | {
+        "doc_id": F.nullif("doc_id", F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    out = out.select(*[named[c].alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
