@@ -1,4 +1,4 @@
-"""Media columns: texts as FLAC streams with PCM blocks at seekable sample offsets."""
+"""Media columns: texts as FLAC streams, read back as PCM blocks at seekable sample offsets."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from seriesforge.llm.arrays import calm_malloc
 from seriesforge.llm.common import runs
 
 UNIT = 64
+#: Bytes that are encoded or decoded side by side.
+PART = 3 << 20
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -29,85 +31,103 @@ def features(samples: np.ndarray) -> tuple[int, int, int, int, int]:
     return int(x.min()), int(x.max()), int(x.sum()), int((x * x).sum()), int(((x[1:] < 0) != (x[:-1] < 0)).sum())
 
 
-def _text(parts: list[str | None]) -> tuple[list[bytes], list[int], flac.Streams, list[bytes]]:
-    made = [payload(t) for t in parts]
-    streams = flac.encode([p for p, _ in made])
-    back = flac.decode(streams.data, streams.start, streams.frame_start, streams.frame_stream)
-    return [p for p, _ in made], [n for _, n in made], streams, back
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MEDIA = "doc_id long, n_bytes long, media binary"
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     calm_malloc()
     for batch in batches:
         texts = batch.column("text")
-        for low, high in runs(texts, 3 << 20):
-            _, sizes, streams, back = _text(texts.slice(low, high - low).to_pylist())
-            rows = []
-            names = flac_kinds(streams)
-            for i, (n, p) in enumerate(zip(sizes, back, strict=True)):
-                media = streams.data[int(streams.start[i]) : int(streams.start[i + 1])]
-                x = np.frombuffer(p, np.uint8).view(np.int8) ^ np.int8(-128)
-                lo, hi, total, energy, turns = features(x)
-                rows.append((
-                    n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
-                    f"frames={names[i]};min={lo};max={hi};sum={total};energy={energy};turns={turns}",
-                ))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(low, high - low), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                [c.split()[0] for c in SCHEMA.split(", ")],
-            )
+        for low, high in runs(texts, PART):
+            made = [payload(t) for t in texts.slice(low, high - low).to_pylist()]
+            s = flac.encode([p for p, _ in made])
+            bounds = s.start.tolist()
+            media = [s.data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            docs = batch.column("doc_id").slice(low, high - low).to_pylist()
+            yield _batch([(d, n, m) for d, (_, n), m in zip(docs, made, media, strict=True)], MEDIA)
 
 
-def flac_kinds(streams: flac.Streams) -> list[str]:
-    """Per stream the kinds of its frames, as `constant/verbatim/fixed` counts."""
-    n = len(streams.start) - 1
-    count = lambda which: np.bincount(streams.frame_stream[which], minlength=n)
-    k = streams.predictors
-    return [f"{a}/{b}/{c}" for a, b, c in zip(count(k == 0), count(k == 1), count(k >= 8), strict=True)]
+def encode_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media of every document: its padded UTF-8 as a FLAC stream of 8-bit samples.
 
+    Null and empty texts are 64 zero bytes. Equal texts give equal streams. Repeated rows and null
+    doc_ids stay; an empty table gives none. Only doc_id and text are read. Nothing is shuffled;
+    memory follows parts of about 3 MB or one text.
+    """
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_encoded, MEDIA)
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, int, flac.Pcm, list[bytes]]]:
+    """Parts of a batch of media: first row, end, what was read back, and the streams."""
+    media = batch.column("media")
+    for low, high in runs(media, PART):
+        streams = media.slice(low, high - low).to_pylist()
+        start = np.cumsum([0, *map(len, streams)])
+        yield low, high, flac.decode(b"".join(streams), start), streams
 
-SCHEMA = (
+
+DIGESTS = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string"
 )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    calm_malloc()
+    for batch in batches:
+        docs, sizes = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
+        for low, high, pcm, streams in _decoded(batch):
+            count = lambda which: np.bincount(pcm.stream[which], minlength=high - low).tolist()  # noqa: E731, B023
+            kinds = zip(count(pcm.kind == 0), count(pcm.kind == 1), count((pcm.kind >= 8) & (pcm.kind < 32)), count(pcm.kind >= 32), strict=True)
+            rows = []
+            for doc, n, media, p, of in zip(docs[low:high], sizes[low:high], streams, pcm.payloads(), kinds, strict=True):
+                lo, hi, total, energy, turns = features(np.frombuffer(p, np.uint8).view(np.int8) ^ np.int8(-128))
+                rows.append((
+                    doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
+                    f"frames={of[0]}/{of[1]}/{of[2]}/{of[3]};min={lo};max={hi};sum={total};energy={energy};turns={turns}",
+                ))
+            yield _batch(rows, DIGESTS)
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
-    """One row per document: its text stored as FLAC, decoded again, and what was read back.
+    """One row per document: what is read back from its stored FLAC stream.
 
-    Null and empty texts are 64 zero bytes. Equal texts give equal values. Repeated rows stay; an
-    empty table gives none. Only doc_id and text are read. A frame that fails a check ends the
-    task with ValueError. Nothing is shuffled; memory follows batches of about 8 MB or one text.
+    The streams go as a column to the reader, which knows nothing else of them. feature: frames that are constant,
+    verbatim, of a fixed and of a linear predictor, and least, greatest, sum, energy and sign changes of the
+    samples. Nulls, repeats and empty tables as in encode_media. A stream that fails a check ends the task
+    with ValueError.
     """
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_rows, SCHEMA)
+    return encode_media(docs).mapInArrow(_digests, DIGESTS)
 
 
-BLOCKS = "doc_id long, block long, sample_offset long, byte_offset long, n_samples long, media binary, pcm binary"
+BLOCKS = "doc_id long, block long, sample_offset long, byte_offset long, n_samples long, pcm binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    calm_malloc()
     for batch in batches:
-        texts = batch.column("text")
-        for low, high in runs(texts, 4 << 20):
-            docs = batch.column("doc_id").slice(low, high - low).to_pylist()
-            _, _, s, back = _text(texts.slice(low, high - low).to_pylist())
-            last = np.append(s.frame_stream[1:] != s.frame_stream[:-1], True)
-            end = np.where(last, s.start[s.frame_stream + 1], np.append(s.frame_start[1:], len(s.data)))
-            rows = []
-            for i, a, e, at in zip(s.frame_stream.tolist(), s.frame_start.tolist(), end.tolist(), s.frame_sample.tolist(), strict=True):
-                pcm = back[i][at : at + flac.BLOCK]
-                rows.append((docs[i], at // flac.BLOCK, at, a - int(s.start[i]), len(pcm), s.data[a:e], pcm))
-            names = [c.split()[0] for c in BLOCKS.split(", ")]
-            kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        docs = batch.column("doc_id").to_pylist()
+        for low, _, pcm, _ in _decoded(batch):
+            at = (pcm.start[pcm.stream] + pcm.sample).tolist()
+            rows = [
+                (docs[low + i], k // flac.BLOCK, k, byte, n, pcm.data[a : a + n])
+                for i, k, byte, n, a in zip(pcm.stream.tolist(), pcm.sample.tolist(), pcm.byte.tolist(), pcm.length.tolist(), at, strict=True)
+            ]
+            yield _batch(rows, BLOCKS)
 
 
-def media_blocks(docs: DataFrame) -> DataFrame:
-    """PCM blocks with their frames: sample_offset and byte_offset of each are its seek point.
+def media_blocks(media: DataFrame) -> DataFrame:
+    """PCM blocks of encode_media()'s streams: sample_offset and byte_offset of each are its seek point.
 
     A block can be read by itself: its frame starts at byte_offset in its stream and holds the
-    samples from sample_offset on. Nulls, empty and repeated texts as in media_digests.
+    samples from sample_offset on (flac.read_block reads it from the stream alone). Nulls, empty and
+    repeated texts as in encode_media.
     """
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_blocks, BLOCKS)
+    return media.select("doc_id", "media").mapInArrow(_blocks, BLOCKS)
