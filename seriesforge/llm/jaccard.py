@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import bucketed, runs, shuffle_width, stored
+from seriesforge.llm.common import NO_ID, bucketed, join_split, runs, scratch, shuffle_width, stored
 
 U64 = np.uint64
 WORDS = 5
@@ -88,7 +88,9 @@ def _judge_keys(sent: pa.Table) -> pa.Table:
     return R.table(out, KEYS)
 
 
-FOUND = "doc_id long, n_shingles long, digest long, small long, prefix binary, items binary"
+FOUND = "doc_id long, n_shingles long, digest long, digest2 long, small long, prefix binary, items binary"
+#: Equal sets: of equal size and digests.
+SAME = ["digest", "digest2", "n_shingles"]
 
 
 def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
@@ -107,7 +109,7 @@ def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
     at, shared = A.places(key, values >> A.key_shift(width))
     rank = np.where(shared, level[at] + 1 if len(level) else 0, 0)
     n = np.diff(bounds)
-    digest = A.pieces(A.mix(values), bounds[:-1], bounds[1:]).view(np.int64)
+    digest, digest2 = (A.pieces(A.mix(values + U64(salt)), bounds[:-1], bounds[1:]).view(np.int64) for salt in (0, R.SALT))
     lone = np.concatenate(([0], np.cumsum(~shared)))
     lone = lone[bounds[1:]] - lone[bounds[:-1]]
     prefix = n - (SHARE * n + 99) // 100 + 1
@@ -121,13 +123,13 @@ def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
             head = np.lexsort((s, s >> A.key_shift(width), r))[: prefix[i]]
             first, items = s[head][r[head] > 0].tobytes(), s.tobytes()
             small = max(0, int(n[i]) - (6 * int(n[i]) + 6) // 7 + 1 - int(lone[i]))
-        rows.append((int(ids[i]), int(n[i]), int(digest[i]), small, first, items))
+        rows.append((int(ids[i]), int(n[i]), int(digest[i]), int(digest2[i]), small, first, items))
     return R.table(rows, FOUND)
 
 
 def describe(docs: DataFrame) -> DataFrame:
     width = shuffle_width(docs)
-    own = bucketed(docs.filter(F.col("doc_id").isNotNull()), width, "text")
+    own = bucketed(docs, width, "text")
 
     def ask(group: pa.Table) -> pa.Table:
         A.calm_malloc()
@@ -262,14 +264,15 @@ def bridges(measured: DataFrame, items: DataFrame) -> DataFrame:
 
 def links(found: DataFrame) -> DataFrame:
     """(a, b): linked representatives of unequal sets, enough to connect every component."""
-    near = found.filter(F.col("items").isNotNull())
-    reps = near.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    near = found.filter(F.col("items").isNotNull() & (F.col("doc_id") != NO_ID))
+    reps = near.groupBy(*SAME).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     near = stored(near.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "small", "prefix", "items"), "near")
     keys = near.select("doc_id", "small", "prefix").mapInArrow(_listed, "doc_id long, key long, core boolean")
     pivots = keys.groupBy("key").agg(
         F.min("doc_id").alias("region"), F.count("*").alias("n"), F.max("core").alias("any")
-    ).filter("n > 1 AND any").select("key", "region")
-    members = keys.join(pivots, "key").groupBy("region", "doc_id").agg(F.max("core").alias("core"))
+    ).filter("n > 1 AND any").select("key", "region", "n")
+    prefixes = near.agg(F.sum(F.expr("octet_length(prefix) div 8"))).first()[0] or 0
+    members = join_split(keys, pivots, ["key"], "n", prefixes).groupBy("region", "doc_id").agg(F.max("core").alias("core"))
     items = near.select("doc_id", "items")
     edges = None
     while True:
@@ -312,7 +315,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = of.select(F.col("u").alias("c"), F.col("cu").alias("cc"))
         label = stored(step.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
         if label.filter("c <> old").isEmpty():
-            return label.select(F.col("v").alias("doc_id"), F.col("c").alias("component"))
+            out = label.select(F.col("v").alias("doc_id"), F.col("c").alias("component"))
+            out.folder = label.folder
+            return out
         label = label.select("v", "c")
 
 
@@ -322,22 +327,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A document's set: its distinct 5-word shingles, A-Z lower-cased; with fewer words the whole
     sequence. Documents link when 100 * intersection >= 75 * union; component_id is the least
     doc_id reachable by links. Documents without words (null and empty texts among them) have 0
-    shingles and link with nothing. Equal sets are one node of the join. Rows without doc_id are
-    left out, repeated rows stay; an empty table gives none. Sets are of 64-bit hashes.
+    shingles and link with nothing. Equal sets are one node of the join. Rows without doc_id link
+    with nothing and have no component; repeated rows stay; an empty table gives none. Shingles are
+    told apart by 64-bit hashes, equal sets by 128 bits of digest and their size.
     """
-    found = stored(describe(docs), "sets")
-    of = components(links(found))
-    classes = found.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    labelled = classes.join(of.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
-        "digest", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("_component")
-    )
-    base = found.select("doc_id", "n_shingles", "digest")
-    return base.join(
-        labelled, (base["digest"] == labelled["digest"]) & (F.col("n_shingles") == F.col("_n")) , "left"
-    ).select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        found = stored(describe(docs), "sets")
+        of = components(links(found))
+        keep |= {found.folder, of.folder}
+    classes = found.filter(F.col("doc_id") != NO_ID).filter("n_shingles > 0").groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    labelled = classes.join(of.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*SAME, "n", F.coalesce("component", "rep").alias("component"))
+    every = join_split(found.select("doc_id", *SAME), labelled, SAME, "n", found.count(), "left")
+    return every.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the least doc_id's; columns stay as they are."""
-    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """docs with one document of each component, the least doc_id's; columns stay as they are.
+
+    Rows without doc_id stay, and so do documents without words. Of repeated rows of a kept doc_id all stay.
+    """
+    gone = jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(docs.columns)
