@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.llm.common import join_split
+
 # The rules of the query (verdict, host, path).
 RULES = [
     ("allow", "com", "/"),
@@ -29,8 +31,12 @@ def canonical(url: F.Column) -> tuple[F.Column, F.Column]:
     """
     part = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     safe = F.coalesce(url, F.lit(""))
-    host = F.translate(F.regexp_extract(safe, part, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return host, F.regexp_extract(safe, part, 2)
+    return _lower(F.regexp_extract(safe, part, 1)), F.regexp_extract(safe, part, 2)
+
+
+def _lower(host: F.Column) -> F.Column:
+    """A-Z only, for pages and rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
@@ -66,7 +72,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, filter_bytes: int = FILTER_B
     host, path = canonical(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rules = listed.select(
-        "verdict", F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"),
+        "verdict", _lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"),
     ).withColumn("key", F.concat_ws("", "rule_host", "rule_path")).withColumn(
         "host_length", F.length("rule_host")
     ).groupBy("key", "rule_host", "rule_path", "host_length").agg(F.max("verdict").alias("verdict"))
@@ -79,12 +85,12 @@ def url_filter(pages: DataFrame, listed: DataFrame, filter_bytes: int = FILTER_B
     # Only distinct (host, path heads) go further: one host may hold a third of all pages.
     longest = max(lengths)
     heads = parts.select("host", F.substring("path", 1, longest).alias("head"))
-    todo = heads.filter("host <> ''").distinct()
+    todo = heads.filter("host <> ''").groupBy("host", "head").agg(F.count("*").alias("pages"))
     keys = todo.withColumn("labels", F.split("host", r"\.")).withColumn(
         "suffix", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))"))
     ).withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths]))).filter(
         F.length("head") >= F.col("length")
-    ).select("host", "head", "suffix", F.expr("substring(head, 1, length)").alias("prefix")).withColumn(
+    ).select("host", "head", "pages", "suffix", F.expr("substring(head, 1, length)").alias("prefix")).withColumn(
         "key", F.concat("suffix", "prefix")
     ).withColumn("block", _block("key", n_blocks)).withColumn("mask", _mask("key"))
 
@@ -95,13 +101,14 @@ def url_filter(pages: DataFrame, listed: DataFrame, filter_bytes: int = FILTER_B
     hits = possible.join(
         rules.select("key", "rule_host", "rule_path", "verdict"),
         (possible["key"] == rules["key"]) & (F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")),
-    ).groupBy("host", "head").agg(
+    ).groupBy("host", "head", "pages").agg(
         F.max_by(
             F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"),
             F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host")),
         ).alias("best")
     )
-    return parts.withColumn("head", F.substring("path", 1, longest)).join(hits, ["host", "head"], "left").select(
+    judged = join_split(parts.withColumn("head", F.substring("path", 1, longest)), hits, ["host", "head"], "pages", pages.count(), "left")
+    return judged.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"),
     )
