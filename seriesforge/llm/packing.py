@@ -117,28 +117,33 @@ def _packed(batches: Iterator[pa.RecordBatch], spec: Packing) -> Iterator[pa.Rec
     encoder = Encoder.of(spec.path)
     base = TaskContext.get().partitionId() << 36
     made = steps = 0
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
     kept: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, its tokens, start, ids
 
-    def flush(items: list[tuple[int | None, int, int, np.ndarray]], last: bool) -> tuple[pa.RecordBatch, list]:
-        nonlocal made, steps
+    def flush(items: list[tuple[int | None, int, int, np.ndarray]], last: bool) -> tuple[list[list[tuple]], list]:
+        """Sequences as lists of rows, but for their step, and the pieces kept for later."""
+        nonlocal made
         sequences, rest = pack_sizes([len(x[3]) for x in items], spec.tiers, last)
-        lengths = [sum(p[2] for p in s) for s in sequences]
-        groups = step_groups(lengths, spec.step_tokens)
-        rows = []
-        for s, length, g in zip(sequences, lengths, groups, strict=True):
-            offset = 0
+        out = []
+        for s in sequences:
+            offset, rows, length = 0, [], sum(p[2] for p in s)
             for item, start, n in s:
                 doc, total, first, ids = items[item]
-                rows.append((doc, first + start, n, zlib.crc32(ids[start : start + n].data), total, base + made, offset, length, base + steps + g))
+                rows.append((doc, first + start, n, zlib.crc32(ids[start : start + n].data), total, base + made, offset, length))
                 offset += n
+            out.append(rows)
             made += 1
+        return out, [(items[i][0], items[i][1], items[i][2] + s, items[i][3][s : s + n]) for i, s, n in rest]
+
+    def stepped(sequences: list[list[tuple]]) -> pa.RecordBatch:
+        nonlocal steps
+        groups = step_groups([s[0][-1] for s in sequences], spec.step_tokens)
+        rows = [(*row, base + steps + g) for s, g in zip(sequences, groups, strict=True) for row in s]
         steps += max(groups, default=-1) + 1
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        left = [(items[i][0], items[i][1], items[i][2] + s, items[i][3][s : s + n]) for i, s, n in rest]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), left
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    held = 0
+    held, before = 0, []
     for batch in batches:
         docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for low, high in runs(texts):
@@ -151,9 +156,10 @@ def _packed(batches: Iterator[pa.RecordBatch], spec: Packing) -> Iterator[pa.Rec
             if held >= spec.round_tokens:
                 out, kept = flush(kept, False)
                 held = sum(len(x[3]) for x in kept)
-                yield out
-    if kept:
-        yield flush(kept, True)[0]
+                if before:
+                    yield stepped(before)
+                before = out  # waits for the next round, as the last one may be too small for a step of its own
+    yield stepped(before + flush(kept, True)[0])
 
 
 def pack(docs: DataFrame, spec: Packing | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def _letters() -> dict[int, str]:
 LETTERS = _letters()
 
 #: Words that one worker process keeps; past this the cache starts anew.
-CACHE_WORDS, CACHE_PARTS = 3_000_000, 500_000
+CACHE_WORDS, CACHE_PARTS = 1_000_000, 50_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
