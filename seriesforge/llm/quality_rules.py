@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import SPACE, WORD, stored
+from seriesforge.llm.common import SPACE, WORD
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -110,11 +110,16 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, all columns as they are.
+    """The rows of docs that the rules keep, all columns as they are; repeated rows are judged each.
 
-    The verdict joins back by doc_id; doc_id is unique in documents. Rows with a null doc_id go.
-    Verdicts are written first: a filter on them would be pushed below the projection that splits
-    the text, and the split would then be made anew for every element of the window expression.
+    The whole row travels with its verdict through one projection, so nothing is joined or shuffled.
+    Null and empty texts go, as they hold no 50 words; rows with a null doc_id stay if their text is good.
+    A filter on verdicts would be pushed below the projection that splits the text, and the split then
+    made anew for every element of the window expression; the partition's number, which the filter also
+    reads, keeps it above (Spark pushes nothing through a projection that is not deterministic).
     """
-    good = stored(quality_rules(docs, rules).select("doc_id", "kept"), "verdicts").filter("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+    if not docs.columns:
+        return docs
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), docs["text"].alias("text"))
+    judged = quality_rules(whole, rules).select("doc_id", "kept", F.spark_partition_id().alias("part"))
+    return judged.filter("kept AND part >= 0").select([F.col("doc_id").getField(c).alias(c) for c in docs.columns])
