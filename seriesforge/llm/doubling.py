@@ -1,9 +1,9 @@
 """Prefix doubling over many short pieces of text, with the sorting dealt out by Spark.
 
-A state row holds the pieces of one bucket of documents, and for every position the rank of the
-k bytes from there on. In a round, each bucket pairs the ranks of the positions p and p + offset,
+A state row holds a part of the pieces of one bucket of documents, and for every position the rank of the
+k bytes from there on. In a round, each part pairs the ranks of the positions p and p + offset,
 which stand for k + offset bytes; Spark deals the pairs by their hash, each task sorts its share and
-gives every pair that occurs twice a new rank, and the ranks go back to the buckets. A pair that
+gives every pair that occurs twice a new rank, and the ranks go back to the parts. A pair that
 occurs once is unique: its position gets no rank, and no longer pair is made of it. Offsets grow,
 8, 16, 32 ..., until nothing is left or the length asked for is reached; then the least document of
 each pair decides. The first ranks are the eight bytes themselves, so no hash stands for any text: hashes only
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from seriesforge.llm import arrays as A
@@ -24,10 +25,12 @@ from seriesforge.llm import recurrence as R
 from seriesforge.llm.common import forget, stored
 
 U64 = np.uint64
+#: Bytes of text in a part, about; what a task works on at once follows it.
+PART_BYTES = 1 << 19
 #: Of each piece: its document's place in the bucket and id, its first byte in the document, its bytes.
-STATE = "bucket int, row binary, doc binary, at binary, size binary, text binary, rank binary"
-PAIRS = "kb int, bucket int, n long, a binary, b binary, many binary, docs binary"
-RANKS = "kb int, bucket int, n long, ranks binary"
+STATE = "part long, bucket int, row binary, doc binary, at binary, size binary, text binary, rank binary"
+PAIRS = "kb int, part long, n long, a binary, b binary, many binary, docs binary"
+RANKS = "kb int, part long, n long, ranks binary"
 HIT = 3
 
 
@@ -57,22 +60,25 @@ def steps(length: int) -> list[Step]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Unsigned values in 4 or 8 bytes each, whichever they need."""
-    size = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    """Unsigned values in 4 or 8 bytes each, whichever they need; those of 8, bytes of text most often, compressed."""
+    if not len(x) or int(x.max()) < 1 << 32:
+        return b"\x04" + x.astype("<u4").tobytes()
+    return b"\x08" + zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(U64)
+    body = memoryview(data)[1:]
+    return np.frombuffer(body if data[0] == 4 else zstandard.ZstdDecompressor().decompress(body), f"<u{data[0]}").astype(U64)
 
 
-def state_row(bucket: int, row: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, text: bytes) -> tuple:
-    return bucket, *(x.astype("<i8").tobytes() for x in (row, doc, at, size)), text, None
+def state_row(bucket: int, number: int, row: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, text: bytes) -> tuple:
+    """The bucket's part of that number."""
+    return bucket << 32 | number, bucket, *(x.astype("<i8").tobytes() for x in (row, doc, at, size)), text, None
 
 
 @dataclass
 class Pairs:
-    """The pairs of a bucket: piece and place in it of each position; a, b; and, in the order of the
+    """The pairs of a part: piece and place in it of each position; a, b; and, in the order of the
     pairs' hashes, where a new pair begins."""
 
     piece: np.ndarray
@@ -136,7 +142,7 @@ def _emit(batches: Iterator[pa.RecordBatch], step: Step, width: int) -> Iterator
             many = np.diff(np.append(np.flatnonzero(p.new), len(p.new))) > 1
             doc = np.frombuffer(x["doc"], "<i8")[p.piece[heads]] if step.last else None
             rows = [
-                (int(p.to[lo]), x["bucket"], hi - lo, packed(p.a[heads[lo:hi]]), packed(p.b[heads[lo:hi]]), np.packbits(many[lo:hi]).tobytes(),
+                (int(p.to[lo]), x["part"], hi - lo, packed(p.a[heads[lo:hi]]), packed(p.b[heads[lo:hi]]), np.packbits(many[lo:hi]).tobytes(),
                  doc[lo:hi].tobytes() if step.last else None)
                 for lo, hi in A.equal_runs(p.to)
             ]
@@ -146,7 +152,7 @@ def _emit(batches: Iterator[pa.RecordBatch], step: Step, width: int) -> Iterator
 def rank_pairs(sent: pa.Table, step: Step, width: int) -> pa.Table:
     """For one share of the pairs: the new rank of each, 0 if it occurs once; in the last round, whether
     a smaller document has it."""
-    rows = sent.sort_by("bucket").to_pylist()
+    rows = sent.sort_by("part").to_pylist()
     a, b = (np.concatenate([unpacked(x[c]) for x in rows]) for c in "ab")
     order, new, _ = grouped(a, b, width)
     opens, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -164,7 +170,7 @@ def rank_pairs(sent: pa.Table, step: Step, width: int) -> pa.Table:
         own = found[low : low + x["n"]]
         low += x["n"]
         if own.any():
-            out.append((x["kb"], x["bucket"], x["n"], packed(own)))
+            out.append((x["kb"], x["part"], x["n"], packed(own)))
     return R.table(out, RANKS)
 
 
@@ -186,7 +192,7 @@ def _update(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Tabl
         if told.any():
             rank = np.zeros(len(x["text"]), U64)
             rank[p.position[p.order]] = told[p.group()]
-            rows.append((*[x[c] for c in ("bucket", "row", "doc", "at", "size", "text")], packed(rank)))
+            rows.append((*[x[c] for c in ("part", "bucket", "row", "doc", "at", "size", "text")], packed(rank)))
     return R.table(rows, STATE)
 
 
@@ -216,7 +222,7 @@ def _hits(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Table:
 
 def repeated(state: DataFrame, length: int, width: int) -> DataFrame:
     """HIT rows for the strings of `length` bytes in the pieces of state that also start in a piece of a
-    smaller document. state: a stored() table of STATE rows, one or none for each bucket; it is
+    smaller document. state: a stored() table of STATE rows; it is
     forgotten. No pieces, or none that repeats, give no rows.
     """
     for step in steps(length):
@@ -228,7 +234,7 @@ def _round(state: DataFrame, step: Step, width: int) -> DataFrame:
     sent = state.mapInArrow(lambda it: _emit(it, step, width), PAIRS)
     ranks = sent.groupBy("kb").applyInArrow(lambda g: rank_pairs(g, step, width), RANKS)
     turn, schema = (_hits, R.TOLD) if step.last else (_update, STATE)
-    both = state.groupBy("bucket").cogroup(ranks.groupBy("bucket"))
+    both = state.groupBy("part").cogroup(ranks.groupBy("part"))
     after = stored(both.applyInArrow(lambda g, r: turn(g, r, step, width), schema), f"rank-{step.reach}")
     forget(state)
     return after

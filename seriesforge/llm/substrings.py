@@ -49,12 +49,20 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int) -> pa.Table:
-    """A bucket's state for the doubling: the open passages first held here; neighbours are one piece."""
+    """A bucket's parts for the doubling: the open passages first held here; neighbours are one piece."""
     A.calm_malloc()
     if not group.num_rows or not answers.num_rows:
         return R.table([], D.STATE)
     ids, texts = R.in_order(group)
-    found, text = [], []
+    bucket = group.column("bucket")[0].as_py()
+    rows, found, text, held = [], [], [], 0
+
+    def close() -> None:
+        nonlocal found, text, held
+        if found:
+            rows.append(D.state_row(bucket, len(rows), *(np.concatenate(c) for c in zip(*found, strict=True)), b"".join(text)))
+        found, text, held = [], [], 0
+
     for low, data, start, count in _pieces(texts):
         r = R.runs_of(np.frombuffer(data, np.uint8).astype(U64) + U64(1), start, count, length, gram)
         r.doc = r.doc + low
@@ -71,9 +79,11 @@ def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int) -> pa
         begin = start[doc - low] + first
         text += [data[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
         found.append((doc, ids[doc], first, size))
-    if not found:
-        return R.table([], D.STATE)
-    return R.table([D.state_row(group.column("bucket")[0].as_py(), *(np.concatenate(c) for c in zip(*found, strict=True)), b"".join(text))], D.STATE)
+        held += int(size.sum())
+        if held >= D.PART_BYTES:
+            close()
+    close()
+    return R.table(rows, D.STATE)
 
 
 def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +92,9 @@ def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not rows:
         e = np.zeros(0, np.int64)
         return e, e, e
-    return tuple(np.concatenate([np.frombuffer(x[c], "<i8") for x in rows]) for c in ("passages", "checks", "docs"))
+    found = [np.concatenate([np.frombuffer(x[c], "<i8") for x in rows]) for c in ("passages", "checks", "docs")]
+    order = np.argsort(found[0], kind="stable")  # the parts' rows come in any order
+    return tuple(x[order] for x in found)
 
 
 def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema: str | list[str]) -> pa.Table:
