@@ -84,11 +84,12 @@ def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: in
     key = A.mix(least[one])
     passage = A.pieces(values, first, last + window)
     check = A.pieces(A.mix(gram + U64(SALT)), first, last + window - k + 1)  # of spread grams, not of units
-    return Runs(doc, first - start[doc], last - start[doc], key, passage, check)
+    place = [(x - start[doc]).astype(np.int32) for x in (first, last)]
+    return Runs(doc.astype(np.int32), *place, key, passage, check)
 
 
 def _no_runs() -> Runs:
-    e, h = np.zeros(0, np.int64), np.zeros(0, U64)
+    e, h = np.zeros(0, np.int32), np.zeros(0, U64)
     return Runs(e, e, e, h, h, h)
 
 
@@ -96,7 +97,7 @@ def join_runs(parts: list[Runs], docs_before: list[int]) -> Runs:
     if not parts:
         return _no_runs()
     return Runs(
-        np.concatenate([p.doc + n for p, n in zip(parts, docs_before, strict=True)]),
+        np.concatenate([p.doc + np.int32(n) for p, n in zip(parts, docs_before, strict=True)]),
         *[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "key", "passage", "check")],
     )
 
@@ -264,9 +265,9 @@ def windows(values: np.ndarray, start: np.ndarray, r: Runs, which: np.ndarray, w
     """Every window of some runs. A window's name is made of the names of its halves: those of the
     positions p and p + window / 2, at which a name stands for window / 2 units (rounded up)."""
     half = -(-window // 2)
-    often = r.last[which] - r.first[which] + 1
+    often = (r.last[which] - r.first[which] + 1).astype(np.int64)
     doc = np.repeat(r.doc[which], often)
-    p = A.ranges(start[r.doc[which]] + r.first[which], often)
+    p = A.ranges(start[r.doc[which]] + r.first[which], often.astype(np.int64))
     one, two = A.grams(values, half), A.grams(A.mix(values + U64(SALT)), half)
     names = [A.mix(A.mix(n[p]) * U64(3) + n[p + window - half]) for n in (one, two)]
     return Shown(doc, p - start[doc], *names)
@@ -300,7 +301,7 @@ def _doubled(values: np.ndarray, start: np.ndarray, r: Runs, scheme: Scheme) ->
     if not len(r.doc):
         return np.zeros(0, bool)
     g = A.mix(A.grams(values, scheme.gram))
-    often = r.last - r.first + 1 + scheme.window - scheme.gram
+    often = (r.last - r.first).astype(np.int64) + 1 + scheme.window - scheme.gram
     same = g[A.ranges(start[r.doc] + r.first, often)] == np.repeat(r.key, often)
     return np.add.reduceat(same.astype(np.int64), np.cumsum(often) - often) > 1
 
@@ -340,9 +341,13 @@ def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
 def earlier(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:
     """Which runs of a bucket have a passage that a smaller document has, too, here or elsewhere."""
-    _, head, which = np.unique(r.passage, return_index=True, return_inverse=True)
-    here = (ids[r.doc] > ids[r.doc[head]][which]) & (r.check == r.check[head][which])
-    return here | told(told_rows, SETTLED).find(r.passage, r.check)[1]
+    out = told(told_rows, SETTLED).find(r.passage, r.check)[1]
+    order = np.lexsort((r.check, r.passage))  # stable: equal passages stay in document order
+    new = np.ones(len(order), bool)
+    new[1:] = (r.passage[order[1:]] != r.passage[order[:-1]]) | (r.check[order[1:]] != r.check[order[:-1]])
+    first = r.doc[order[new]][np.cumsum(new, dtype=np.int32) - 1]
+    out[order] |= ids[r.doc[order]] > ids[first]
+    return out
 
 
 def open_runs(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:

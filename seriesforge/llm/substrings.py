@@ -107,6 +107,7 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
     group = R.sort_group(group)
     ids, texts = R.in_order(group)
     every = scheme(length, gram).runs(texts)
+    every.key = every.key[:0]  # no longer needed, and as large as the text
     gone = R.earlier(ids, every, answers)
     hit_doc, hit_first, hit_last = _hit(answers)
     bound = np.searchsorted(every.doc, np.arange(len(ids) + 1))
