@@ -34,12 +34,40 @@ def int_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
 
 
+def float_list(c: Column) -> Column:
+    """The finite numbers of "1.5,x,2"; other items are dropped."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: finite(F.trim(x).try_cast("double"))), lambda x: x.isNotNull())
+
+
 def frame_list(c: Column) -> Column:
-    """"3,7-9;12" as sorted distinct integers."""
+    """"3,7-9;12" as sorted distinct integers. Empty and bad items and spans that run backwards give
+    nothing; NULL gives an empty list."""
     def span(x: Column) -> Column:
         lo, hi = F.get(F.split(x, "-"), 0).try_cast("int"), F.get(F.split(x, "-"), 1).try_cast("int")
-        return F.sequence(lo, F.coalesce(hi, lo))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(c, "[,;]"), lambda x: span(F.trim(x))))))
+        whole = F.when(F.size(F.split(x, "-")) == 1, lo).otherwise(hi)
+        return F.when(lo <= whole, F.sequence(lo, whole)).otherwise(F.array().cast("array<int>"))
+    items = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: span(F.trim(x)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(x, F.array().cast("array<int>"))))))
+
+
+def clean_label(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def token_list(c: Column, both: tuple[str, ...] = ("right", "left")) -> Column:
+    """Distinct tokens of "left,both" in order, where "both" stands for all of both; empties are dropped."""
+    tokens = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,\\s]+"), clean_label), lambda x: x != "")
+    widened = F.transform(tokens, lambda x: F.when(x == "both", F.array(*map(F.lit, both))).otherwise(F.array(x)))
+    return F.array_distinct(F.flatten(widened))
+
+
+def lane_map(c: Column, lanes: tuple[str, ...] = ("right", "left")) -> Column:
+    """"right:left,left:right" as a map; NULL if an item isn't lane:lane or a lane is named twice."""
+    items = F.transform(F.split(c, ","), lambda x: F.split(F.trim(x), ":"))
+    good = F.forall(items, lambda x: (F.size(x) == 2) & F.get(x, 0).isin(*lanes) & F.get(x, 1).isin(*lanes))
+    keys = F.transform(items, lambda x: F.get(x, 0))
+    once = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(good & once, F.map_from_arrays(keys, F.transform(items, lambda x: F.get(x, 1))))
 
 
 def append_flag(flags: Column, flag: Column) -> Column:
@@ -58,6 +86,37 @@ def level_flag(value: Column, warn: float, bad: float, name: str) -> Column:
     return F.when(v > bad, f"bad_{name}").when(v > warn, f"warn_{name}")
 
 
+def has_flag(flags: Column, level: str) -> Column:
+    """Whether a joined flag text has a flag of this level ("bad" or "warn")."""
+    return F.coalesce(F.contains(flags, F.lit(f"{level}_")), F.lit(False))
+
+
+def first_of(tags: Column, order: tuple[str, ...], default: str) -> Column:
+    """The first of order that is among the tags."""
+    out = F.lit(default)
+    for t in reversed(order):
+        out = F.when(F.array_contains(tags, t), F.lit(t)).otherwise(out)
+    return out
+
+
+def solve_kind(success: Column, fallback: Column, mode: Column) -> Column:
+    """failed, fallback, normal or, where a success has no mode, success_unknown."""
+    named = F.coalesce(clean_label(mode), F.lit("")) != ""
+    return F.when(~F.coalesce(success, F.lit(False)), "failed").when(F.coalesce(fallback, F.lit(False)), "fallback").when(named, "normal").otherwise("success_unknown")
+
+
+def by_mode(mode: Column, choices: dict[str, Column], default: Column) -> Column:
+    """The column that the row's mode names."""
+    out = default
+    for name, c in choices.items():
+        out = F.when(mode == name, c).otherwise(out)
+    return out
+
+
+def replaced(value: Column, bad: Column, by: Column) -> Column:
+    return F.when(F.coalesce(bad, F.lit(False)), by).otherwise(value)
+
+
 def safe_ratio(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return F.when(F.abs(finite(b)) > eps, finite(a) / finite(b))
 
@@ -78,6 +137,41 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.when(union > 1e-9, w * h / union).otherwise(0.0)
 
 
+def box_center(b: Column) -> tuple[Column, Column]:
+    return (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+
+
+def touches_edge(b: Column, width: float, height: float, margin: float = 0.0) -> Column:
+    return (b["x1"] <= margin) | (b["y1"] <= margin) | (b["x2"] >= width - 1 - margin) | (b["y2"] >= height - 1 - margin)
+
+
+def padded_box(b: Column, pad: float, width: int, height: int) -> Column:
+    """x, y, w, h in whole pixels, padded, rounded outwards and cut to the image."""
+    x1, y1 = F.greatest(F.lit(0), F.floor(b["x1"] - pad)), F.greatest(F.lit(0), F.floor(b["y1"] - pad))
+    x2, y2 = F.least(F.lit(width), F.ceil(b["x2"] + pad)), F.least(F.lit(height), F.ceil(b["y2"] + pad))
+    return F.struct(x1.alias("x"), y1.alias("y"), F.greatest(F.lit(0), x2 - x1).alias("w"), F.greatest(F.lit(0), y2 - y1).alias("h"))
+
+
+def inside_ratio(points: Column, width: float, height: float, margin: float = 0.0) -> Column:
+    """Share of points (u, v) in the image with a margin around; points that aren't finite count as outside;
+    none: 0."""
+    inside = F.filter(points, lambda p: F.coalesce(
+        (finite(p["u"]) >= -margin) & (finite(p["u"]) < width + margin) & (finite(p["v"]) >= -margin) & (finite(p["v"]) < height + margin), F.lit(False)))
+    return F.when(F.size(points) > 0, F.size(inside) / F.size(points)).otherwise(0.0)
+
+
+def extent(points: Column) -> Column:
+    """The larger side of the box around the finite points; NULL without any."""
+    good = F.filter(points, lambda p: finite(p["u"]).isNotNull() & finite(p["v"]).isNotNull())
+    side = lambda f: F.array_max(F.transform(good, lambda p: p[f])) - F.array_min(F.transform(good, lambda p: p[f]))
+    return F.greatest(side("u"), side("v"))
+
+
+def finite_ratio(values: Column) -> Column:
+    """Share of finite values of an array; an empty one has 0."""
+    return F.when(F.size(values) > 0, F.size(F.filter(values, lambda x: finite(x).isNotNull())) / F.size(values)).otherwise(0.0)
+
+
 def visible_ratio(b: Column, width: float, height: float) -> Column:
     """Share of a box that lies in the image."""
     w = F.greatest(F.lit(0.0), F.least(b["x2"], F.lit(width)) - F.greatest(b["x1"], F.lit(0.0)))

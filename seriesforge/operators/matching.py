@@ -42,6 +42,80 @@ def greedy_dedup(df: DataFrame, frame: str, candidate: str, confidence: str, thr
         run, f"{frame} {kinds[frame]}, {candidate} {kinds[candidate]}, dropped int")
 
 
+def duplicates(boxes: np.ndarray, confidence: np.ndarray, least: float, reach: float, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of each box (-1: none) and whether it goes: all of a cluster but the surest (the first of equals).
+
+    Boxes are alike from an overlap of `least`, or with centres within `reach` and areas of which the smaller is at
+    least `alike` of the larger. Pairs are taken in order, and each joins the first cluster that holds either.
+    """
+    side = np.clip(boxes[:, 2:] - boxes[:, :2], 0, None)
+    area, middle = side.prod(1), (boxes[:, :2] + boxes[:, 2:]) / 2
+    far = np.linalg.norm(middle[:, None] - middle[None], axis=2)
+    ratio = np.minimum(area[:, None], area[None]) / np.maximum(np.maximum(area[:, None], area[None]), 1.0)
+    pairs = np.argwhere(np.triu((iou(boxes, boxes) >= least) | ((far <= reach) & (ratio >= alike)), 1))
+    members: list[list[int]] = []
+    for i, j in pairs.tolist():
+        own = next((c for c in members if i in c or j in c), None)
+        if own is None:
+            members.append([i, j])
+        else:
+            own += [x for x in (i, j) if x not in own]
+    cluster, gone = np.full(len(boxes), -1), np.zeros(len(boxes), bool)
+    for n, own in enumerate(members):
+        cluster[own] = n
+        best = max(own, key=lambda k: confidence[k])
+        gone[[k for k in own if k != best]] = True
+    return cluster, gone
+
+
+def mark_duplicates(df: DataFrame, frame: str, candidate: str, confidence: str, least: float = 0.55, reach: float = 28.0, alike: float = 0.35) -> DataFrame:
+    """frame, candidate, cluster and dropped; a frame is a group of a few candidates. No rows give none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(candidate)
+        cluster, gone = duplicates(pdf[BOX].to_numpy(float), pdf[confidence].to_numpy(float), least, reach, alike)
+        return pd.DataFrame({frame: pdf[frame], candidate: pdf[candidate], "cluster": cluster.astype("int32"), "dropped": gone.astype("int32")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(frame, candidate, confidence, *BOX).groupBy(frame).applyInPandas(
+        run, f"{frame} {kinds[frame]}, {candidate} {kinds[candidate]}, cluster int, dropped int")
+
+
+def chained(frames: np.ndarray, boxes: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """Track numbers: boxes take over the tracks of the last frame that had any, by falling overlap of at least
+    `least` (the later box of the earlier frame, then of this one, wins ties); others open tracks."""
+    out, count = np.full(len(frames), -1), 0
+    before = np.zeros(0, np.int64)
+    for f in np.unique(frames):
+        rows = np.flatnonzero(frames == f)
+        if len(before):
+            overlap = iou(boxes[before], boxes[rows])
+            pairs = sorted(((overlap[i, j], i, j) for i, j in np.argwhere(overlap >= least).tolist()), reverse=True)
+            used: set[int] = set()
+            for _, i, j in pairs:
+                if i not in used and out[rows[j]] < 0:
+                    out[rows[j]] = out[before[i]]
+                    used.add(i)
+        for r in rows:
+            if out[r] < 0:
+                out[r], count = count, count + 1
+        before = rows
+    return out
+
+
+def chain(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.2) -> DataFrame:
+    """key, frame, candidate and track_id by overlap with the frame before; one session (key) is one ordered group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([frame, candidate])
+        t = chained(pdf[frame].to_numpy(), pdf[BOX].to_numpy(float), least)
+        return pdf[[key, frame, candidate]].assign(track_id=t.astype("int32"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(key, frame, candidate, *BOX).groupBy(key).applyInPandas(
+        run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, track_id int")
+
+
 def tracks(frames: np.ndarray, boxes: np.ndarray, least: float, bridge: int, reach: float) -> np.ndarray:
     """Track numbers: each frame's boxes are matched to live tracks (at most `bridge` frames old) by
     falling 3 * IoU - distance / reach - 0.25 * (gap - 1); what is unmatched opens a track."""

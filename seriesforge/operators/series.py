@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesforge.functions.scalars import finite
+
 
 def over(key: str | list[str], order: str | list[str]):
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
@@ -19,19 +21,72 @@ def jump(value: Column, w) -> Column:
     return F.abs(value - F.lag(value).over(w))
 
 
-def rolling_mad_outliers(df: DataFrame, key: str, order: str, value: str, half: int = 5, factor: float = 5.0, least: int = 3) -> DataFrame:
+def vector_jump(v: list[Column], w) -> Column:
+    """Distance to the previous row's point; NULL for the first row."""
+    return F.sqrt(sum(((c - F.lag(c).over(w)) * (c - F.lag(c).over(w)) for c in v[1:]), (v[0] - F.lag(v[0]).over(w)) * (v[0] - F.lag(v[0]).over(w))))
+
+
+def rank_in(group: str | list[str], order: str | list[str]) -> Column:
+    """Place in the group, from 0."""
+    return F.row_number().over(over(group, order)) - 1
+
+
+def rebased(time: str, key: str) -> Column:
+    """Time since the series' first sample."""
+    return F.col(time) - F.min(time).over(Window.partitionBy(key))
+
+
+def speed(df: DataFrame, key: str, time: str, v: list[str], measured: str, out: str = "speed") -> DataFrame:
+    """The measured speed, its gaps filled with its median, if at least max(3, half) of a series is finite; else
+    distance over time to the row before (0 where time doesn't advance), the first row as the second.
+    A series of one row has speed 0.
+    """
+    w, whole = over(key, time), Window.partitionBy(key)
+    got = df.withColumn("_m", finite(F.col(measured))).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_have", F.count("_m").over(whole))
+    got = got.withColumn("_median", F.percentile("_m", 0.5).over(whole)).withColumn("_dt", F.col(time) - F.lag(time).over(w))
+    got = got.withColumn("_step", F.when(F.col("_dt") > 1e-6, vector_jump([F.col(c) for c in v], w) / F.col("_dt")).otherwise(0.0))
+    first = F.lag(F.lit(1)).over(w).isNull()
+    derived = F.coalesce(F.when(first, F.lead("_step").over(w)).otherwise(F.col("_step")), F.lit(0.0))
+    enough = F.col("_have") >= F.greatest(F.lit(3), F.floor(F.col("_n") * 0.5))
+    return got.withColumn(out, F.when(enough, F.coalesce("_m", "_median")).otherwise(derived)).drop("_m", "_n", "_have", "_median", "_dt", "_step")
+
+
+def moving_average(df: DataFrame, key: str, order: str, value: str, window: int, out: str = "average") -> DataFrame:
+    """Mean over `window` rows (half before, for even ones one more before), with the first and last value repeated
+    past the ends. Series shorter than the window use their length."""
+    w, whole = over(key, order), Window.partitionBy(key)
+    left = window // 2
+    got = df.withColumn("_pos", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    got = got.withColumn("_w", F.least(F.lit(window), F.col("_n"))).withColumn("_near", F.collect_list(value).over(w.rowsBetween(-left, window - 1 - left)))
+    # Row i of the list is row max(1, pos - left) + i of the series.
+    return got.withColumn(out, F.expr(
+        "aggregate(sequence(_pos - _w div 2, _pos - _w div 2 + _w - 1), 0D, (a, p) -> a + element_at(_near, "
+        f"cast(least(greatest(p, 1), _n) - greatest(_pos - {left}, 1) + 1 AS int))) / _w"
+    )).drop("_pos", "_n", "_w", "_near")
+
+
+def rolling_median(df: DataFrame, key: str, order: str, values: list[str], half: int = 2) -> DataFrame:
+    """value_median for each of values, over half rows to each side; NULL and NaN are left out."""
+    w = over(key, order).rowsBetween(-half, half)
+    return df.withColumns({f"{v}_median": F.percentile(finite(F.col(v)), 0.5).over(w) for v in values})
+
+
+def rolling_mad_outliers(df: DataFrame, key: str, order: str, value: str, half: int = 5, factor: float = 5.0, least: int = 3,
+                         trust: str | None = None) -> DataFrame:
     """med, mad and outlier: values further from the rolling median than factor * (MAD + 1e-6).
 
-    NULL values are not looked at; fewer than `least` values in a window flag nothing.
+    NULL, NaN and infinite values, and rows of trust 0 or less, are not looked at and not flagged; fewer than `least`
+    values in a window flag nothing. Rows of equal order are in any order; no rows give none.
     """
     w = over(key, order).rowsBetween(-half, half)
-    got = df.withColumn("_in", F.collect_list(value).over(w)).withColumn("med", F.percentile(value, 0.5).over(w))
+    here = finite(F.col(value)) if trust is None else F.when(F.col(trust) > 0, finite(F.col(value)))
+    got = df.withColumn("_v", here).withColumn("_in", F.collect_list("_v").over(w)).withColumn("med", F.percentile("_v", 0.5).over(w))
     near = F.array_sort(F.transform("_in", lambda x: F.abs(x - F.col("med"))))
     got = got.withColumn("_near", near).withColumn("_n", F.size("_near"))
     mad = F.expr("(_near[cast((_n - 1) div 2 AS int)] + _near[cast(_n div 2 AS int)]) / 2")
     got = got.withColumn("mad", F.when(F.col("_n") > 0, mad))
-    out = F.coalesce((F.col("_n") >= least) & (F.abs(F.col(value) - F.col("med")) > factor * (F.col("mad") + 1e-6)), F.lit(False))
-    return got.withColumn("outlier", out.cast("int")).drop("_in", "_near", "_n")
+    out = F.coalesce((F.col("_n") >= least) & (F.abs(F.col("_v") - F.col("med")) > factor * (F.col("mad") + 1e-6)), F.lit(False))
+    return got.withColumn("outlier", out.cast("int")).drop("_v", "_in", "_near", "_n")
 
 
 def gaussian_smooth(df: DataFrame, key: str, order: str, value: str, trust: str, sigma: float = 5.0, out: str = "smooth") -> DataFrame:
@@ -107,18 +162,77 @@ def hold_last(df: DataFrame, key: str, order: str, position: str, value: str, go
     return got.withColumn(out, F.when(F.col("age") <= max_age, F.col("_last.v"))).drop("_last")
 
 
+def bridge_gaps(df: DataFrame, key: str, order: str, frame: str, bad: str, most: int, out: str = "bridged") -> DataFrame:
+    """bad, with good rows between two bad ones turned bad if they are at most `most`, by rows and by frames."""
+    w = over(key, order)
+    got = df.withColumn("_row", F.row_number().over(w))
+    here = F.when(F.coalesce(F.col(bad), F.lit(False)), F.struct(F.col("_row").alias("r"), F.col(frame).alias("f")))
+    got = got.withColumn("_a", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_b", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    short = (F.col("_b.f") - F.col("_a.f") - 1 <= most) & (F.col("_b.r") - F.col("_a.r") - 1 <= most)
+    return got.withColumn(out, F.coalesce(F.col(bad), F.lit(False)) | F.coalesce(short, F.lit(False))).drop("_row", "_a", "_b")
+
+
+def transitions(df: DataFrame, key: str, order: str, closed: Column) -> DataFrame:
+    """key, close_at and release_at (places from 0): where a series first closes, and where it first opens again from
+    max(close + 1, a third of its rows) on; NULL if it doesn't."""
+    w, whole = over(key, order), Window.partitionBy(key)
+    got = df.withColumn("_c", F.coalesce(closed, F.lit(False))).withColumn("_p", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+    got = got.withColumn("_was", F.lag("_c").over(w)).withColumn("_close", F.min(F.when(~F.col("_was") & F.col("_c"), F.col("_p"))).over(whole))
+    open_ = F.col("_was") & ~F.col("_c") & (F.col("_p") >= F.greatest(F.col("_close") + 1, F.floor(F.col("_n") / 3)))
+    return got.groupBy(key).agg(F.first("_close").alias("close_at"), F.min(F.when(open_, F.col("_p"))).alias("release_at"))
+
+
+def anchored(df: DataFrame, key: str, order: str, value: str, filled: str, known: str, out: str = "anchored") -> DataFrame:
+    """filled, plus in every gap of unknown rows a linear ramp from the offset (value - filled) of the known row before
+    to that of the known row after. A gap with one end gets that end's offset; without ends it stays."""
+    w = over(key, order)
+    got = df.withColumn("_row", F.row_number().over(w))
+    here = F.when(F.col(known), F.struct(F.col("_row").alias("r"), (F.col(value) - F.col(filled)).alias("d")))
+    got = got.withColumn("_a", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_b", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    t = (F.col("_row") - F.col("_a.r")) / F.nullif(F.col("_b.r") - F.col("_a.r"), F.lit(0))
+    ramp = F.coalesce(F.col("_a.d") + t * (F.col("_b.d") - F.col("_a.d")), F.col("_a.d"), F.col("_b.d"), F.lit(0.0))
+    return got.withColumn(out, F.when(F.col(known), F.col(value)).otherwise(F.col(filled) + ramp)).drop("_row", "_a", "_b")
+
+
+def densified(df: DataFrame, key: str, frame: str, reason: str = "reason") -> DataFrame:
+    """One row for every frame from a key's first to its last; rows that weren't there have NULLs and reason
+    "missing", the others "observed"."""
+    every = df.groupBy(key).agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi")).select(key, F.explode(F.sequence("_lo", "_hi")).alias(frame))
+    return every.join(df.withColumn("_here", F.lit(True)), [key, frame], "left").withColumn(
+        reason, F.when(F.col("_here"), "observed").otherwise("missing")).drop("_here")
+
+
+def sliding_windows(df: DataFrame, key: str, order: str, size: int = 120, step: int = 100, out: str = "window") -> DataFrame:
+    """A row for every window of `size` rows, `step` apart, that holds a row; `last` tells whether it is the row's last
+    window, whose result counts."""
+    got = df.withColumn("_p", F.row_number().over(over(key, order)) - 1)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_p") - size + 1) / step))
+    held = F.sequence(first.cast("long"), F.floor(F.col("_p") / step).cast("long"))
+    return got.withColumn(out, F.explode(held)).withColumn("last", F.col(out) == F.floor(F.col("_p") / step)).drop("_p")
+
+
+def clipped_delta(df: DataFrame, value: str, smooth: str, most: float) -> DataFrame:
+    """delta = smooth - value held within +-most, clipped (whether it was), and moved = value + delta."""
+    raw = F.col(smooth) - F.col(value)
+    return df.withColumn("delta", F.greatest(F.lit(-most), F.least(F.lit(most), raw))).withColumn(
+        "clipped", (F.abs(raw) > most).cast("int")).withColumn("moved", F.col(value) + F.col("delta"))
+
+
 def bracket_fill(df: DataFrame, key: str, order: str, position: str, value: str, out: str = "filled") -> DataFrame:
     """Missing values by linear interpolation between the values around them; ends hold; and the
-    gap's length in positions (999 without both ends)."""
+    gap's length in positions (999 without both ends). Series with a single value stay as they are."""
     w = over(key, order)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
     got = df.withColumn("_a", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_b", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        "_b", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("_many", F.count(value).over(Window.partitionBy(key)) > 1)
     t = (F.col(position) - F.col("_a.p")) / F.nullif(F.col("_b.p") - F.col("_a.p"), F.lit(0).cast(df.schema[position].dataType))
     mixed = F.col("_a.v") + t * (F.col("_b.v") - F.col("_a.v"))
-    return got.withColumn(out, F.coalesce(F.col(value), mixed, F.col("_a.v"), F.col("_b.v"))).withColumn(
+    found = F.coalesce(F.col(value), F.when(F.col("_many"), F.coalesce(mixed, F.col("_a.v"), F.col("_b.v"))))
+    return got.withColumn(out, found).withColumn(
         "gap", F.when(F.col(value).isNotNull(), F.lit(0)).otherwise(F.coalesce((F.col("_b.p") - F.col("_a.p") - 1).cast("long"), F.lit(999)))
-    ).drop("_a", "_b")
+    ).drop("_a", "_b", "_many")
 
 
 def nearest(df: DataFrame, key: str, position: str, value: str, is_reference: Column, out: str = "nearest") -> DataFrame:
@@ -144,3 +258,24 @@ def stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
     got = df.groupBy(*key).agg(F.count(value).alias("count"), F.min(value).alias("min"), p.alias("_p"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
     names = ("p10", "median", "p90", "p95")
     return got.select(*key, "count", "min", "max", "mean", "std", *[F.get("_p", i).alias(n) for i, n in enumerate(names)])
+
+
+def steady_signs(df: DataFrame, key: str, order: str, q: list[str]) -> DataFrame:
+    """Quaternions turned so that each is on the side of the one before: flipped where the number of sign changes up to
+    a row is odd. A product of exactly 0 starts anew, unflipped."""
+    w = over(key, order)
+    product = sum((F.col(c) * F.lag(c).over(w) for c in q[1:]), F.col(q[0]) * F.lag(q[0]).over(w))
+    got = df.withColumn("_dot", product).withColumn("_anew", F.sum(F.when(F.col("_dot") == 0, 1).otherwise(0)).over(w))
+    inside = Window.partitionBy(key, "_anew").orderBy(order)
+    turns = F.sum(F.when(F.col("_dot") < 0, 1).otherwise(0)).over(inside)
+    got = got.withColumn("_flip", F.when(turns % 2 == 1, -1.0).otherwise(1.0))
+    return got.withColumns({c: F.col("_flip") * F.col(c) for c in q}).drop("_dot", "_anew", "_flip")
+
+
+def smooth_quaternions(df: DataFrame, key: str, order: str, q: list[str]) -> DataFrame:
+    """Savitzky-Golay (7, 2) on each part of sign-steady quaternions, then unit length."""
+    got = steady_signs(df, key, order, q)
+    for c in q:
+        got = savgol(got, key, order, c, f"_{c}")
+    length = F.greatest(F.sqrt(sum((F.col(f"_{c}") * F.col(f"_{c}") for c in q[1:]), F.col(f"_{q[0]}") * F.col(f"_{q[0]}"))), F.lit(1e-8))
+    return got.withColumns({c: F.col(f"_{c}") / length for c in q}).drop(*[f"_{c}" for c in q])

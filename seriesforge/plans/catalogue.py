@@ -5,36 +5,15 @@ Users are series, events their frames; lineitem rows of an order are candidates
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions import scalars as S
-from seriesforge.operators import matching, series
+from seriesforge.operators import matching, relations, series
+from seriesforge.plans.registry import ORACLES, QUERIES, B, E, boxes, events, query
 from seriesforge.session import load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str = ""):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-    return add
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with pos, the place in the user's series."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value").withColumn("pos", F.row_number().over(w))
-
-
-E = "e AS (SELECT event_id, user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 @query(f"""
 WITH {E}, j AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS step FROM e)
@@ -141,39 +120,24 @@ def nearest_reference(spark, sf_dir):
 WITH {E}, c AS (SELECT *, (event_type = 'error')::INT AS core FROM e)
 SELECT event_id, core, coalesce(max(core) OVER (PARTITION BY user_id ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AND core = 0, false)::INTEGER AS neighbour FROM c""")
 def neighbor_band_flags(spark, sf_dir):
-    core = (F.col("event_type") == "error").cast("int")
-    near = F.max("core").over(Window.partitionBy("user_id").orderBy("pos").rangeBetween(-1, 1))
-    return events(spark, sf_dir).withColumn("core", core).select("event_id", "core", ((near == 1) & (F.col("core") == 0)).cast("int").alias("neighbour"))
+    core = F.col("event_type") == "error"
+    return relations.near_rows(events(spark, sf_dir), "user_id", "pos", core, 1).select("event_id", core.cast("int").alias("core"), "neighbour")
 
 
 @query(f"""
 WITH {E} SELECT DISTINCT user_id, unnest(generate_series(greatest(pos - 2, 0), pos + 2))::BIGINT AS pos FROM e WHERE event_type = 'error'""")
 def context_expand(spark, sf_dir):
-    e = events(spark, sf_dir).filter("event_type = 'error'")
-    return e.select("user_id", F.explode(F.expr("sequence(greatest(cast(pos AS long) - 2, 0), pos + 2)")).alias("pos")).distinct()
+    return relations.with_context(events(spark, sf_dir).filter("event_type = 'error'"), "user_id", "pos", 2)
 
 
 @query(f"""
 WITH {E}, v AS (SELECT user_id, event_type, round(sum(greatest(0.01, value)), 6) AS w, min(pos) AS f FROM e GROUP BY ALL)
-SELECT user_id, arg_max(event_type, w) AS label, round(max(w), 3) AS weight, count(*)::BIGINT AS labels FROM v GROUP BY user_id""")
+SELECT user_id, first(event_type ORDER BY w DESC, f) AS label, round(max(w), 3) AS weight, count(*)::BIGINT AS labels FROM v GROUP BY user_id""")
 def weighted_majority_label(spark, sf_dir):
     got = series.majority(events(spark, sf_dir), "user_id", "event_type", F.greatest(F.lit(0.01), F.col("value")), "pos")
     return got.select("user_id", "label", F.round("weight", 3).alias("weight"), "labels")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem rows as candidates of their order, with a box from quantity, discount and tax."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.row_number().over(order).alias("candidate"), F.col("l_extendedprice").alias("confidence"), "l_returnflag",
-        F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_quantity") + 20).alias("x2"), (F.col("l_discount") * 100 + 10).alias("y2"),
-    )
-
-
-B = """b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS candidate,
-  l_returnflag, l_extendedprice AS confidence, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 20 AS x2, l_discount * 100 + 10 AS y2 FROM lineitem)"""
-
-
 @query(f"""
 WITH {B}, p AS (SELECT a.l_orderkey, a.candidate AS a, b.candidate AS b,
   greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
@@ -181,11 +145,8 @@ WITH {B}, p AS (SELECT a.l_orderkey, a.candidate AS a, b.candidate AS b,
   FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.candidate < b.candidate)
 SELECT l_orderkey, a::INTEGER AS a, b::INTEGER AS b, round(i / (s - i), 4) AS iou FROM p WHERE i / (s - i) > 0.3""")
 def same_group_overlap_pairs(spark, sf_dir):
-    one = boxes(spark, sf_dir).select("l_orderkey", "l_returnflag", "candidate", F.struct("x1", "y1", "x2", "y2").alias("box"))
-    a, b = one.alias("a"), one.alias("b")
-    same = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_returnflag") == F.col("b.l_returnflag")) & (F.col("a.candidate") < F.col("b.candidate"))
-    got = a.join(b, same).withColumn("iou", S.box_iou(F.col("a.box"), F.col("b.box"))).filter("iou > 0.3")
-    return got.select(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.candidate").alias("a"), F.col("b.candidate").alias("b"), F.round("iou", 4).alias("iou"))
+    got = relations.group_pairs(boxes(spark, sf_dir), ["l_orderkey", "l_returnflag"], "candidate", ["x1", "y1", "x2", "y2"], S.box_iou, "iou")
+    return got.filter("iou > 0.3").select("l_orderkey", "a", "b", F.round("iou", 4).alias("iou"))
 
 
 @query("""
@@ -196,7 +157,7 @@ def three_way_common_keys(spark, sf_dir):
     a = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("latest"))
     b = load(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_acctbal")
     c = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("n"))
-    return a.join(b, "k").join(c, "k").withColumn("place", (F.row_number().over(Window.orderBy("k")) - 1).cast("int"))
+    return relations.common_keys([a, b, c], "k")
 
 
 @query(f"""
@@ -221,13 +182,13 @@ def gate_report(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, abs(embedding[3]::DOUBLE) + 1 AS z FROM embeddings)
-SELECT vec_id, round(500 * x / z + 320, 4) AS u, round(510 * y / z + 240, 4) AS v, round((500 * x / z) * z / 500, 4) AS back_x FROM v""")
+SELECT vec_id, round(500 * x / z + 320, 4) AS u, round(510 * y / z + 240, 4) AS v, round((500 * x / z) * z / 500, 4) AS back_x, round(y, 4) AS back_y FROM v""")
 def pinhole_project_roundtrip(spark, sf_dir):
     c = [F.get("embedding", i).cast("double") for i in range(3)]
     e = load(spark, sf_dir, "embeddings").select("vec_id", c[0].alias("x"), c[1].alias("y"), (F.abs(c[2]) + 1).alias("z"))
     u, v = S.project(F.col("x"), F.col("y"), F.col("z"), 500, 510, 320, 240)
-    bx, _ = S.backproject(u, v, F.col("z"), 500, 510, 320, 240)
-    return e.select("vec_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), F.round(bx, 4).alias("back_x"))
+    bx, by = S.backproject(u, v, F.col("z"), 500, 510, 320, 240)
+    return e.select("vec_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), F.round(bx, 4).alias("back_x"), F.round(by, 4).alias("back_y"))
 
 
 @query("""
@@ -244,23 +205,20 @@ def vector_angle_jump(spark, sf_dir):
 @query(f"""
 WITH {E}, m AS (SELECT user_id, max(value) AS worst FROM e GROUP BY 1) SELECT user_id, worst FROM m ORDER BY worst DESC, user_id LIMIT 12""")
 def worst_n_groups(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("worst")).orderBy(F.desc("worst"), "user_id").limit(12)
+    return relations.worst_groups(events(spark, sf_dir), "user_id", "value", 12)
 
 
 @query(f"""
 WITH {E}, p AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), k AS (SELECT DISTINCT user_id, round_even(i * (n - 1) / 4.0, 0)::BIGINT + 1 AS pos FROM p, range(5) AS r(i))
 SELECT e.user_id, e.pos::INTEGER AS pos, e.event_id FROM e JOIN k ON e.user_id = k.user_id AND e.pos = k.pos""")
 def even_sample(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
-    return e.filter(F.expr("exists(sequence(0, 4), i -> cast(bround(i * (n - 1) / 4.0D, 0) AS int) + 1 = pos)")).select("user_id", "pos", "event_id")
-
-
-@query()
-def greedy_dedup(spark, sf_dir):
-    return matching.greedy_dedup(boxes(spark, sf_dir), "l_orderkey", "candidate", "confidence")
+    return relations.even_sample(events(spark, sf_dir), "user_id", "pos", 5).select("user_id", "pos", "event_id")
 
 
 @query()
 def greedy_tracker(spark, sf_dir):
     one = boxes(spark, sf_dir).withColumn("session", F.expr("l_orderkey div 64")).withColumnRenamed("l_orderkey", "frame")
     return matching.track(one, "session", "frame", "candidate", reach=8.0)
+
+
+from seriesforge.plans import estimates, gates, geometry, rows, tracks  # noqa: E402, F401  (their queries register themselves)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("8", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = session(os.environ.get("TEST_CPUS", "8"), **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     return s
 

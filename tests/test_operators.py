@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from seriesforge.functions import scalars as S
 from seriesforge.operators import matching, series
 from seriesforge.sources import files
-from seriesforge.streaming import sessions
 
 
 def test_parsing(spark):
@@ -58,14 +57,3 @@ def test_npz(spark, tmp_path):
 
 def test_clean_json(spark):
     assert files.clean_json(spark.createDataFrame([(float("nan"), 1)], "a double, b int")).first()[0] == '{"a":null,"b":1}'
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("a", p, float(p), p % 4 == 0) for p in range(12)]
-    df = spark.createDataFrame(rows, "k string, p long, v double, g boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = sessions.hold_last_stream(stream, "k", "p", "v", "g", 2).writeStream.format("memory").queryName("held").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    want = {r["p"]: r["held"] for r in series.hold_last(df, "k", "p", "p", "v", F.col("g"), 2).collect()}
-    assert {r["p"]: r["held"] for r in spark.table("held").collect()} == want
