@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesforge.llm import jaccard, mixing, packing, quality_rules, substrings
-from seriesforge.llm.common import documents, stored
+from seriesforge.llm.common import documents, forget, scratch, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
-    docs = documents(spark, sf_dir)
+    """All stages, each written as Parquet to the shared folder and read again by the next.
+
+    Once a stage is written, its own work tables and the stage before go.
+    """
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.add(docs.folder)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
