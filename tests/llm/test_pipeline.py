@@ -78,8 +78,11 @@ def test_stages_by_brute_force(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     made, keep = {}, corpus_pipeline.stored
     monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name: made.setdefault(name, keep(df, name)))
+    gone = []
+    monkeypatch.setattr(corpus_pipeline, "forget", lambda *tables: gone.extend(tables))  # the stages are read below
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     got = {name: [(r["doc_id"], r["text"]) for r in df.collect()] for name, df in made.items()}
+    assert gone == list(made.values())[:-1]  # each stage but the last goes once the next is there
     texts = {i: t for i, t, *_ in rows}
     kept = dict(got["quality-rules"])
     assert sorted(got["quality-rules"]) == sorted((i, t) for i, t in texts.items() if good(t))
@@ -99,3 +102,8 @@ def test_stages_by_brute_force(spark, tmp_path, monkeypatch):
     for (i, t), n in copies.items():
         want.update({(i, j): n for j in range(len(plain.encode(t, add_special_tokens=False).ids) + 1)})
     assert Counter((r["doc_id"], j) for r in packed for j in range(r["start"], r["start"] + r["length"])) == want
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
