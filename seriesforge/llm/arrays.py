@@ -154,7 +154,7 @@ def calm_malloc() -> None:
     try:
         libc = ctypes.CDLL(None)
         libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
+        libc.mallopt(-1, 3 << 26)  # M_TRIM_THRESHOLD: about what a part of a text needs
     except (OSError, AttributeError):
         pass
 

@@ -55,6 +55,11 @@ class Scheme:
     window: int
     gram: int
 
+    def keys(self, texts: pa.Array) -> np.ndarray:
+        """The distinct keys of a bucket's runs."""
+        parts = [np.unique(keys_of(values, start, count, self.window, self.gram)) for _, values, start, count in self.cut(texts)]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+
     def runs(self, texts: pa.Array) -> Runs:
         parts, before = [], []
         for low, values, start, count in self.cut(texts):
@@ -63,6 +68,18 @@ class Scheme:
         return join_runs(parts, before)
 
 
+def keys_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The keys of all runs, without what else runs_of() finds."""
+    many = count >= window
+    at = A.ranges(start[many], count[many] - window + 1)
+    if not len(at):
+        return np.zeros(0, U64)
+    least = A.sliding_least(A.grams(values, k), window - k + 1)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = least[1:] != least[:-1]
+    return A.mix(least[new])
+
+
 def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> Runs:
     """values: the units of some texts, one after another; start and count of each text's units."""
     gram = A.grams(values, k)
@@ -212,8 +229,8 @@ def told(answers: pa.Table, kind: int) -> Names:
 KEYS = "kb int, bucket int, n long, keys binary"
 
 
-def send_keys(bucket: int, r: Runs, width: int) -> pa.Table:
-    key = np.unique(r.key >> A.key_shift(width))
+def send_keys(bucket: int, keys: np.ndarray, width: int) -> pa.Table:
+    key = np.unique(keys >> A.key_shift(width))
     to = (key % U64(width)).astype(np.int64)
     order = np.lexsort((key, to))
     key, to = key[order], to[order]
@@ -320,7 +337,7 @@ def passages_told(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
     def ask(group: pa.Table) -> pa.Table:
         A.calm_malloc()
-        return send_keys(group.column("bucket")[0].as_py(), scheme.runs(in_order(group)[1]), width)
+        return send_keys(group.column("bucket")[0].as_py(), scheme.keys(in_order(group)[1]), width)
 
     replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(judge_keys, KEYS)
     return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
