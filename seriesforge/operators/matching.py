@@ -30,7 +30,8 @@ def suppressed(boxes: np.ndarray, confidence: np.ndarray, threshold: float) -> n
 
 
 def greedy_dedup(df: DataFrame, frame: str, candidate: str, confidence: str, threshold: float = 0.3) -> DataFrame:
-    """df's frame and candidate with `dropped`; frames are groups of a few candidates."""
+    """df's frame and candidate with `dropped`; frames are groups of a few candidates. Of equal confidence the lesser
+    candidate stays; boxes with NULLs overlap nothing; no rows give none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(candidate)
@@ -149,7 +150,8 @@ def tracks(frames: np.ndarray, boxes: np.ndarray, least: float, bridge: int, rea
 
 
 def track(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.12, bridge: int = 6, reach: float = 130.0) -> DataFrame:
-    """key, frame, candidate and track_id; one session (key) is one ordered group."""
+    """key, frame, candidate and track_id; one session (key) is one ordered group. Equal scores go to the lesser candidate,
+    then track; boxes with NULLs open tracks of their own; no rows give none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, candidate])

@@ -90,7 +90,8 @@ def rolling_mad_outliers(df: DataFrame, key: str, order: str, value: str, half:
 
 
 def gaussian_smooth(df: DataFrame, key: str, order: str, value: str, trust: str, sigma: float = 5.0, out: str = "smooth") -> DataFrame:
-    """Trust-weighted Gaussian mean over ceil(3 sigma) rows to each side; without weight the value stays."""
+    """Trust-weighted Gaussian mean over ceil(3 sigma) rows to each side; without weight the value stays. NULL values
+    weigh nothing; rows of equal order are in any order; no rows give none."""
     half = math.ceil(3 * sigma)
     base = over(key, order)
     numbered = df.withColumn("_pos", F.row_number().over(base))
@@ -144,7 +145,8 @@ def spike_midpoint(df: DataFrame, key: str, order: str, value: str, factor: floa
 
 
 def islands(df: DataFrame, key: str, position: str, on: Column, max_gap: int = 1, least: int = 1) -> DataFrame:
-    """key, first, last and n of runs of rows with `on`. Positions up to max(1, max_gap) + 1 apart join."""
+    """key, first, last and n of runs of rows with `on`. Positions up to max(1, max_gap) + 1 apart join. Rows whose `on` is
+    NULL are off; repeated positions count each; no rows give no runs."""
     w = over(key, position)
     got = df.filter(on).withColumn("_new", F.coalesce(
         (F.col(position) > F.lag(position).over(w) + max(1, max_gap) + 1).cast("int"), F.lit(1)))
@@ -236,7 +238,8 @@ def bracket_fill(df: DataFrame, key: str, order: str, position: str, value: str,
 
 
 def nearest(df: DataFrame, key: str, position: str, value: str, is_reference: Column, out: str = "nearest") -> DataFrame:
-    """The value of the reference row nearest in position; the earlier one if two are as near."""
+    """The value of the reference row nearest in position; the earlier one if two are as near; NULL in a series without
+    one. Of references at one position any counts."""
     w = over(key, position)
     here = F.when(is_reference, F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
     got = df.withColumn("_a", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
@@ -246,7 +249,8 @@ def nearest(df: DataFrame, key: str, position: str, value: str, is_reference: Co
 
 
 def majority(df: DataFrame, key: str, label: str, weight: Column, order: str, out: str = "label") -> DataFrame:
-    """key and the label of the largest summed weight; the label seen first wins ties."""
+    """key and the label of the largest summed weight; the label seen first wins ties. NULL is a label; NULL weights add
+    nothing; no rows give none."""
     per = df.groupBy(key, label).agg(F.sum(weight).alias("_w"), F.min(order).alias("_first"))
     best = F.max_by(F.col(label), F.struct(F.col("_w"), -F.col("_first")))
     return per.groupBy(key).agg(best.alias(out), F.max("_w").alias("weight"), F.count(F.lit(1)).alias("labels"))
