@@ -128,6 +128,8 @@ def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
 
 
 def describe(docs: DataFrame) -> DataFrame:
+    """FOUND rows, one for each row of docs: NO_ID stands for a null doc_id, null texts have no shingles, repeated
+    rows stay, an empty table gives none."""
     width = shuffle_width(docs)
     own = bucketed(docs, width, "text")
 
@@ -263,7 +265,10 @@ def bridges(measured: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def links(found: DataFrame) -> DataFrame:
-    """(a, b): linked representatives of unequal sets, enough to connect every component."""
+    """(a, b): linked representatives of unequal sets, enough to connect every component.
+
+    Rows without doc_id and without shingles take no part; of equal sets the least doc_id stands for all.
+    """
     near = found.filter(F.col("items").isNotNull() & (F.col("doc_id") != NO_ID))
     reps = near.groupBy(*SAME).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     near = stored(near.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "small", "prefix", "items"), "near")

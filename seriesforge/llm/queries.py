@@ -11,44 +11,54 @@ from seriesforge.llm.common import documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document. Nulls, repeats and empty tables as in quality_rules()."""
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, scores and verdict of every document; toxicity learned from labels. Odd input as in classify()."""
     return weak_labels.classify(documents(spark, sf_dir), labels=table(spark, sf_dir, "labels"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the packed token sequences of all documents. Odd input as in pack()."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. Odd input as in url_filter()."""
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed as repeats of 20-word windows. Odd input as in remove_passages()."""
     return passages.remove_passages(documents(spark, sf_dir))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document. Odd input as in jaccard_components()."""
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the mix takes of every document. Odd input as in mix_documents()."""
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, shard and digest of every token sequence, read back from the shards. Odd input as in in_training_order()."""
     return ordering.slot_digests(documents(spark, sf_dir))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed as repeats of 50-byte strings. Odd input as in remove_substrings()."""
     return substrings.remove_substrings(documents(spark, sf_dir))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from every document's FLAC stream. Odd input as in encode_media()."""
     return media.media_digests(documents(spark, sf_dir))
 
 
@@ -56,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_quality_classifier, op3_packing, op4_url_filter, op5_substring_dedup, op6_jaccard_join, op7_mixing,
-        op8_training_order,         op9_suffix_array_dedup, op10_media_columns,
+        op8_training_order, op9_suffix_array_dedup, op10_media_columns,
     )
 }
 

@@ -40,7 +40,8 @@ def _lower(host: F.Column) -> F.Column:
 
 
 def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, bits): one 64-bit word per block, with HASHES bits set for each key in it."""
+    """(block, bits): one 64-bit word per block, with HASHES bits set for each key in it; repeated keys change
+    nothing, and an empty list gives no blocks."""
     return listed.select(
         _block("key", n_blocks).alias("block"), _mask("key").alias("mask")
     ).groupBy("block").agg(F.bit_or("mask").alias("bits"))

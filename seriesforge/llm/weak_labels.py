@@ -59,7 +59,8 @@ class Training:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id and the pattern: one digit per labeller, 0 bad, 1 good, 2 no vote."""
+    """doc_id and the pattern: one digit per labeller, 0 bad, 1 good, 2 no vote; a row for each row of docs, null texts as
+    empty ones."""
     text = F.coalesce("text", F.lit(""))
     cut = docs.select(
         "doc_id", text.alias("t"), F.array_remove(F.split(text, SPACE), "").alias("w"),

@@ -612,3 +612,54 @@ def test_hashes_and_packing_of_numbers():
     assert (arrays.unpack_ascending(arrays.pack_ascending(x), 100) == x).all()
     start, end, h = arrays.words("a  bé\tab ab\n".encode())
     assert [(s, e) for s, e in zip(start, end)] == [(0, 1), (3, 6), (7, 9), (10, 12)] and h[2] == h[3]
+
+
+def test_estimation_by_a_model_document_by_document():
+    """The same expectation-maximisation in plain loops over documents, without counting patterns."""
+    rng = random.Random(8)
+    docs = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        docs.append(tuple(2 if rng.random() < 0.3 else int(good if rng.random() < right else not good) for right in (0.95, 0.8, 0.7, 0.6)))
+    post = {d: 0.2 if 2 * d.count(0) >= d.count(1) else 0.9 for d in docs}
+    for _ in range(60):
+        prior = (sum(post[d] for d in docs) + 1) / (len(docs) + 2)
+        right = {}
+        for j in range(4):
+            for label in (0, 1):
+                weight = [(post[d] if label else 1 - post[d], d[j]) for d in docs if d[j] != 2]
+                right[j, label] = (sum(w for w, v in weight if v == label) + 1) / (sum(w for w, _ in weight) + 2)
+        new = {}
+        for d in set(docs):
+            p = [1 - prior, prior]
+            for j, v in enumerate(d):
+                for label in (0, 1):
+                    if v != 2:
+                        p[label] *= right[j, label] if v == label else 1 - right[j, label]
+            new[d] = p[1] / (p[0] + p[1])
+        post = new
+    counts = Counter("".join(map(str, d)) for d in docs)
+    names = sorted(counts)
+    got, accuracy, share = weak_labels.estimate(names, [counts[n] for n in names])
+    assert got == pytest.approx([post[tuple(map(int, n))] for n in names], abs=1e-9) and share == pytest.approx(prior)
+    assert all(accuracy[j, label] == pytest.approx(right[j, label]) for j in range(4) for label in (0, 1)) and accuracy[0].mean() > accuracy[3].mean()
+
+
+def test_classifier_on_hard_rows(spark, hard):
+    """Repeated rows and null doc_ids are scored each; a doc_id of hundreds of rows doesn't swell the sample."""
+    many = spark.createDataFrame([(5, f"the text number {i} of the one document")  for i in range(300)], "doc_id long, text string")
+    docs = hard.select("doc_id", "text").unionByName(many)
+    assert weak_labels.classify(docs, weak_labels.Training(sample=50)).count() == docs.count()
+    sample = weak_labels._sampled(docs, docs.count(), 50)
+    assert len(sample) == 50 and sorted(map(str, sample)) == sorted(map(str, weak_labels._sampled(docs.repartition(3), docs.count(), 50)))
+
+
+def test_stage_functions_on_hard_rows(spark, hard, empty):
+    for stage in (quality_rules.keep_good, jaccard.keep_representatives, substrings.dedup_substrings, mixing.take_mix):
+        assert stage(hard).columns == hard.columns and stage(empty).count() == 0
+    filler = [("the" if i % 9 == 4 else f"w{i * i % 997}") for i in range(80)]
+    rows = [(None, " ".join(filler), 1), (7, " ".join(filler), 2), (7, " ".join(filler), 2), (8, " ".join(filler[:40]), 3), (9, None, 4), (10, " ".join(filler[:5] * 16), 5)]
+    kept = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, kept int"))
+    assert Counter((r["doc_id"], r["kept"]) for r in kept.collect()) == {(None, 1): 1, (7, 2): 2}
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.take_mix(hard).collect())
+    assert all(n <= 3 * 2 and i is not None for (i, _), n in mixed.items())  # repeated rows: three times each at most
