@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import jaccard, media, mixing, ordering, packing, passages, quality_rules, substrings, url_filter, weak_labels
+from seriesforge.llm import codebooks, exact_copies, jaccard, media, mixing, ordering, packing, passages, quality_rules, substrings, url_filter, weak_labels, whitening
 from seriesforge.llm.common import documents, table
 
 
@@ -62,11 +62,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding. Odd input as in whitened()."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding by 8 codebooks of 16 entries. Odd input as in compressed()."""
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for every document. Odd input as in exact_dedup()."""
+    return exact_copies.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_quality_classifier, op3_packing, op4_url_filter, op5_substring_dedup, op6_jaccard_join, op7_mixing,
-        op8_training_order, op9_suffix_array_dedup, op10_media_columns,
+        op8_training_order, op9_suffix_array_dedup, op10_media_columns, op11_embedding_whitening, op12_vector_codes, op13_exact_dedup,
     )
 }
 
@@ -116,4 +131,49 @@ SELECT low.page_id, low.host, low.path, b.rule AS rule, coalesce(b.verdict, 'all
 FROM low LEFT JOIN best ON low.page_id = best.page_id AND low.host = best.host AND low.path = best.path
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_url_filter": OP4_SQL}
+_BELOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13_SQL = f"""
+WITH low AS (SELECT doc_id, {_BELOW} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM low
+"""
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds, one after another. A part and an entry are lists of integers."""
+    parts, entries, width, rounds = codebooks.PARTS, codebooks.ENTRIES, 8, codebooks.ROUNDS
+    text = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (
+  SELECT vec_id, label, p, v[p * {width} + 1 : p * {width} + {width}] AS x FROM kept, range({parts}) AS r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM kept ORDER BY vec_id LIMIT {entries}),
+b0 AS (SELECT p, c, x AS e FROM part JOIN first USING (vec_id))"""
+    for i in range(rounds + 1):
+        text += f""",
+d{i} AS (
+  SELECT vec_id, p, c, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM part JOIN b{i} USING (p)),
+a{i} AS (SELECT vec_id, p, min(d) AS d, arg_min(c, d * {entries} + c) AS c FROM d{i} GROUP BY vec_id, p)"""
+        if i < rounds:
+            text += f""",
+s{i} AS (
+  SELECT p, c, i, sum(x[i])::BIGINT AS s, count(*) AS n
+  FROM a{i} JOIN part USING (vec_id, p), range(1, {width} + 1) AS r(i) GROUP BY p, c, i),
+m{i} AS (SELECT p, c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{i} GROUP BY p, c),
+b{i + 1} AS (SELECT b{i}.p, b{i}.c, coalesce(m{i}.e, b{i}.e) AS e FROM b{i} LEFT JOIN m{i} ON b{i}.p = m{i}.p AND b{i}.c = m{i}.c)"""
+    return text + f""",
+code AS (
+  SELECT vec_id, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT kept.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, c)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN code USING (vec_id)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL, "op4_url_filter": OP4_SQL, "op12_vector_codes": _codes_sql(), "op13_exact_dedup": OP13_SQL,
+}
