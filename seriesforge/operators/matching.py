@@ -1,10 +1,15 @@
-"""Order-dependent matching: greedy suppression, clustering and tracking, one group at a time."""
+"""Order-dependent matching: greedy suppression and clustering of a frame's candidates, and two trackers."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from seriesforge.functions.scalars import box_iou, finite
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -18,68 +23,64 @@ def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 1e-9, inner / np.where(union > 1e-9, union, 1), 0.0)
 
 
-def suppressed(boxes: np.ndarray, confidence: np.ndarray, threshold: float) -> np.ndarray:
-    """Which boxes go: by falling confidence, a box goes if a kept one overlaps it above threshold."""
-    gone, overlap = np.zeros(len(boxes), bool), iou(boxes, boxes)
-    order = np.argsort(-confidence, kind="stable")
-    for i, a in enumerate(order):
-        if not gone[a]:
-            rest = order[i + 1 :]
-            gone[rest[overlap[a, rest] > threshold]] = True
-    return gone
+_BOXED = "array<struct<place:double,c:bigint,conf:double,b:struct<x1:double,y1:double,x2:double,y2:double>>>"
 
 
-def greedy_dedup(df: DataFrame, frame: str, candidate: str, confidence: str, threshold: float = 0.3) -> DataFrame:
-    """df's frame and candidate with `dropped`; frames are groups of a few candidates. Of equal confidence the lesser
-    candidate stays; boxes with NULLs overlap nothing; no rows give none."""
+def _listed(df: DataFrame, frame: str, candidate: str, confidence: str, place: Column) -> DataFrame:
+    """frame and _all: its candidates in ascending order of place, then candidate, with confidence and box."""
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in BOX])
+    one = F.struct(place.cast("double").alias("place"), F.col(candidate).cast("long").alias("c"), finite(F.col(confidence)).alias("conf"), box.alias("b"))
+    return df.groupBy(frame).agg(F.array_sort(F.collect_list(one)).alias("_all"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(candidate)
-        gone = suppressed(pdf[BOX].to_numpy(float), pdf[confidence].to_numpy(float), threshold)
-        return pd.DataFrame({frame: pdf[frame], candidate: pdf[candidate], "dropped": gone.astype("int32")})
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(frame, candidate, confidence, *BOX).groupBy(frame).applyInPandas(
-        run, f"{frame} {kinds[frame]}, {candidate} {kinds[candidate]}, dropped int")
+def greedy_dedup(df: DataFrame, frame: str, candidate: str, confidence: str, threshold: float = 0.3) -> DataFrame:
+    """df's frame and candidate with `dropped`: by falling confidence, a box goes if a kept one overlaps it above threshold.
 
+    Frames are groups of a few candidates, listed and folded in place. Of equal confidence the lesser candidate stays, without one
+    comes last; boxes with NULLs overlap nothing; no rows give none.
+    """
+    listed = _listed(df, frame, candidate, confidence, F.coalesce(-finite(F.col(confidence)), F.lit(float("inf"))))
+    hit = lambda k, x: F.coalesce(box_iou(k["b"], x["b"]) > threshold, F.lit(False))
+    kept = F.aggregate("_all", F.array().cast(_BOXED), lambda kept, x: F.when(F.exists(kept, lambda k: hit(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    got = listed.withColumn("_kept", F.transform(kept, lambda k: k["c"])).select(frame, "_kept", F.explode("_all.c").alias("_c"))
+    kind = dict(df.dtypes)[candidate]
+    return got.select(frame, F.col("_c").cast(kind).alias(candidate), (~F.array_contains("_kept", F.col("_c"))).cast("int").alias("dropped"))
 
-def duplicates(boxes: np.ndarray, confidence: np.ndarray, least: float, reach: float, alike: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster of each box (-1: none) and whether it goes: all of a cluster but the surest (the first of equals).
+
+def mark_duplicates(df: DataFrame, frame: str, candidate: str, confidence: str, least: float = 0.45, reach: float = 35.0, alike: float = 0.35) -> DataFrame:
+    """frame, candidate, cluster (-1: none) and dropped (all of a cluster but the surest, the first of equals).
 
     Boxes are alike from an overlap of `least`, or with centres within `reach` and areas of which the smaller is at
-    least `alike` of the larger. Pairs are taken in order, and each joins the first cluster that holds either.
+    least `alike` of the larger. Pairs are taken in order of their candidates; each joins the first cluster that holds
+    either, or opens one. A frame is a group of a few candidates, folded in place. Boxes with NULLs are like none; no rows give none.
     """
-    side = np.clip(boxes[:, 2:] - boxes[:, :2], 0, None)
-    area, middle = side.prod(1), (boxes[:, :2] + boxes[:, 2:]) / 2
-    far = np.linalg.norm(middle[:, None] - middle[None], axis=2)
-    ratio = np.minimum(area[:, None], area[None]) / np.maximum(np.maximum(area[:, None], area[None]), 1.0)
-    pairs = np.argwhere(np.triu((iou(boxes, boxes) >= least) | ((far <= reach) & (ratio >= alike)), 1))
-    members: list[list[int]] = []
-    for i, j in pairs.tolist():
-        own = next((c for c in members if i in c or j in c), None)
-        if own is None:
-            members.append([i, j])
-        else:
-            own += [x for x in (i, j) if x not in own]
-    cluster, gone = np.full(len(boxes), -1), np.zeros(len(boxes), bool)
-    for n, own in enumerate(members):
-        cluster[own] = n
-        best = max(own, key=lambda k: confidence[k])
-        gone[[k for k in own if k != best]] = True
-    return cluster, gone
-
-
-def mark_duplicates(df: DataFrame, frame: str, candidate: str, confidence: str, least: float = 0.55, reach: float = 28.0, alike: float = 0.35) -> DataFrame:
-    """frame, candidate, cluster and dropped; a frame is a group of a few candidates. No rows give none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(candidate)
-        cluster, gone = duplicates(pdf[BOX].to_numpy(float), pdf[confidence].to_numpy(float), least, reach, alike)
-        return pd.DataFrame({frame: pdf[frame], candidate: pdf[candidate], "cluster": cluster.astype("int32"), "dropped": gone.astype("int32")})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(frame, candidate, confidence, *BOX).groupBy(frame).applyInPandas(
-        run, f"{frame} {kinds[frame]}, {candidate} {kinds[candidate]}, cluster int, dropped int")
+    listed = _listed(df, frame, candidate, confidence, F.lit(0.0))
+    area = lambda b: F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
+
+    def same(a: Column, b: Column) -> Column:
+        far = F.sqrt(F.pow((a["x1"] + a["x2"]) / 2 - (b["x1"] + b["x2"]) / 2, 2) + F.pow((a["y1"] + a["y2"]) / 2 - (b["y1"] + b["y2"]) / 2, 2))
+        ratio = F.least(area(a), area(b)) / F.greatest(area(a), area(b), F.lit(1.0))
+        return F.coalesce((box_iou(a, b) >= least) | ((far <= reach) & (ratio >= alike)), F.lit(False))
+
+    pairs = F.flatten(F.transform("_all", lambda x, i: F.transform(
+        F.filter("_all", lambda y, j: (j > i) & same(x["b"], y["b"])), lambda y: F.array(x["c"], y["c"]))))
+    holds = lambda c, pair: F.arrays_overlap(c, pair)
+    # the first cluster that meets the pair takes it in; clusters are lists of candidates in the order in which they came
+    own = lambda all_, pair: F.array_position(F.transform(all_, lambda c: holds(c, pair)), F.lit(True))
+    clusters = F.aggregate(pairs, F.array().cast("array<array<bigint>>"), lambda all_, pair: F.when(
+        own(all_, pair) == 0, F.concat(all_, F.array(pair))).otherwise(
+        F.transform(all_, lambda c, n: F.when(n + 1 == own(all_, pair), F.array_union(c, pair)).otherwise(c))))
+    sure = F.map_from_entries(F.transform("_all", lambda x: F.struct(x["c"], F.coalesce(x["conf"], F.lit(float("-inf"))))))
+    got = listed.withColumn("_clusters", clusters).withColumn("_sure", sure)
+    best = F.transform("_clusters", lambda c: F.aggregate(F.slice(c, 2, 1_000_000), F.get(c, 0), lambda a, x: F.when(
+        F.try_element_at("_sure", x) > F.try_element_at("_sure", a), x).otherwise(a)))
+    got = got.withColumn("_best", best).select(frame, "_clusters", "_best", F.explode("_all.c").alias("_c"))
+    inside = F.transform("_clusters", lambda c: F.array_contains(c, F.col("_c")))
+    last = F.size("_clusters") - F.array_position(F.reverse(inside), F.lit(True))
+    gone = F.exists(F.arrays_zip(F.col("_clusters").alias("m"), F.col("_best").alias("b")), lambda z: F.array_contains(z["m"], F.col("_c")) & (z["b"] != F.col("_c")))
+    kind = dict(df.dtypes)[candidate]
+    return got.select(frame, F.col("_c").cast(kind).alias(candidate), F.when(F.exists(inside, lambda x: x), last).otherwise(-1).cast("int").alias("cluster"),
+                      gone.cast("int").alias("dropped"))
 
 
 def chained(frames: np.ndarray, boxes: np.ndarray, least: float = 0.2) -> np.ndarray:
@@ -117,47 +118,69 @@ def chain(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.
         run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, track_id int")
 
 
+@dataclass
+class Tracker:
+    """Tracks that may go on: at most `bridge` frames old. Each frame's boxes are matched to them by falling
+    3 * IoU - distance / reach - 0.25 * (gap - 1), lesser box and track first among equals; what is unmatched opens a track."""
+
+    least: float = 0.12
+    bridge: int = 6
+    reach: float = 130.0
+    live: dict[int, tuple[int, np.ndarray]] = field(default_factory=dict)  # track: its last frame and box
+    count: int = 0
+
+    def step(self, frame: int, boxes: np.ndarray) -> np.ndarray:
+        """The tracks of a frame's boxes. Frames come in order."""
+        self.live = {t: x for t, x in self.live.items() if frame - x[0] <= self.bridge}
+        out = np.full(len(boxes), -1)
+        if self.live:
+            names = np.array(list(self.live))
+            last, old = np.array([x[0] for x in self.live.values()]), np.array([x[1] for x in self.live.values()])
+            overlap, middle = iou(boxes, old), lambda x: (x[:, :2] + x[:, 2:]) / 2
+            far = np.linalg.norm(middle(boxes)[:, None] - middle(old)[None], axis=2)
+            i, j = np.nonzero((overlap >= self.least) | (far <= self.reach))
+            score = 3 * overlap[i, j] - far[i, j] / self.reach - 0.25 * (frame - last[j] - 1)
+            used: set[int] = set()
+            for k in np.lexsort((names[j], i, -score)).tolist():
+                if out[i[k]] < 0 and j[k] not in used:
+                    out[i[k]] = names[j[k]]
+                    used.add(j[k])
+        new = out < 0
+        out[new] = self.count + np.arange(new.sum())
+        self.count += int(new.sum())
+        self.live |= {int(t): (int(frame), b) for t, b in zip(out, boxes, strict=True)}
+        return out
+
+
 def tracks(frames: np.ndarray, boxes: np.ndarray, least: float, bridge: int, reach: float) -> np.ndarray:
-    """Track numbers: each frame's boxes are matched to live tracks (at most `bridge` frames old) by
-    falling 3 * IoU - distance / reach - 0.25 * (gap - 1); what is unmatched opens a track."""
-    out = np.full(len(frames), -1)
-    live: dict[int, tuple[int, np.ndarray]] = {}
-    count = 0
-    for f in np.unique(frames):
-        rows = np.flatnonzero(frames == f)
-        live = {t: x for t, x in live.items() if f - x[0] <= bridge}
-        names = list(live)
-        pairs = []
-        if names:
-            old = np.array([live[t][1] for t in names])
-            overlap = iou(boxes[rows], old)
-            middle = lambda x: (x[:, :2] + x[:, 2:]) / 2
-            far = np.linalg.norm(middle(boxes[rows])[:, None] - middle(old)[None], axis=2)
-            for i in range(len(rows)):
-                for j, t in enumerate(names):
-                    if overlap[i, j] >= least or far[i, j] <= reach:
-                        pairs.append((-(3 * overlap[i, j] - far[i, j] / reach - 0.25 * (f - live[t][0] - 1)), i, t))
-        used: set[int] = set()
-        for _, i, t in sorted(pairs):
-            if out[rows[i]] < 0 and t not in used:
-                out[rows[i]] = t
-                used.add(t)
-        for r in rows:
-            if out[r] < 0:
-                out[r], count = count, count + 1
-            live[int(out[r])] = (int(f), boxes[r])
-    return out
+    """Track numbers of boxes in order of their frames."""
+    tracker = Tracker(least, bridge, reach)
+    edge = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1, append=frames[-1:] + 1)) if len(frames) else []
+    parts = [tracker.step(int(frames[a]), boxes[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def track(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.12, bridge: int = 6, reach: float = 130.0) -> DataFrame:
-    """key, frame, candidate and track_id; one session (key) is one ordered group. Equal scores go to the lesser candidate,
-    then track; boxes with NULLs open tracks of their own; no rows give none."""
+    """key, frame, candidate and track_id, counted from 0 in each session (key). Equal scores go to the lesser candidate,
+    then track; boxes with NULLs open tracks of their own; no rows give none.
+
+    No track lives over a gap of more than `bridge` frames, so a session is cut there, and each stretch is a group of its own.
+    """
+    w = Window.partitionBy(key).orderBy(frame)
+    cut = F.coalesce((F.col(frame) - F.lag(frame).over(w) > bridge).cast("int"), F.lit(0))
+    dealt = df.select(key, frame, candidate, *BOX).withColumn("_new", cut).withColumn("_stretch", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, candidate])
         t = tracks(pdf[frame].to_numpy(), pdf[BOX].to_numpy(float), least, bridge, reach)
-        return pdf[[key, frame, candidate]].assign(track_id=t.astype("int32"))
+        return pdf[[key, frame, candidate, "_stretch"]].assign(_t=t.astype("int32"))
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(key, frame, candidate, *BOX).groupBy(key).applyInPandas(
-        run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, track_id int")
+    found = dealt.groupBy(key, "_stretch").applyInPandas(
+        run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, _stretch long, _t int")
+    # Numbers of earlier stretches come first.
+    opened = F.max("_t").over(Window.partitionBy(key, "_stretch")) + 1
+    first = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(frame, candidate)) == 1
+    before = F.sum(F.when(F.col("_first"), F.col("_opened")).otherwise(0)).over(Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1))
+    got = found.withColumn("_opened", opened).withColumn("_first", first)
+    return got.select(key, frame, candidate, (F.col("_t") + F.coalesce(before, F.lit(0))).cast("int").alias("track_id"))

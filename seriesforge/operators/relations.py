@@ -111,6 +111,28 @@ def in_phases(samples: DataFrame, phases: DataFrame, key: str, position: str, na
     return got.withColumn(name, F.when(F.col(position) <= F.col("_now.l"), F.col("_now.n")).otherwise(default)).drop("_phase", "_kind", "_now")
 
 
+def painted_phases(samples: DataFrame, phases: DataFrame, key: str, position: str, name: str, order: str, default: str = "unknown") -> DataFrame:
+    """Each sample with the name of the phase (key, first, last, name) that holds it; where several do, the one of the
+    greatest `order`, as if painted one over another. Positions are whole numbers; phases that end before they begin hold nothing.
+
+    Every phase is cut into blocks of powers of two (two for each length at most), and a sample asks for the block of
+    each length that its key has around it: equi joins, whatever overlaps. Samples without a phase, key or position get the default.
+    """
+    lo, hi = F.col("first").cast("long"), F.col("last").cast("long") + 1
+    ranges = phases.filter(lo < hi).select(key, lo.alias("_lo"), hi.alias("_hi"), F.struct(F.col(order).alias("o"), F.col(name).alias("n")).alias("_p"))
+    levels = ranges.withColumn("_level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2((F.col("_hi") - F.col("_lo")).cast("double"))).cast("int"))))
+    ends = levels.withColumn("_a", F.ceil(F.col("_lo") / F.expr("shiftleft(1L, _level)"))).withColumn("_b", F.floor(F.col("_hi") / F.expr("shiftleft(1L, _level)")))
+    odd = lambda c: F.pmod(F.col(c), F.lit(2)) == 1
+    inside = F.col("_a") < F.col("_b")
+    cut = ends.withColumn("_block", F.explode(F.array_compact(F.array(F.when(inside & odd("_a"), F.col("_a")), F.when(inside & odd("_b"), F.col("_b") - 1)))))
+    blocks = cut.groupBy(key, "_level", "_block").agg(F.max("_p").alias("_p"))
+    asked = samples.select(key, F.col(position).cast("long").alias("_at")).distinct().join(blocks.groupBy(key).agg(F.collect_set("_level").alias("_levels")), key)
+    found = asked.withColumn("_level", F.explode("_levels")).withColumn("_block", F.expr("shiftright(_at, _level)")).join(
+        blocks, [key, "_level", "_block"]).groupBy(F.col(key).alias("_k"), "_at").agg(F.max("_p").alias("_p"))
+    got = samples.join(found, (samples[key] == found["_k"]) & (samples[position].cast("long") == found["_at"]), "left")
+    return got.withColumn(name, F.coalesce(F.col("_p.n"), F.lit(default))).drop("_k", "_at", "_p")
+
+
 def near_rows(df: DataFrame, key: str, position: str, on: Column, reach: int, out: str = "neighbour") -> DataFrame:
     """1 for rows that aren't on but have one that is within `reach` positions of the same key."""
     flag = F.coalesce(on, F.lit(False)).cast("int")

@@ -93,15 +93,15 @@ def gaussian_smooth(df: DataFrame, key: str, order: str, value: str, trust: str,
     """Trust-weighted Gaussian mean over ceil(3 sigma) rows to each side; without weight the value stays. NULL values
     weigh nothing; rows of equal order are in any order; no rows give none."""
     half = math.ceil(3 * sigma)
-    base = over(key, order)
-    numbered = df.withColumn("_pos", F.row_number().over(base))
-    w = base.rowsBetween(-half, half)
-    near = numbered.withColumn("_near", F.collect_list(F.struct(F.col("_pos").alias("p"), F.col(value).alias("v"), F.col(trust).alias("t"))).over(w))
-    weight = f"s.t * exp(-0.5 * pow((s.p - _pos) / {sigma}D, 2))"
-    summed = near.withColumn("_sum", F.expr(
-        f"aggregate(_near, struct(0D AS a, 0D AS b), (x, s) -> struct(x.a + {weight} * coalesce(s.v, 0D) AS a, x.b + IF(s.v IS NULL, 0D, {weight}) AS b))"
-    ))
-    return summed.withColumn(out, F.when(F.col("_sum.b") > 1e-12, F.col("_sum.a") / F.col("_sum.b")).otherwise(F.col(value))).drop("_pos", "_near", "_sum")
+    w = over(key, order)
+    got = df.withColumn("_t", F.coalesce(F.when(F.col(value).isNotNull(), F.col(trust)), F.lit(0.0))).withColumn("_tv", F.col("_t") * F.coalesce(F.col(value), F.lit(0.0)))
+    top = below = F.lit(0.0)
+    for k in range(-half, half + 1):
+        weight = math.exp(-0.5 * (k / sigma) ** 2)
+        top = top + weight * F.lead("_tv", k, 0.0).over(w)
+        below = below + weight * F.lead("_t", k, 0.0).over(w)
+    got = got.withColumn("_a", top).withColumn("_b", below)
+    return got.withColumn(out, F.when(F.col("_b") > 1e-12, F.col("_a") / F.col("_b")).otherwise(F.col(value))).drop("_t", "_tv", "_a", "_b")
 
 
 # Least-squares weights of a quadratic over seven points, for each place in the window.
@@ -257,9 +257,10 @@ def majority(df: DataFrame, key: str, label: str, weight: Column, order: str, ou
 
 
 def stats(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """count, min, p10, median, mean, p90, p95 and max of the finite values."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9, 0.95)]))
-    got = df.groupBy(*key).agg(F.count(value).alias("count"), F.min(value).alias("min"), p.alias("_p"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    """count, min, p10, median, mean, p90, p95, max and population std of the finite values; NULL where there are none."""
+    v = finite(F.col(value))
+    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9, 0.95)]))
+    got = df.groupBy(*key).agg(F.count(v).alias("count"), F.min(v).alias("min"), p.alias("_p"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
     names = ("p10", "median", "p90", "p95")
     return got.select(*key, "count", "min", "max", "mean", "std", *[F.get("_p", i).alias(n) for i, n in enumerate(names)])
 

@@ -41,13 +41,17 @@ def component_medians(df: DataFrame, keys: list[str], vector: list[str]) -> Data
 
 
 def inlier_mean(df: DataFrame, keys: list[str], value: str, factor: float = 3.0, floor: float = 1e-6) -> DataFrame:
-    """median, mad, inliers and mean of the finite values no further than factor * max(mad, floor) from the median."""
-    listed = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.collect_list(finite(F.col(value))).alias("_v"))
+    """median, mad, inliers and mean of the finite values no further than factor * max(mad, floor) from the median.
+
+    Values are added in ascending order, so that the mean doesn't depend on the rows' order. Groups without finite values have NULLs.
+    """
+    v = finite(F.col(value))
+    listed = df.groupBy(*keys).agg(F.percentile(v, 0.5).alias("median"), F.array_sort(F.collect_list(v)).alias("_v"))
     far = F.array_sort(F.transform("_v", lambda x: F.abs(x - F.col("median"))))
-    got = listed.withColumn("_d", far).withColumn("mad", F.expr("(_d[cast((size(_d) - 1) div 2 AS int)] + _d[cast(size(_d) div 2 AS int)]) / 2"))
+    got = listed.withColumn("_d", far).withColumn("mad", F.expr("(get(_d, cast((size(_d) - 1) div 2 AS int)) + get(_d, cast(size(_d) div 2 AS int))) / 2"))
     kept = F.filter("_v", lambda x: F.abs(x - F.col("median")) <= factor * F.greatest(F.col("mad"), F.lit(floor)))
     got = got.withColumn("_in", kept).withColumn("inliers", F.size("_in").cast("long"))
-    return got.withColumn("mean", F.aggregate("_in", F.lit(0.0), lambda a, x: a + x) / F.size("_in")).drop("_v", "_d", "_in")
+    return got.withColumn("mean", F.aggregate("_in", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_in"), F.lit(0))).drop("_v", "_d", "_in")
 
 
 def patch(df: DataFrame, keys: list[str], depth: str, low: float, high: float, least: int, most_spread: float) -> DataFrame:
@@ -59,11 +63,12 @@ def patch(df: DataFrame, keys: list[str], depth: str, low: float, high: float, l
 
 
 def residuals(df: DataFrame, keys: list[str], estimate: str) -> DataFrame:
-    """Root mean square and greatest distance of the estimates from their median, spread (p90 - p10) and count."""
-    middle = df.groupBy(*keys).agg(F.percentile(estimate, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_p"))
-    gap = F.abs(F.col(estimate) - F.get("_p", 1))
+    """Root mean square and greatest distance of the finite estimates from their median, spread (p90 - p10) and count."""
+    v = finite(F.col(estimate))
+    middle = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_p"))
+    gap = F.abs(v - F.get("_p", 1))
     return df.join(middle, keys).groupBy(*keys).agg(
-        F.count(estimate).alias("count"), F.sqrt(F.avg(gap * gap)).alias("rms"), F.max(gap).alias("max"), F.first(F.get("_p", 2) - F.get("_p", 0)).alias("spread"))
+        F.count(v).alias("count"), F.sqrt(F.avg(gap * gap)).alias("rms"), F.max(gap).alias("max"), F.first(F.get("_p", 2) - F.get("_p", 0)).alias("spread"))
 
 
 def bounds(df: DataFrame, value: str, many: int = 100, pad: float = 0.0) -> DataFrame:

@@ -41,8 +41,8 @@ def dominant(summary: DataFrame, side: str, rows: str, track: str) -> DataFrame:
     return summary.groupBy(side).agg(F.max_by(track, F.struct(F.col(rows), -F.col(track))).alias("dominant"))
 
 
-def filter_tracks(df: DataFrame, track: str, side: str, place: list[str], depth: str, area: str, least: int = 6, relative: float = 0.5,
-                  distance: float = 0.35, ratio: float = 2.5) -> DataFrame:
+def filter_tracks(df: DataFrame, track: str, side: str, place: list[str], depth: str, area: str, least: int = 5, relative: float = 0.30,
+                  distance: float = 0.5, ratio: float = 3.0) -> DataFrame:
     """Each track with filter_reason, NULL if it stays.
 
     short_track: fewer than `least` rows. Others are held against the dominant track of their side, if they are
@@ -71,7 +71,7 @@ def filter_tracks(df: DataFrame, track: str, side: str, place: list[str], depth:
     return both.select(track, side, F.col("_n").alias("rows"), reason.alias("filter_reason"))
 
 
-def spikes(df: DataFrame, track: str, frame: str, place: list[str], gap: int = 3, floor: float = 0.08, factor: float = 4.0) -> DataFrame:
+def spikes(df: DataFrame, track: str, frame: str, place: list[str], gap: int = 3, floor: float = 0.08, factor: float = 3.0) -> DataFrame:
     """spike (0 or 1) and spike_distance: single rows that jump away and back.
 
     Both steps exceed max(floor, factor * median step of the track) and the way past the row is under three quarters of

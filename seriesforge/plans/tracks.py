@@ -204,7 +204,20 @@ def greedy_dedup(spark, sf_dir):
     return matching.greedy_dedup(boxes(spark, sf_dir), "l_orderkey", "candidate", "confidence")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {B}, p AS (SELECT a.l_orderkey AS k, a.candidate AS i, b.candidate AS j,
+    greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS n, sqrt(pow(a.x1 - b.x1, 2) + pow(a.y1 - b.y1, 2)) AS far
+  FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.candidate < b.candidate),
+s AS (SELECT k, i, j, row_number() OVER (PARTITION BY k ORDER BY i, j) AS r FROM p WHERE n / (400 - n) >= 0.3 OR far <= 3),
+g AS (SELECT DISTINCT k, 0::BIGINT AS r, []::BIGINT[][] AS c FROM s
+  UNION ALL SELECT g.k, s.r, CASE WHEN len(list_filter(g.c, lambda m: list_contains(m, s.i) OR list_contains(m, s.j))) = 0 THEN list_append(g.c, [s.i, s.j])
+    ELSE list_transform(g.c, lambda m, n: CASE WHEN n = list_position(list_transform(g.c, lambda m: list_contains(m, s.i) OR list_contains(m, s.j)), true)
+      THEN list_concat(m, list_filter([s.i, s.j], lambda x: NOT list_contains(m, x))) ELSE m END) END FROM g JOIN s ON s.k = g.k AND s.r = g.r + 1),
+f AS (SELECT k, arg_max(c, r) AS c FROM g GROUP BY k), u AS (SELECT k, unnest(range(len(c))) AS n, unnest(c) AS m FROM f),
+e AS (SELECT u.k, u.n, unnest(u.m) AS x, unnest(range(len(u.m))) AS w FROM u),
+t AS (SELECT e.k, e.n, e.x, row_number() OVER (PARTITION BY e.k, e.n ORDER BY b.confidence DESC, e.w) AS place FROM e JOIN b ON b.l_orderkey = e.k AND b.candidate = e.x)
+SELECT b.l_orderkey, b.candidate::INTEGER AS candidate, coalesce(max(t.n), -1)::INTEGER AS cluster, coalesce(max((t.place > 1)::INTEGER), 0) AS dropped
+FROM b LEFT JOIN t ON t.k = b.l_orderkey AND t.x = b.candidate GROUP BY ALL""")
 def duplicate_clusters(spark, sf_dir):
     return matching.mark_duplicates(boxes(spark, sf_dir), "l_orderkey", "candidate", "confidence", least=0.3, reach=3.0)
 

@@ -38,9 +38,15 @@ def test_majority_tie_takes_first(spark):
     assert series.majority(df, "k", "l", F.lit(1.0), "p").first()["label"] == "x"
 
 
-def test_dropped_box_does_not_suppress():
-    a = np.array([[0, 0, 10, 10], [4, 0, 14, 10], [8, 0, 18, 10]], float)
-    assert matching.suppressed(a, np.array([3.0, 2.0, 1.0]), 0.3).tolist() == [False, True, False]
+BOXES = "f int, c int, conf double, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_dropped_box_does_not_suppress(spark):
+    rows = [(1, 0, 3.0, 0.0, 0.0, 10.0, 10.0), (1, 1, 2.0, 4.0, 0.0, 14.0, 10.0), (1, 2, 1.0, 8.0, 0.0, 18.0, 10.0), (2, 0, None, 0.0, 0.0, 9.0, 9.0),
+            (2, 1, float("nan"), 0.0, 0.0, 9.0, 9.0), (2, 2, 0.1, 0.0, 0.0, 9.0, 9.0), (3, 0, 1.0, None, 0.0, 9.0, 9.0), (3, 1, 2.0, 0.0, 0.0, 9.0, 9.0)]
+    got = matching.greedy_dedup(spark.createDataFrame(rows, BOXES), "f", "c", "conf").orderBy("f", "c").collect()
+    assert [r["dropped"] for r in got] == [0, 1, 0, 1, 1, 0, 0, 0]
+    assert matching.greedy_dedup(spark.createDataFrame([], BOXES), "f", "c", "conf").count() == 0
 
 
 def test_tracks_bridge_a_gap():

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import rotations as R
 from seriesforge.functions import scalars as S
-from seriesforge.operators import estimators, gates, matching, relations, series, summaries, tracks
+from seriesforge.operators import blocks, estimators, gates, matching, meshes, relations, series, summaries, tracks
 from seriesforge.sources import files
-from seriesforge.streaming import sessions
+from seriesforge.streaming import sessions, tracking
 
 
 def test_frame_lists(spark):
@@ -46,12 +46,78 @@ def test_quaternion_savgol_and_zero_products(spark):
         assert (r["w"], r["x"]) == pytest.approx((np.cos(r["p"] / 20), np.sin(r["p"] / 20)), abs=1e-3)
 
 
-def test_duplicate_clusters():
-    b = np.array([[0, 0, 10, 10], [1, 0, 11, 10], [100, 100, 110, 110], [2, 0, 12, 10], [101, 100, 111, 110], [300, 0, 305, 5]], float)
-    cluster, gone = matching.duplicates(b, np.array([0.5, 0.9, 0.2, 0.9, 0.8, 1.0]), 0.55, 5.0, 0.35)
-    assert cluster.tolist() == [0, 0, 1, 0, 1, -1] and gone.tolist() == [True, False, True, True, False, False]
-    cluster, gone = matching.duplicates(np.array([[0, 0, 10, 10], [4, 4, 6, 6]], float), np.array([1.0, 1.0]), 0.55, 28.0, 0.35)
-    assert cluster.tolist() == [-1, -1]  # near, but not alike in size
+def test_duplicate_clusters(spark):
+    boxes = [(0, 0, 10, 10), (1, 0, 11, 10), (100, 100, 110, 110), (2, 0, 12, 10), (101, 100, 111, 110), (300, 0, 305, 5), (None, 0, 5, 5)]
+    conf = [0.5, 0.9, 0.2, 0.9, 0.8, 1.0, 1.0]
+    rows = [(1, i, c, *[None if x is None else float(x) for x in b]) for i, (b, c) in enumerate(zip(boxes, conf, strict=True))]
+    rows += [(2, 0, 1.0, 0.0, 0.0, 10.0, 10.0), (2, 1, 1.0, 4.0, 4.0, 6.0, 6.0)]  # near, but not alike in size
+    rows += [(3, 5, None, 0.0, 0.0, 10.0, 10.0), (3, 7, 0.1, 0.0, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "f int, c int, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["f"], r["c"]): (r["cluster"], r["dropped"]) for r in matching.mark_duplicates(df, "f", "c", "conf", 0.55, 5.0, 0.35).collect()}
+    assert [got[1, i] for i in range(7)] == [(0, 1), (0, 0), (1, 1), (0, 1), (1, 0), (-1, 0), (-1, 0)]
+    assert got[2, 0] == got[2, 1] == (-1, 0) and got[3, 5] == (0, 1) and got[3, 7] == (0, 0)
+    assert matching.mark_duplicates(df.limit(0), "f", "c", "conf").count() == 0
+
+
+def test_defaults_are_the_documented_ones():
+    import inspect
+
+    of = lambda f: {n: p.default for n, p in inspect.signature(f).parameters.items() if p.default is not p.empty}
+    assert of(matching.mark_duplicates) == {"least": 0.45, "reach": 35.0, "alike": 0.35}
+    assert of(tracks.filter_tracks) == {"least": 5, "relative": 0.30, "distance": 0.5, "ratio": 3.0}
+    assert of(tracks.spikes) == {"gap": 3, "floor": 0.08, "factor": 3.0}
+
+
+def test_statistics_leave_out_what_is_not_finite(spark):
+    values = [1.0, 2.0, 3.0, None] + [float("nan")] * 3 + [float("inf")]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", float("nan"))], "k string, v double")
+    got = {r["k"]: r for r in series.stats(df, ["k"], "v").collect()}
+    assert (got["a"]["count"], got["a"]["min"], got["a"]["median"], got["a"]["mean"], got["a"]["max"]) == (3, 1.0, 2.0, 2.0, 3.0)
+    assert got["a"]["std"] == pytest.approx(np.std([1, 2, 3])) and got["b"]["count"] == 0 and got["b"]["mean"] is None
+    mean = {r["k"]: r for r in summaries.inlier_mean(df, ["k"], "v").collect()}
+    assert (mean["a"]["median"], mean["a"]["mad"], mean["a"]["inliers"], mean["a"]["mean"]) == (2.0, 1.0, 3, 2.0) and mean["b"]["median"] is None
+    left = {r["k"]: r for r in summaries.residuals(df, ["k"], "v").collect()}
+    assert (left["a"]["count"], left["a"]["max"]) == (3, 1.0) and left["a"]["rms"] == pytest.approx((2 / 3) ** 0.5) and left["b"]["count"] == 0
+
+
+def test_painted_phases(spark):
+    """The greatest order on top, against a loop over the phases."""
+    import random
+
+    rng = random.Random(4)
+    phases = [(k, a := rng.randint(-40, 200), a + rng.choice([-3, 0, 1, 5, 40, 150]), f"p{i}", i) for k in "ab" for i in range(30)]
+    samples = [(k, p) for k in "abc" for p in range(-60, 400)] + [("a", None), (None, 3), ("a", 5)]
+    got = relations.painted_phases(spark.createDataFrame(samples, "k string, p int"), spark.createDataFrame(phases, "k string, first int, last int, name string, o int"),
+                                   "k", "p", "name", "o").collect()
+    assert len(got) == len(samples)
+    for r in got:
+        want = "unknown"
+        for k, a, b, name, _ in phases:
+            if r["p"] is not None and k == r["k"] and a <= r["p"] <= b:
+                want = name
+        assert r["name"] == want
+    none = spark.createDataFrame([], "k string, first int, last int, name string, o int")
+    assert {r["name"] for r in relations.painted_phases(spark.createDataFrame(samples, "k string, p int"), none, "k", "p", "name", "o").collect()} == {"unknown"}
+
+
+def test_blocks_give_the_rows_of_whole_series(spark):
+    """One long key over several tasks; a short one; windows at ends and at block borders."""
+    import random
+
+    rng = random.Random(8)
+    rows = [("long", i * 3, rng.gauss(0, 1) + (9 if i % 97 == 0 else 0), rng.choice([0.0, 0.5, 1.0])) for i in range(1000)] + [("short", i, float(i), 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, t int, v double, w double")
+    whole = df.withColumn("pos", F.row_number().over(series.over("k", "t")))
+    cut = blocks.numbered(df, "k", ["t"], F.col("t") / 100)
+    assert {(r["k"], r["t"], r["pos"]) for r in cut.collect()} == {(r["k"], r["t"], r["pos"]) for r in whole.collect()}
+    assert blocks.with_halo(cut, "k", "pos", 50, 15, 15).filter("own").select("block").distinct().count() == 21
+    for op, out in ((lambda d, k, o: series.moving_average(d, k, o, "v", 6), "average"), (lambda d, k, o: series.rolling_mad_outliers(d, k, o, "v"), "mad"),
+                    (lambda d, k, o: series.savgol(d, k, o, "v"), "smooth"), (lambda d, k, o: series.gaussian_smooth(d, k, o, "v", "w"), "smooth"),
+                    (lambda d, k, o: series.rolling_median(d, k, o, ["v"]), "v_median")):
+        a = {(r["k"], r["pos"]): r[out] for r in op(whole, "k", "pos").collect()}
+        b = {(r["k"], r["pos"]): r[out] for r in blocks.in_blocks(cut, "k", "pos", op, halo=16, rows=50).collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    assert blocks.in_blocks(blocks.numbered(df.limit(0), "k", ["t"], F.col("t")), "k", "pos", lambda d, k, o: series.savgol(d, k, o, "v"), halo=6).count() == 0
 
 
 def test_chained_tracks():
@@ -314,3 +380,94 @@ def test_session_islands(spark, tmp_path):
     q = sessions.session_islands(stream, "k", "ts", "10 seconds", "1 second").writeStream.format("memory").queryName("islands").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("islands").collect()) == [2, 3]
+
+
+def _fed(spark, tmp_path, name, batches, schema, build):
+    """What a stream that gets these batches, one after another, gives."""
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    (tmp_path / "now").mkdir()
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "now"))
+    q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    for i in range(len(batches)):
+        for f in (tmp_path / f"in/{i}").glob("*.parquet"):
+            f.rename(tmp_path / "now" / f"{i}.parquet")
+        q.processAllAvailable()
+    q.stop()
+    return own.table(name).collect()
+
+
+def test_streaming_tracker_equals_batch(spark, tmp_path):
+    """Three batches with rows out of order and late ones; tracks expire, and numbers are never given twice."""
+    import random
+
+    rng, t0 = random.Random(2), dt.datetime(2024, 1, 1)
+    schema = "k string, ts timestamp, f int, c int, x1 double, y1 double, x2 double, y2 double"
+
+    def row(k, f, c):
+        x, y = 10.0 * c + rng.random() * 4 + f / 5, 3.0 * (f % 4)
+        return (k, t0 + dt.timedelta(seconds=f), f, c, x, y, x + 12, y + 12)
+
+    frames = [f for f in range(60) if f % 20 < 13]  # gaps longer than a track lives
+    rows = [row(k, f, c) for k in "ab" for f in frames for c in range(rng.randint(0, 3))]
+    rows.append(("a", t0 + dt.timedelta(seconds=12), 12, 9, None, 0.0, 5.0, 5.0))
+    cut = [[r for r in rows if r[2] < 22], [r for r in rows if 22 <= r[2] < 42], [r for r in rows if r[2] >= 42]]
+    held = [r for r in cut[0] if r[2] in (20, 21)]  # come a batch later, still in time
+    cut[0] = [r for r in cut[0] if r not in held]
+    cut[1] = held + cut[1]
+    for b in cut:
+        rng.shuffle(b)
+    late = [row("a", 1, 7), row("b", 2, 7)]  # long past
+    end = [(k, t0 + dt.timedelta(seconds=500), 500, 0, 0.0, 0.0, 1.0, 1.0) for k in "ab"]
+    got = _fed(spark, tmp_path, "tracked", [cut[0], cut[1], cut[2] + late, end, [("c", t0 + dt.timedelta(seconds=900), 1, 0, 0.0, 0.0, 1.0, 1.0)]], schema,
+               lambda s: tracking.track_stream(s, "k", "ts", "f", "c", bridge=5, reach=20.0, late="5 seconds"))
+    batch = matching.track(spark.createDataFrame(rows, schema), "k", "f", "c", bridge=5, reach=20.0).collect()
+    want = {(r["k"], r["f"], r["c"]): r["track_id"] for r in batch}
+    mine = {(r["k"], r["f"], r["c"]): r["track_id"] for r in got if r["f"] < 500}
+    assert mine == want and len(set(want.values())) > 4
+    assert {r["track_id"] for r in got if r["f"] == 500 and r["k"] == "a"} == {1 + max(t for (k, _, _), t in want.items() if k == "a")}
+
+
+def test_streaming_jump(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    row = lambda k, p, x, y: (k, t0 + dt.timedelta(seconds=p), p, x, y)
+    batches = [[row("a", 1, 0.0, 0.0), row("a", 3, 3.0, 4.0)], [row("a", 2, 3.0, 4.0), row("a", 4, None, 1.0), row("b", 4, 1.0, 1.0)],
+               [row("a", 9, 0.0, 0.0), row("a", 1, 7.0, 7.0)], [row("a", 100, 6.0, 8.0), row("b", 100, 1.0, 2.0)], [row("c", 900, 1.0, 1.0)]]
+    got = _fed(spark, tmp_path, "jumps", batches, "k string, ts timestamp, p int, x double, y double",
+               lambda s: tracking.jump_stream(s, "k", "ts", "p", ["x", "y"], late="3 seconds", idle_ms=10**7))
+    mine = {(r["k"], r["p"]): r["jump"] for r in got}
+    assert mine["a", 2] == 5.0 and mine["a", 3] == 0.0 and mine["a", 100] == 10.0 and mine["b", 100] == 1.0
+    assert all(mine[k] is None for k in (("a", 1), ("a", 4), ("a", 9), ("b", 4))) and len(mine) == 8
+
+
+def test_mesh_edges(spark):
+    """Vertices that aren't finite or lie behind, faces without area or corners, points outside; nearest points on ties and in other keys."""
+    v = lambda *p: {"u": p[0], "v": p[1], "z": p[2]}
+    square = [v(0.0, 0.0, 2.0), v(4.0, 0.0, 2.0), v(0.0, 4.0, 2.0), v(4.0, 4.0, 1.0), v(float("nan"), 0.0, 1.0), v(1.0, 1.0, -1.0)]
+    df = spark.createDataFrame([("a", square, (0, 0, 3, 9)), ("b", [], (0, 0, 9, 9)), ("c", None, (0, 0, 9, 9)), ("d", square, None)],
+                               "k string, v array<struct<u:double,v:double,z:double>>, clip struct<x1:int,y1:int,x2:int,y2:int>")
+    faces = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("abc", f, strict=True)]) for f in ((0, 1, 2), (1, 2, 3), (0, 1, 4), (0, 1, 5), (0, 0, 1), (0, 1, 77))])
+    front = meshes.surface(df, ["k"], "v", faces, "clip").cache()
+    z = {(r["px"], r["py"]): r["z"] for r in front.collect()}
+    assert len(z) == 4 * 5 and z[0, 0] == 2.0 and z[3, 4] == pytest.approx(1.25) and set(front.select("k").distinct().collect()) == {("a",)}
+    points = spark.createDataFrame([("a", 1, 0.4, 0.5, 2.005), ("a", 2, 3.0, 4.0, 2.5), ("a", 3, 90.0, 0.0, 1.0), ("a", 4, None, 0.0, 1.0), ("b", 1, 0.0, 0.0, 1.0),
+                                    ("a", 5, 1.0, 1.0, None)], "k string, i int, u double, v double, z double")
+    got = {(r["k"], r["i"]): r for r in meshes.visible_points(points, front, ["k"], "i", "u", "v", "z", radius=0).collect()}
+    assert got["a", 1]["visible"] == 1 and got["a", 2]["visible"] == 0 and got["a", 2]["margin"] == pytest.approx(1.25)
+    assert all(got[k]["margin"] is None and got[k]["visible"] == 0 for k in (("a", 3), ("a", 4), ("b", 1), ("a", 5)))
+    import random
+
+    rng = random.Random(1)
+    near = [("x", i, float(rng.randint(0, 9)), float(rng.randint(0, 9))) for i in range(300)] + [("y", 1, 5.0, 5.0), ("y", 2, 5.0, 5.0), ("x", 999, float("nan"), 1.0)]
+    asked = [("x", i, rng.uniform(-40, 60), rng.uniform(-3, 12)) for i in range(60)] + [("y", 1, 0.0, 0.0), ("z", 1, 0.0, 0.0), ("x", 900, None, 0.0)]
+    found = meshes.nearest_points(spark.createDataFrame(asked, "k string, q int, a double, b double"), spark.createDataFrame(near, "k string, p int, a double, b double"),
+                                  "k", "q", "p", ["a", "b"], 7).collect()
+    want = set()
+    for k, q, a, b in asked:
+        if a is not None:
+            own = sorted((np.sqrt((a - c) ** 2 + (b - d) ** 2), p) for kk, p, c, d in near if kk == k and c == c)[:7]
+            want |= {(k, q, p, i + 1) for i, (_, p) in enumerate(own)}
+    assert {(r["k"], r["q"], r["p"], r["rank"]) for r in found} == want
