@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,11 +43,31 @@ LONG_WORD = 512
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
-def words(data: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def secret() -> bytes:
+    """A key for one query's hashes. The driver draws it and the tasks get it with their functions, so that all of them agree."""
+    return secrets.token_bytes(32)
+
+
+@lru_cache(maxsize=16)
+def coefficients(key: bytes) -> np.ndarray:
+    """Random 64-bit multipliers drawn from a key: two for each 32 bits of a word, and two for its length."""
+    n = LONG_WORD // 4 + 1
+    raw = b"".join(hashlib.blake2b(i.to_bytes(4, "little"), key=key).digest() for i in range(-(-2 * n * 8 // 64)))
+    return np.frombuffer(raw, U64)[: 2 * n].reshape(2, n)
+
+
+@lru_cache(maxsize=16)
+def byte_values(key: bytes) -> np.ndarray:
+    """A random 64-bit value for each byte, drawn from a key."""
+    return np.frombuffer(b"".join(hashlib.blake2b(i.to_bytes(4, "little"), key=key, person=b"bytes").digest() for i in range(32)), U64)
+
+
+def words(data: bytes | np.ndarray, lower: bool = False, key: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of UTF-8 data, and a 64-bit hash of each word's bytes.
 
-    Eight bytes are taken up at a time, with mix() between; so words of up to eight bytes and one
-    length never share a hash. Long words get a cryptographic hash.
+    The hash is two sums of random multiples of the word's 32-bit pieces and its length, modulo 2 ** 64, of which the upper
+    halves are kept: under a secret() key any two words share it with a chance of 2 ** -64, whoever chose
+    them. Words of over LONG_WORD bytes get a keyed cryptographic hash. Without a key the multipliers are fixed.
     """
     a = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     if not len(a):
@@ -60,19 +82,24 @@ def words(data: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarray, np
     width = end - start
     order = np.argsort(-width, kind="stable")
     at, left = start[order], width[order]
-    g = mix(left.astype(U64) * _M1)
     first = int(np.searchsorted(-left, -LONG_WORD, side="left"))  # those before are long
-    for i in range(first):
-        g[i] = int.from_bytes(hashlib.blake2b(padded[at[i] : at[i] + left[i]].tobytes(), digest_size=8).digest(), "little")
-    at, left, rest = at[first:], left[first:], g[first:]
+    long = [int.from_bytes(hashlib.blake2b(padded[i : i + n].tobytes(), digest_size=8, key=key).digest(), "little") for i, n in zip(at[:first].tolist(), left[:first].tolist(), strict=True)]
+    at, left = at[first:], left[first:]
+    one, two = coefficients(key)
+    size = left.astype(U64)
+    x, y = size * one[-1], size * two[-1]
     n, j = len(at), 0
     while n:
         lane = eight[at[:n] + j] & _KEEP[np.minimum(left[:n] - j, 8)]
-        rest[:n] = mix(rest[:n] ^ lane)
+        low, high = lane & U64(0xFFFFFFFF), lane >> U64(32)
+        k = j // 4
+        x[:n] += low * one[k] + high * one[k + 1]
+        y[:n] += low * two[k] + high * two[k + 1]
         j += 8
         n = int(np.searchsorted(-left, -j, side="left"))
     h = np.empty(len(start), U64)
-    h[order] = g
+    h[order[:first]] = np.array(long, U64)
+    h[order[first:]] = (x & U64(0xFFFFFFFF00000000)) | (y >> U64(32))
     return start, end, h
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,26 +56,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 #: Spark then removes a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scratch: list[list[str]] = []
+#: The folders of the innermost scratch() of this thread.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: computed once, and lineage is cut.
 
-    The exchanges of the write are not needed any more once the table is there; their files go.
+    The exchanges of the write are not needed any more once the table is there; their files go (a setting of the session, which stays).
     """
-    spark = df.sparkSession
-    path, before = work_folder(spark, name), spark.conf.get(CLEANUP, None)
+    spark, path = df.sparkSession, work_folder(df.sparkSession, name)
     spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    if _scratch:
-        _scratch[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
@@ -93,17 +88,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, keep: set[str] | None = None):
-    """Folders that stored() makes inside go at the end, but for those whose path is put in keep."""
-    kept = set() if keep is None else keep
-    _scratch.append([])
+    """Folders that stored() makes inside, on this thread, go at the end, but for those whose path is put in keep. A caller can
+    wrap a whole query and the reading of its result: then nothing of it is left."""
+    kept, own, outer = set() if keep is None else keep, [], _scratch.get()
+    token = _scratch.set(own)
     try:
         yield kept
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(token)
+        for path in own:
             if path not in kept:
                 _remove(spark, path)
-            elif _scratch:
-                _scratch[-1].append(path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def join_split(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:

@@ -97,18 +97,21 @@ def by_content(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n"))
 
 
-def collided(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The digests of hits whose documents don't all have the text at the locator, byte for byte."""
-    hits = found.filter("n > 1").select("digest", F.col("keep.at").alias("locator"))
-    texts = rows.join(hits, "digest").groupBy("digest", "text").agg(F.max(F.col("at") == F.col("locator")).alias("is_kept"))
+def collided(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """The digests of hits whose documents don't all have the text at the locator, byte for byte.
+
+    Hot hits are joined by broadcast, so that their equal texts are gathered before they are dealt out.
+    """
+    hits = found.filter("n > 1").select("digest", F.col("keep.at").alias("locator"), "n")
+    texts = join_split(rows, hits, ["digest"], "n", total).groupBy("digest", "text").agg(F.max(F.col("at") == F.col("locator")).alias("is_kept"))
     return texts.filter("NOT is_kept").select("digest").distinct()
 
 
 def verdicts(docs: DataFrame, found: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every document of docs, from the entries found."""
     rows = located(docs, digest)
-    odd = stored(collided(rows, found), "collided")
     total = found.agg(F.sum("n")).first()[0] or 0
+    odd = stored(collided(rows, found, total), "collided")
     own = stored(rows.select("doc_id", "digest", "at", (F.col("digest") if digest is sha256 else sha256(F.col("text"))).alias("sha")), "digests")
     if odd.isEmpty():
         judged = join_split(own, found.withColumn("size", F.col("n")), ["digest"], "n", total)

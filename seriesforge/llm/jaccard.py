@@ -34,12 +34,12 @@ SHARE = 75
 LOCAL_ROWS = 2048
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Per text its distinct shingles' hashes, ascending, one text after another; and the bounds."""
     values, sizes = [], []
     for low, high in runs(texts, 2 << 20):
         raw = [(x or "").encode() for x in texts.slice(low, high - low).to_pylist()]
-        start, _, h = A.words(b"\n".join(raw), lower=True)
+        start, _, h = A.words(b"\n".join(raw), lower=True, key=key)
         edge = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in raw]))
         count = np.diff(edge)
         free = np.maximum(count - words + 1, 0)
@@ -93,20 +93,20 @@ FOUND = "doc_id long, n_shingles long, digest long, digest2 long, small long, pr
 SAME = ["digest", "digest2", "n_shingles"]
 
 
-def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
+def _describe(group: pa.Table, replies: pa.Table, width: int, key: bytes) -> pa.Table:
     """Every document's set size and digest; prefix and set only where the prefix has a shared shingle."""
     A.calm_malloc()
     if not group.num_rows:
         return R.table([], FOUND)
     ids, texts = R.in_order(group)
-    values, bounds = shingle_sets(texts)
+    values, bounds = shingle_sets(texts, key=key)
     parts = replies.to_pylist()
-    key = [A.unpack_ascending(x["keys"], x["n"]) * U64(width) + U64(x["kb"]) for x in parts]
-    key = np.concatenate(key) if key else np.zeros(0, U64)
+    known = [A.unpack_ascending(x["keys"], x["n"]) * U64(width) + U64(x["kb"]) for x in parts]
+    known = np.concatenate(known) if known else np.zeros(0, U64)
     level = np.concatenate([np.frombuffer(x["often"], np.uint8) for x in parts]) if parts else np.zeros(0, np.uint8)
-    order = np.argsort(key)
-    key, level = key[order], level[order]
-    at, shared = A.places(key, values >> A.key_shift(width))
+    order = np.argsort(known)
+    known, level = known[order], level[order]
+    at, shared = A.places(known, values >> A.key_shift(width))
     rank = np.where(shared, level[at] + 1 if len(level) else 0, 0)
     n = np.diff(bounds)
     digest, digest2 = (A.pieces(A.mix(values + U64(salt)), bounds[:-1], bounds[1:]).view(np.int64) for salt in (0, R.SALT))
@@ -130,15 +130,15 @@ def _describe(group: pa.Table, replies: pa.Table, width: int) -> pa.Table:
 def describe(docs: DataFrame) -> DataFrame:
     """FOUND rows, one for each row of docs: NO_ID stands for a null doc_id, null texts have no shingles, repeated
     rows stay, an empty table gives none."""
-    width = shuffle_width(docs)
+    width, key = shuffle_width(docs), A.secret()
     own = bucketed(docs, width, "text")
 
     def ask(group: pa.Table) -> pa.Table:
         A.calm_malloc()
-        return _count_keys(group.column("bucket")[0].as_py(), shingle_sets(R.in_order(group)[1])[0], width)
+        return _count_keys(group.column("bucket")[0].as_py(), shingle_sets(R.in_order(group)[1], key=key)[0], width)
 
     replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(_judge_keys, KEYS)
-    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: _describe(a, b, width), FOUND)
+    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: _describe(a, b, width, key), FOUND)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id reachable by links. Documents without words (null and empty texts among them) have 0
     shingles and link with nothing. Equal sets are one node of the join. Rows without doc_id link
     with nothing and have no component; repeated rows stay; an empty table gives none. Shingles are
-    told apart by 64-bit hashes, equal sets by 128 bits of digest and their size.
+    told apart by 64-bit hashes under a key drawn for the query, equal sets by 128 bits of digest and their size.
     """
     spark = docs.sparkSession
     with scratch(spark) as keep:

@@ -38,23 +38,22 @@ DIGIT_BITS = 5
 U64 = np.uint64
 
 
-def _words(texts: pa.Array):
+def _words(texts: pa.Array, key: bytes = b""):
     """Parts of a bucket: first text, bytes, starts and ends of words, hashes, words per text."""
     for low, high in runs(texts, 2 << 20):
         raw = [(x or "").encode() for x in texts.slice(low, high - low).to_pylist()]
         data = b"\n".join(raw)
-        start, end, h = A.words(data)
+        start, end, h = A.words(data, key=key)
         edge = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in raw]))
         yield low, data, start, end, h, edge
 
 
-def _cut(texts: pa.Array):
-    for low, _, _, _, h, edge in _words(texts):
-        yield low, h, edge[:-1], np.diff(edge)
+def scheme(window: int = WINDOW, gram: int = GRAM, key: bytes = b"") -> R.Scheme:
+    def cut(texts: pa.Array):
+        for low, _, _, _, h, edge in _words(texts, key):
+            yield low, h, edge[:-1], np.diff(edge)
 
-
-def scheme(window: int = WINDOW, gram: int = GRAM) -> R.Scheme:
-    return R.Scheme(_cut, window, gram)
+    return R.Scheme(cut, window, gram)
 
 
 def digits(most: int) -> int:
@@ -139,21 +138,21 @@ def confirmed(ids: np.ndarray, base: np.ndarray, texts: pa.Array, answers: pa.Ta
     return Phrases(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int) -> pa.Table:
+def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int, key: bytes) -> pa.Table:
     A.calm_malloc()
     if not group.num_rows:
         return R.table([], RESULT)
     ids, texts = R.in_order(group)
-    parts = [(x[4], np.diff(x[5])) for x in _words(texts)]
+    parts = [(x[4], np.diff(x[5])) for x in _words(texts, key)]
     h, count = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
     base = np.cumsum(count) - count
-    phrases = confirmed(ids, base, texts, answers, scheme(window, gram))
+    phrases = confirmed(ids, base, texts, answers, scheme(window, gram, key))
     mask = np.zeros(len(h), bool)
     if len(phrases.start):
         _, number = np.unique(h, return_inverse=True)
         mask = _locate(phrases, (number + 1).astype(np.int64), base, count)
     rows = []
-    for low, data, w_start, w_end, _, edge in _words(texts):
+    for low, data, w_start, w_end, _, edge in _words(texts, key):
         for i in range(len(edge) - 1):
             a, b = int(edge[i]), int(edge[i + 1])
             off = mask[base[low + i] : base[low + i] + b - a]
@@ -192,9 +191,9 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Rows without doc_id stand before all others, and are kept with a null id; an empty table gives
     none. Columns other than doc_id and text don't matter.
     """
-    width = shuffle_width(docs)
+    width, key = shuffle_width(docs), A.secret()
     own = bucketed(docs, width, "text")
-    told = R.answers(own, scheme(window, gram), width)
+    told = R.answers(own, scheme(window, gram, key), width)
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _remove(a, b, window, gram), RESULT
+        lambda a, b: _remove(a, b, window, gram, key), RESULT
     )

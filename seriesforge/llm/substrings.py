@@ -36,19 +36,18 @@ def _pieces(texts: pa.Array):
         yield low, b"".join(raw), np.cumsum(count) - count, count
 
 
-def _cut(texts: pa.Array):
-    for low, data, start, count in _pieces(texts):
-        yield low, np.frombuffer(data, np.uint8).astype(U64) + U64(1), start, count
-
+def scheme(length: int = LENGTH, gram: int = GRAM, key: bytes = b"") -> R.Scheme:
+    def cut(texts: pa.Array):
+        for low, data, start, count in _pieces(texts):
+            yield low, A.byte_values(key)[np.frombuffer(data, np.uint8)], start, count
 
-def scheme(length: int = LENGTH, gram: int = GRAM) -> R.Scheme:
-    return R.Scheme(_cut, length, gram)
+    return R.Scheme(cut, length, gram)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int) -> pa.Table:
+def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes) -> pa.Table:
     """A bucket's parts for the doubling: the open passages first held here; neighbours are one piece."""
     A.calm_malloc()
     if not group.num_rows or not answers.num_rows:
@@ -64,7 +63,7 @@ def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int) -> pa
         found, text, held = [], [], 0
 
     for low, data, start, count in _pieces(texts):
-        r = R.runs_of(np.frombuffer(data, np.uint8).astype(U64) + U64(1), start, count, length, gram)
+        r = R.runs_of(A.byte_values(key)[np.frombuffer(data, np.uint8)], start, count, length, gram)
         r.doc = r.doc + low
         on = np.flatnonzero(R.open_runs(ids, r, answers))
         if not len(on):
@@ -97,7 +96,7 @@ def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(x[order] for x in found)
 
 
-def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema: str | list[str]) -> pa.Table:
+def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes, schema: str | list[str]) -> pa.Table:
     """RESULT rows; or, if schema lists columns, the group's rows with what is left of text."""
     A.calm_malloc()
     digest = isinstance(schema, str)
@@ -106,7 +105,7 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
         return R.table(rows, RESULT) if digest else group.select(schema)
     group = R.sort_group(group)
     ids, texts = R.in_order(group)
-    every = scheme(length, gram).runs(texts)
+    every = scheme(length, gram, key).runs(texts)
     every.key = every.key[:0]  # no longer needed, and as large as the text
     gone = R.earlier(ids, every, answers)
     hit_doc, hit_first, hit_last = _hit(answers)
@@ -140,19 +139,19 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, schema:
 
 
 def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None) -> DataFrame:
-    width = shuffle_width(docs)
+    width, key = shuffle_width(docs), A.secret()
     more = [c for c in columns or [] if c not in ("doc_id", "text")]
     rest = [F.struct(*more).alias("_rest")] if more else []  # one column, so that no name clashes
     own = bucketed(docs, width, "text", *rest)
     plain = bucketed(docs, width, "text")  # the other columns stay at home until the end
-    told = stored(R.passages_told(plain, scheme(length, gram), width), "passages")
+    told = stored(R.passages_told(plain, scheme(length, gram, key), width), "passages")
     pieces = stored(plain.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _pieces_of(a, b, length, gram), D.STATE
+        lambda a, b: _pieces_of(a, b, length, gram, key), D.STATE
     ), "pieces")
     told = told.unionByName(D.repeated(pieces, length, width))
     schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _remove(a, b, length, gram, schema), own.select(schema).schema if columns else RESULT
+        lambda a, b: _remove(a, b, length, gram, key, schema), own.select(schema).schema if columns else RESULT
     )
 
 

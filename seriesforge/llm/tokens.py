@@ -7,7 +7,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-from seriesforge.llm.arrays import ranges, words
+from seriesforge.llm.arrays import ranges, secret, words
 
 # Fixed value: how the tokenizer cuts lower-cased text.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -40,7 +40,7 @@ class Encoder:
 
     The tokenizer must drop white space and never join across it (as word_bpe_49k does), so that
     a text's ids are those of its words, one after another. A batch's words are told apart by a
-    64-bit hash of their bytes; each distinct word is looked up once.
+    64-bit hash of their bytes, under a key that each worker draws for itself; each distinct word is looked up once.
     """
 
     _of: dict[str, Encoder] = {}
@@ -50,6 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, list[int]] = {}
+        self.key = secret()
         self._clear()
 
     @classmethod
@@ -106,7 +107,7 @@ class Encoder:
         """All ids one after another (uint32) and the number of ids of each text; null is empty."""
         raw = [(x or "").encode() for x in texts]
         data = b"\n".join(raw)
-        start, end, h = words(data)
+        start, end, h = words(data, key=self.key)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE_WORDS:
             self._clear()
