@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,35 +49,31 @@ def robust_translation(df: DataFrame, keys: list[str], joint: str, shift: list[s
         F.max("_gap").alias("max"), F.when(F.first("_enough"), "depth_reliable_joints").otherwise("depth_all_joints").alias("source"))
 
 
-def scale_and_offset(depth: np.ndarray, template: np.ndarray, near: float = 0.1, far: float = 10.0, least: int = 100) -> tuple[float, float]:
-    """scale * depth + offset ~ template, over pixels where both are in range; 1 and 0 with fewer than `least`.
+def depth_corrections(df: DataFrame, frame: str, depth: str, template: str, near: float = 0.1, far: float = 10.0, least: int = 100,
+                      rounds: int = 5, least_inliers: int = 50) -> DataFrame:
+    """frame, scale and offset, so that scale * depth + offset is near the template; 1 and 0 with fewer than `least` pixels in range.
 
-    Median ratio, taken again over residuals within twice their median (0.01 at least), five times or until fewer than 50 are left;
-    then the median residual.
+    df holds a row for each static pixel of a frame. Scale begins as the median ratio of the pixels that lie between near and far in both; each
+    round takes it over the residuals within twice their median (0.01 at least), unless fewer than least_inliers are left. Offset is the
+    median residual of all. Every round is two grouped medians joined back to the pixels, on one exchange by frame.
+    Frames with no pixel in range have scale 1, too; NULLs and what isn't finite are out of range.
     """
-    use = (depth > near) & (depth < far) & (template > near) & (template < far)
-    if use.sum() < least:
-        return 1.0, 0.0
-    d, t = depth[use], template[use]
-    scale = float(np.median(t / d))
-    for _ in range(5):
-        gap = np.abs(d * scale - t)
-        inside = gap < max(2.0 * float(np.median(gap)), 0.01)
-        if inside.sum() < 50:
-            break
-        scale = float(np.median(t[inside] / d[inside]))
-    return scale, float(np.median(t - d * scale))
-
-
-def depth_corrections(df: DataFrame, frame: str, depth: str, template: str, near: float = 0.1, far: float = 10.0, least: int = 100) -> DataFrame:
-    """frame, scale and offset; df holds a row for each static pixel of a frame, whose pixels are one group."""
-    kind = dict(df.dtypes)[frame]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, o = scale_and_offset(pdf[depth].to_numpy(float), pdf[template].to_numpy(float), near, far, least)
-        return pd.DataFrame({frame: [pdf[frame].iloc[0]], "scale": [s], "offset": [o]})
-
-    return df.select(frame, depth, template).groupBy(frame).applyInPandas(run, f"{frame} {kind}, scale double, offset double")
+    d, t = finite(F.col(depth)), finite(F.col(template))
+    inside = (d > near) & (d < far) & (t > near) & (t < far)
+    frames = df.select(frame).distinct()
+    px = df.filter(inside).select(frame, d.alias("_d"), t.alias("_t")).repartition(frame)
+    now = px.groupBy(frame).agg(F.percentile(F.col("_t") / F.col("_d"), 0.5).alias("_scale"), F.count("*").alias("_n"))
+    gap = F.abs(F.col("_d") * F.col("_scale") - F.col("_t"))
+    for _ in range(rounds):
+        middle = px.join(now, frame).groupBy(frame).agg(F.first("_scale").alias("_scale"), F.first("_n").alias("_n"), F.percentile(gap, 0.5).alias("_gap"))
+        near_by = gap < F.greatest(2 * F.col("_gap"), F.lit(0.01))
+        again = px.join(middle, frame).groupBy(frame).agg(
+            F.first("_scale").alias("_was"), F.first("_n").alias("_n"), F.count(F.when(near_by, 1)).alias("_in"), F.percentile(F.when(near_by, F.col("_t") / F.col("_d")), 0.5).alias("_new"))
+        now = again.select(frame, "_n", F.when(F.col("_in") < least_inliers, F.col("_was")).otherwise(F.col("_new")).alias("_scale"))
+    shift = px.join(now, frame).groupBy(frame).agg(
+        F.first("_scale").alias("_scale"), F.first("_n").alias("_n"), F.percentile(F.col("_t") - F.col("_d") * F.col("_scale"), 0.5).alias("_offset"))
+    enough = F.coalesce(F.col("_n") >= least, F.lit(False))
+    return frames.join(shift, frame, "left").select(frame, F.when(enough, F.col("_scale")).otherwise(1.0).alias("scale"), F.when(enough, F.col("_offset")).otherwise(0.0).alias("offset"))
 
 
 def corrected(depth: Column, scale: Column, offset: Column) -> Column:

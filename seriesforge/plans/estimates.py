@@ -42,7 +42,23 @@ def motion_phases(spark, sf_dir):
     return estimators.phases(found, "user_id")
 
 
-@query()
+def _rounds() -> str:
+    text = """
+WITH px AS (SELECT l_suppkey AS frame, 0.5 + l_quantity / 20 AS d, 0.52 + l_quantity / 19.5 + CASE WHEN l_linenumber = 3 THEN 2 ELSE 0 END AS t FROM lineitem),
+v AS (SELECT * FROM px WHERE d > 0.1 AND d < 10 AND t > 0.1 AND t < 10), s0 AS (SELECT frame, median(t / d) AS s, count(*) AS n FROM v GROUP BY frame)"""
+    for i in range(5):
+        text += f""",
+g{i} AS (SELECT frame, any_value(s) AS s, any_value(n) AS n, median(abs(d * s - t)) AS g FROM v JOIN s{i} USING (frame) GROUP BY frame),
+s{i + 1} AS (SELECT frame, CASE WHEN count(CASE WHEN abs(d * s - t) < greatest(2 * g, 0.01) THEN 1 END) < 50 THEN any_value(s)
+  ELSE median(CASE WHEN abs(d * s - t) < greatest(2 * g, 0.01) THEN t / d END) END AS s, any_value(n) AS n FROM v JOIN g{i} USING (frame) GROUP BY frame)"""
+    return text + """,
+o AS (SELECT frame, any_value(s) AS s, any_value(n) AS n, median(t - d * s) AS o FROM v JOIN s5 USING (frame) GROUP BY frame)
+SELECT f.frame, CASE WHEN n >= 100 THEN round(s, 6) ELSE 1 END AS scale, CASE WHEN n >= 100 THEN round(o, 6) ELSE 0 END AS shift
+FROM (SELECT DISTINCT frame FROM px) f LEFT JOIN o ON o.frame = f.frame"""
+
+
+@query(_rounds())
 def depth_scale_offset(spark, sf_dir):
     px = load(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS frame", "0.5D + l_quantity / 20 AS depth", "0.52D + l_quantity / 19.5D + IF(l_linenumber = 3, 2, 0) AS template")
-    return estimators.depth_corrections(px, "frame", "depth", "template")
+    got = estimators.depth_corrections(px, "frame", "depth", "template")
+    return got.select("frame", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("shift"))
