@@ -80,9 +80,10 @@ def words(data: bytes | np.ndarray, lower: bool = False, key: bytes = b"") -> tu
     padded[: len(a)] = _LOWER[a] if lower else a
     eight = np.ndarray((len(a) + 1,), "<u8", padded.data, strides=(1,))
     width = end - start
-    order = np.argsort(-width, kind="stable")
+    shorter = (LONG_WORD + 1 - np.minimum(width, LONG_WORD + 1)).astype(np.uint16)  # 16 bits are sorted by counting
+    order = np.argsort(shorter, kind="stable")
     at, left = start[order], width[order]
-    first = int(np.searchsorted(-left, -LONG_WORD, side="left"))  # those before are long
+    first = int(np.count_nonzero(width > LONG_WORD))
     long = [int.from_bytes(hashlib.blake2b(padded[i : i + n].tobytes(), digest_size=8, key=key).digest(), "little") for i, n in zip(at[:first].tolist(), left[:first].tolist(), strict=True)]
     at, left = at[first:], left[first:]
     one, two = coefficients(key)

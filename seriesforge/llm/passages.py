@@ -33,8 +33,8 @@ from seriesforge.llm.common import NO_ID, bucketed, runs, shuffle_width
 WINDOW, GRAM = 20, 10
 #: Words in the patterns of one automaton.
 SHARD_WORDS = 1_000_000
-#: Bits of a word number in one symbol of an automaton.
-DIGIT_BITS = 5
+#: Bits of a later symbol of a word's code, and how many first symbols each length of code has.
+DIGIT_BITS, FIRSTS = 5, 16
 U64 = np.uint64
 
 
@@ -56,35 +56,58 @@ def scheme(window: int = WINDOW, gram: int = GRAM, key: bytes = b"") -> R.Scheme
     return R.Scheme(cut, window, gram)
 
 
-def digits(most: int) -> int:
-    """Symbols that word numbers up to `most` are written in."""
-    n = 1
-    while most >> (DIGIT_BITS * n):
-        n += 1
-    return n
-
-
-def symbols(number: np.ndarray, places: int) -> tuple[int, ...]:
-    """Word numbers as digits, each place with symbols of its own, so that matches start at words.
+@dataclass
+class Codes:
+    """Words of a bucket, by number, as codes of small symbols: the more frequent a word, the shorter its code.
 
-    pyahocorasick searches the children of a node one by one; a root with a child for every first
-    word would be searched through for nearly every word of every text.
+    pyahocorasick searches the children of a node one by one, so no node should have a child for every word. A code of n symbols has
+    one of FIRSTS first symbols of its own length and n - 1 later ones; first symbols occur nowhere else, so matches start
+    and end at words.
     """
-    place = np.arange(places, dtype=np.int64)
-    cut = (number[:, None] >> (place * DIGIT_BITS)) & ((1 << DIGIT_BITS) - 1)
-    return tuple((cut + (place << DIGIT_BITS)).ravel().tolist())
 
+    symbol: np.ndarray  # of all words' codes, one after another
+    at: np.ndarray
+    size: np.ndarray
 
-def automata(patterns, number: np.ndarray, places: int, shard_words: int = SHARD_WORDS):
-    """Aho-Corasick automata over the symbols of words, for patterns (start, words, label) in number.
-
-    Each match tells the pattern's length in words and its label.
+    @classmethod
+    def of(cls, number: np.ndarray) -> Codes:
+        often = np.bincount(number)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        size = np.ones(len(often), np.int64)
+        first, n = np.zeros(len(often), np.int64), 1
+        low = 0  # ranks below have shorter codes
+        while low + (room := FIRSTS << (DIGIT_BITS * (n - 1))) < len(often):
+            low, n = low + room, n + 1
+            longer = rank >= low
+            size[longer], first[longer] = n, low
+        at = np.cumsum(size) - size
+        symbol = np.zeros(int(size.sum()), np.uint8)
+        for m in range(1, n + 1):
+            own = np.flatnonzero(size == m)
+            value = rank[own] - first[own]
+            symbol[at[own]] = (m - 1) * FIRSTS + (value >> (DIGIT_BITS * (m - 1)))
+            for k in range(1, m):
+                symbol[at[own] + k] = n * FIRSTS + ((value >> (DIGIT_BITS * (m - 1 - k))) & ((1 << DIGIT_BITS) - 1))
+        return cls(symbol, at, size)
+
+    def encode(self, number: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words, one after another, and where each word's end, from 0 on with the first one's start."""
+        ends = np.concatenate(([0], np.cumsum(self.size[number])))
+        parts = [self.symbol[A.ranges(self.at[x], self.size[x])] for x in (number[i : i + step] for i in range(0, len(number), step))]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8), ends
+
+
+def automata(patterns, symbol: np.ndarray, ends: np.ndarray, shard_words: int = SHARD_WORDS):
+    """Aho-Corasick automata over the symbols of words, for patterns (start, words, label) in the text encoded.
+
+    Each match tells the pattern's label.
     """
     held, made = 0, None
     for start, size, label in patterns:
         if made is None:
-            made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        made.add_word(symbols(number[start : start + size], places), (size, label))
+            made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        made.add_word(tuple(symbol[ends[start] : ends[start + size]].tolist()), label)
         held += size
         if held >= shard_words:
             made.make_automaton()
@@ -143,16 +166,19 @@ def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int, key: byt
     if not group.num_rows:
         return R.table([], RESULT)
     ids, texts = R.in_order(group)
-    parts = [(x[4], np.diff(x[5])) for x in _words(texts, key)]
-    h, count = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    # The bucket's words are cut and hashed once: 16 bytes for each.
+    cut = [(low, start.astype(np.int32), end.astype(np.int32), h, edge) for low, _, start, end, h, edge in _words(texts, key)]
+    h, count = np.concatenate([x[3] for x in cut]), np.concatenate([np.diff(x[4]) for x in cut])
     base = np.cumsum(count) - count
-    phrases = confirmed(ids, base, texts, answers, scheme(window, gram, key))
+    known = R.Scheme(lambda _: ((low, h, edge[:-1], np.diff(edge)) for low, _, _, h, edge in cut), window, gram)
+    phrases = confirmed(ids, base, texts, answers, known)
     mask = np.zeros(len(h), bool)
     if len(phrases.start):
         _, number = np.unique(h, return_inverse=True)
-        mask = _locate(phrases, (number + 1).astype(np.int64), base, count)
+        mask = _locate(phrases, number, base, count)
     rows = []
-    for low, data, w_start, w_end, _, edge in _words(texts, key):
+    for low, w_start, w_end, _, edge in cut:
+        data = b"\n".join([(x or "").encode() for x in texts.slice(low, len(edge) - 1).to_pylist()])
         for i in range(len(edge) - 1):
             a, b = int(edge[i]), int(edge[i + 1])
             off = mask[base[low + i] : base[low + i] + b - a]
@@ -169,16 +195,18 @@ def _locate(phrases: Phrases, number: np.ndarray, base: np.ndarray, count: np.nd
     The automata of a bucket share out its phrases; every document runs through all of them.
     """
     delta = np.zeros(len(number) + 1, np.int64)
-    places = digits(int(number.max()))
+    symbol, ends = Codes.of(number).encode(number)
     patterns = zip(phrases.start.tolist(), phrases.size.tolist(), range(len(phrases.start)), strict=True)
-    for machine in automata(patterns, number, places):
+    for machine in automata(patterns, symbol, ends):
         for b, n in zip(base.tolist(), count.tolist(), strict=True):
-            found = [(b + (end + 1) // places - size, size, label) for end, (size, label) in machine.iter(symbols(number[b : b + n], places))]
+            low = int(ends[b])
+            found = list(machine.iter(tuple(symbol[low : ends[b + n]].tolist())))
             if found:
-                begin, size, label = np.array(found).T
+                last, label = np.array(found, np.int64).T
+                begin = np.searchsorted(ends[b : b + n + 1], last + low + 1) + b - phrases.size[label]
                 on = begin >= phrases.after[label]
                 np.add.at(delta, begin[on], 1)
-                np.add.at(delta, begin[on] + size[on], -1)
+                np.add.at(delta, begin[on] + phrases.size[label[on]], -1)
     return np.cumsum(delta[:-1]) > 0
 
 
