@@ -1,10 +1,10 @@
-"""Quality flags and gates as tables of rules, and the report over them."""
+"""Quality flags of the stages as tables of rules. Gates between stages are in stages.py."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seriesforge.functions.scalars import finite, join_flags, level_flag
@@ -106,43 +106,3 @@ def bad_pose(delta: Column, raw_jump: Column, smooth_jump: Column, flip: Column,
     over = lambda c, most: F.coalesce(finite(c) > most, F.lit(False))
     return F.coalesce(flip, F.lit(False)) | over(delta, 30.0) | over(raw_jump, 90.0) | over(smooth_jump, 90.0) | (
         F.coalesce(infilled, F.lit(False)) & over(wrist_jump, 0.080))
-
-
-@dataclass(frozen=True)
-class Check:
-    """One line of a gate: its SQL condition over the gate's measures must hold; else it is an error or a warning."""
-
-    name: str
-    condition: str
-    level: str = "error"
-
-
-#: What a gate asks of the measures of its stage (rows, source_rows, frames, source_frames, finite, valid, share ...).
-GATES: dict[str, tuple[Check, ...]] = {
-    "A": (Check("frames agree", "frames = source_frames"), Check("rows present", "rows > 0")),
-    "B": (Check("fields present", "missing_fields = 0"), Check("finite", "not_finite = 0"), Check("overlap", "overlap_rows = 0", "warning")),
-    "D": (Check("coverage", "frames >= source_frames"), Check("valid share", "valid_share >= 0.05"), Check("valid share high", "valid_share >= 0.15", "warning")),
-    "D1": (Check("rows agree", "rows = source_rows"), Check("template share", "template_share >= 0.10"), Check("flags", "flagged_share <= 0.5", "warning")),
-    "E": (Check("rows agree", "rows = source_rows"), Check("finite", "not_finite = 0"), Check("fallback share", "fallback_share <= 0.5", "warning")),
-    "F0": (Check("rows agree", "rows = source_rows"), Check("finite", "not_finite = 0"), Check("bad share", "bad_share <= 0.2", "warning")),
-    "F1": (Check("never fewer rows", "rows >= source_rows"), Check("finite", "not_finite = 0"), Check("filled share", "filled_share <= 0.5", "warning")),
-    "F": (Check("rows agree", "rows = source_rows"), Check("finite", "not_finite = 0"), Check("flips", "flips = 0", "warning")),
-    "G": (Check("points per row", "points = 21 * rows"), Check("buffers", "empty_buffers < rows"), Check("bad share", "bad_share <= 0.5", "warning")),
-    "H": (Check("rows agree", "rows = source_rows"), Check("finite", "not_finite = 0"), Check("kept share", "kept_share <= 0.5", "warning")),
-}
-
-
-def gate(measures: DataFrame, node: str, checks: tuple[Check, ...]) -> DataFrame:
-    """node, check, level, ok of one row of measures; a condition that is NULL (a measure is missing) fails."""
-    lines = F.array(*[
-        F.struct(F.lit(node).alias("node"), F.lit(c.name).alias("check"), F.lit(c.level).alias("level"), F.coalesce(F.expr(c.condition), F.lit(False)).alias("ok"))
-        for c in checks
-    ])
-    return measures.select(F.explode(lines).alias("l")).select("l.*")
-
-
-def report(lines: DataFrame) -> DataFrame:
-    """node, errors, warnings, ok and exit_code (0, or 2 with an error) of each gate."""
-    failed = lambda level: F.sum(F.when((F.col("level") == level) & ~F.col("ok"), 1).otherwise(0))
-    got = lines.groupBy("node").agg(failed("error").alias("errors"), failed("warning").alias("warnings"))
-    return got.withColumn("ok", F.col("errors") == 0).withColumn("exit_code", F.when(F.col("errors") == 0, 0).otherwise(2))

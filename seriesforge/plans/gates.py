@@ -1,4 +1,4 @@
-"""Queries of the quality flags and gates."""
+"""Queries of the quality flags."""
 
 from __future__ import annotations
 
@@ -89,33 +89,3 @@ def flag_bad_pose(spark, sf_dir):
     v = F.col("value")
     bad = gates.bad_pose(v / 2, v * 0.9, F.lit(float("nan")), F.expr("event_id % 17 = 0"), F.expr("event_id % 2 = 0"), v / 500)
     return load(spark, sf_dir, "events").select("event_id", bad.cast("int").alias("bad"))
-
-
-MEASURES = """count(*) AS rows, count(*) AS source_rows, count(DISTINCT user_id) AS frames, count(DISTINCT user_id) AS source_frames, 0 AS missing_fields, count(*) - count(value) AS not_finite,
-  sum(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS overlap_rows, 0.1 AS valid_share, 0.05 AS template_share, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS flagged_share,
-  avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS fallback_share, avg(CASE WHEN value > 90 THEN 1.0 ELSE 0.0 END) AS bad_share, 0.2 AS filled_share, 3 AS flips,
-  21 * count(*) AS points, 0 AS empty_buffers, 0.9 AS kept_share"""
-
-
-@query(f"""
-WITH m AS (SELECT {MEASURES} FROM events), l(node, level, ok) AS (
-  SELECT 'A', 'error', frames = source_frames FROM m UNION ALL SELECT 'A', 'error', rows > 0 FROM m
-  UNION ALL SELECT 'B', 'error', missing_fields = 0 FROM m UNION ALL SELECT 'B', 'error', not_finite = 0 FROM m UNION ALL SELECT 'B', 'warning', overlap_rows = 0 FROM m
-  UNION ALL SELECT 'D', 'error', frames >= source_frames FROM m UNION ALL SELECT 'D', 'error', valid_share >= 0.05 FROM m UNION ALL SELECT 'D', 'warning', valid_share >= 0.15 FROM m
-  UNION ALL SELECT 'D1', 'error', rows = source_rows FROM m UNION ALL SELECT 'D1', 'error', template_share >= 0.1 FROM m UNION ALL SELECT 'D1', 'warning', flagged_share <= 0.5 FROM m
-  UNION ALL SELECT 'E', 'error', rows = source_rows FROM m UNION ALL SELECT 'E', 'error', not_finite = 0 FROM m UNION ALL SELECT 'E', 'warning', fallback_share <= 0.5 FROM m
-  UNION ALL SELECT 'F0', 'error', rows = source_rows FROM m UNION ALL SELECT 'F0', 'error', not_finite = 0 FROM m UNION ALL SELECT 'F0', 'warning', bad_share <= 0.2 FROM m
-  UNION ALL SELECT 'F1', 'error', rows >= source_rows FROM m UNION ALL SELECT 'F1', 'error', not_finite = 0 FROM m UNION ALL SELECT 'F1', 'warning', filled_share <= 0.5 FROM m
-  UNION ALL SELECT 'F', 'error', rows = source_rows FROM m UNION ALL SELECT 'F', 'error', not_finite = 0 FROM m UNION ALL SELECT 'F', 'warning', flips = 0 FROM m
-  UNION ALL SELECT 'G', 'error', points = 21 * rows FROM m UNION ALL SELECT 'G', 'error', empty_buffers < rows FROM m UNION ALL SELECT 'G', 'warning', bad_share <= 0.5 FROM m
-  UNION ALL SELECT 'H', 'error', rows = source_rows FROM m UNION ALL SELECT 'H', 'error', not_finite = 0 FROM m UNION ALL SELECT 'H', 'warning', kept_share <= 0.5 FROM m),
-r AS (SELECT node, sum((level = 'error' AND NOT ok)::INT)::BIGINT AS errors, sum((level = 'warning' AND NOT ok)::INT)::BIGINT AS warnings FROM l GROUP BY node)
-SELECT node, errors, warnings, errors = 0 AS ok, CASE WHEN errors = 0 THEN 0 ELSE 2 END AS exit_code FROM r""")
-def gates_report(spark, sf_dir):
-    load(spark, sf_dir, "events").createOrReplaceTempView("_gate_rows")
-    m = spark.sql(f"SELECT {MEASURES} FROM _gate_rows")
-    lines = None
-    for node, checks in gates.GATES.items():
-        own = gates.gate(m, node, checks)
-        lines = own if lines is None else lines.unionByName(own)
-    return gates.report(lines)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import rotations as R
 from seriesforge.functions import scalars as S
-from seriesforge.operators import blocks, estimators, gates, matching, meshes, relations, series, summaries, tracks
+from seriesforge.operators import blocks, estimators, matching, meshes, relations, series, stages, summaries, tracks
 from seriesforge.sources import files
 from seriesforge.streaming import sessions, tracking
 
@@ -256,11 +256,48 @@ def test_contact_windows_and_phases(spark):
 
 def test_gates_fail_on_missing_measures(spark):
     m = spark.createDataFrame([(5, None)], "rows long, source_rows long")
-    lines = gates.gate(m, "x", (gates.Check("agree", "rows = source_rows"), gates.Check("some", "rows > 0", "warning")))
-    r = gates.report(lines).first()
+    m = m.withColumn("k", F.lit(1))
+    lines = stages.lines(m, "k", "x", (stages.Check("agree", "rows = source_rows"), stages.Check("some", "rows > 0", "warning")))
+    r = stages.report(lines, "k").first()
     assert (r["errors"], r["warnings"], r["ok"], r["exit_code"]) == (1, 0, False, 2)
 
 
+def test_every_check_fails_and_holds_somewhere(spark):
+    """Over the sessions of the given tables; fields are all there, see the next test."""
+    from seriesforge.plans import stages as plans
+
+    for node, measure in plans.MEASURES.items():
+        seen = {(r["check"], r["ok"]) for r in stages.lines(measure(spark, "/root/testdata/sf0.01"), "session", node, stages.GATES[node]).select("check", "ok").distinct().collect()}
+        for c in stages.GATES[node]:
+            assert (c.name, True) in seen or c.name == "no overlap in a label", (node, c.name)
+            assert (c.name, False) in seen or c.name in ("fields there", "candidates selected", "valid ratio", "valid ratio high", "mostly finite"), (node, c.name)
+
+
+def test_gate_phases_and_missing_fields(spark):
+    sessions = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2), ("d", None)], "s string, expected long")
+    summary = spark.createDataFrame([("a", True, 2, [], None), ("b", False, 2, ["x", "y"], ["w"]), ("d", True, 7, None, None)],
+                                    "s string, ok boolean, candidates long, hard_errors array<string>, warnings array<string>")
+    nan = float("nan")
+    rows = spark.createDataFrame([("a", [(1.0, nan)], "ok"), ("a", [(1.0, 2.0)], "bad_x|warn_y"), ("b", None, None), ("b", [], "ok"), ("d", [(nan, nan)], "ok")],
+                                 "s string, joints_cam_smooth array<struct<x:double,y:double>>, f string")
+    m = stages.counted(stages.stage_measures(stages.summarised(sessions, "s", summary), "s", rows, ("joints_cam_smooth", "f"), ("joints_cam_smooth",), "f"), "s", "quality_rows", rows)
+    got = {r["s"]: r for r in m.collect()}
+    assert (got["a"]["not_finite"], got["a"]["half_finite"], got["d"]["half_finite"], got["c"]["rows"]) == (1, 0, 1, 0)
+    assert (got["b"]["summary_errors"], got["b"]["summary_warnings"], got["d"]["summary_errors"]) == (2, 1, 0)
+    asked = {}
+    for r in stages.lines(m, "s", "F", stages.GATES["F"]).collect():
+        asked.setdefault(r["s"], {})[r["check"]] = (r["ok"], r["times"])
+    assert set(asked["c"]) == {"summary there"} and asked["c"]["summary there"] == (False, 1)
+    assert asked["b"]["summary errors"] == (False, 2) and "finite" not in asked["b"] and "fields there" in asked["b"]
+    assert asked["a"]["finite"] == (False, 1) and asked["a"]["bad flags"] == (False, 1) and asked["a"]["quality rows agree"] == (True, 0)
+    assert asked["d"]["summary count as expected"] == (True, 0)
+    bare = stages.stage_measures(stages.summarised(sessions, "s", summary), "s", rows.drop("f"), ("joints_cam_smooth", "f", "g"), ("joints_cam_smooth", "g"), "f")
+    out = {r["s"]: r for r in stages.report(stages.lines(stages.counted(bare, "s", "quality_rows", None), "s", "F", stages.GATES["F"]), "s").collect()}
+    assert bare.first()["missing_fields"] == 2 and out["a"]["errors"] == 1 and out["c"]["errors"] == 0 and out["c"]["warnings"] == 1
+    out = {r["s"]: r for r in stages.report(stages.lines(stages.counted(bare, "s", "quality_rows", rows), "s", "F", stages.GATES["F"]), "s").collect()}
+    assert out["a"]["errors"] == 2 and out["a"]["exit_code"] == 2
+
+
 def test_relations_on_odd_input(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "p int, v string")
     with pytest.raises(ValueError):
