@@ -56,12 +56,6 @@ def coefficients(key: bytes) -> np.ndarray:
     return np.frombuffer(raw, U64)[: 2 * n].reshape(2, n)
 
 
-@lru_cache(maxsize=16)
-def byte_values(key: bytes) -> np.ndarray:
-    """A random 64-bit value for each byte, drawn from a key."""
-    return np.frombuffer(b"".join(hashlib.blake2b(i.to_bytes(4, "little"), key=key, person=b"bytes").digest() for i in range(32)), U64)
-
-
 def words(data: bytes | np.ndarray, lower: bool = False, key: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of UTF-8 data, and a 64-bit hash of each word's bytes.
 
@@ -107,20 +101,32 @@ def words(data: bytes | np.ndarray, lower: bool = False, key: bytes = b"") -> tu
 def grams(v: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hashes of k consecutive values, in log2(k) passes; none if there are fewer.
 
-    A gram of 2m values is one of m, times a power, plus the next of m.
+    A gram of 2m values is one of m, times a power, plus the next of m. Bytes are taken up four at a time, each four as one value,
+    if k is a multiple of 4.
     """
     n = len(v) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
+    step = 1
+    if v.dtype == np.uint8 and k % 4:
+        v = v.astype(U64) + U64(1)
+    elif v.dtype == np.uint8:
+        v, k, step = np.ndarray((len(v) - 3,), "<u4", np.ascontiguousarray(v).data, strides=(1,)).astype(U64), k // 4, 4
     p = powers(k + 1)
     part, size, out, done = v, 1, None, 0
     while True:
         if k & size:  # this part joins the gram on its right
-            out = part[:n].copy() if out is None else out * p[size] + part[done : done + n]
+            if out is None:
+                out = part[:n].copy() if done + size < k else part[:n]
+            else:
+                out *= p[size]
+                out += part[done * step : done * step + n]
             done += size
         if done == k:
             return out
-        part = part[:-size] * p[size] + part[size:]
+        longer = part[: -size * step] * p[size]
+        longer += part[size * step :]
+        part = longer
         size *= 2
 
 
@@ -202,6 +208,30 @@ def unpack_ascending(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, U64, 1, 1), d)), dtype=U64)
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting; numpy's own way, a table of hashes, takes several times as long."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def same_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs (a, b) stand together, and where in it the next pair begins.
+
+    Pairs are sorted by one value made of both, which is as good as both where no two unequal pairs share it; else by both.
+    """
+    order = np.argsort(mix(a) ^ b)
+    x, y = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    one = mix(x) ^ y
+    if bool((new[1:] & (one[1:] == one[:-1])).any()):
+        order = np.lexsort((b, a))
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    return order, np.flatnonzero(new)
+
+
 def places(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each x its place in sorted_values, and whether it is there."""
     if not len(sorted_values):

@@ -54,53 +54,64 @@ class Scheme:
     cut: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
     window: int
     gram: int
+    salt: int = SALT
 
     def keys(self, texts: pa.Array) -> np.ndarray:
         """The distinct keys of a bucket's runs."""
-        parts = [np.unique(keys_of(values, start, count, self.window, self.gram)) for _, values, start, count in self.cut(texts)]
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+        parts = [A.sorted_unique(keys_of(values, start, count, self.window, self.gram)) for _, values, start, count in self.cut(texts)]
+        return A.sorted_unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
 
     def runs(self, texts: pa.Array) -> Runs:
         parts, before = [], []
         for low, values, start, count in self.cut(texts):
-            parts.append(runs_of(values, start, count, self.window, self.gram))
+            parts.append(runs_of(values, start, count, self.window, self.gram, self.salt))
             before.append(low)
         return join_runs(parts, before)
 
 
+def _openings(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams; of every window the least of its grams; and where a run begins: a window inside one text whose least gram isn't that of the
+    window before it."""
+    gram = A.grams(values, k)
+    least = A.sliding_least(gram, window - k + 1)
+    if not len(least):
+        return gram, least, np.zeros(0, bool)
+    many = count >= window
+    mark = np.zeros(len(least) + 1, np.int8)
+    mark[start[many]] += 1
+    mark[start[many] + count[many] - window + 1] -= 1  # may be where the next text starts
+    opened = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[start[many]] = True
+    opened &= new
+    return gram, least, opened
+
+
 def keys_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> np.ndarray:
     """The keys of all runs, without what else runs_of() finds."""
-    many = count >= window
-    at = A.ranges(start[many], count[many] - window + 1)
-    if not len(at):
-        return np.zeros(0, U64)
-    least = A.sliding_least(A.grams(values, k), window - k + 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = least[1:] != least[:-1]
-    return A.mix(least[new])
+    _, least, opened = _openings(values, start, count, window, k)
+    return A.mix(least[opened])
 
 
-def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int) -> Runs:
-    """values: the units of some texts, one after another; start and count of each text's units."""
-    gram = A.grams(values, k)
-    least = A.sliding_least(gram, window - k + 1)
-    many = count >= window
-    base = start[many]
-    free = count[many] - window + 1
-    at = A.ranges(base, free)  # starts of the windows that lie in one text
-    if not len(at):
+def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int, salt: int = SALT) -> Runs:
+    """values: the units of some texts (64-bit values, or bytes), one text after another; start and count of each text's units.
+
+    Passages are named by their units (bytes: by their grams), and by their grams mixed with a salt.
+    """
+    gram, least, opened = _openings(values, start, count, window, k)
+    first = np.flatnonzero(opened)
+    if not len(first):
         return _no_runs()
-    least = least[at]
-    opened = np.zeros(len(at), bool)
-    opened[np.cumsum(free) - free] = True
-    opened[1:] |= least[1:] != least[:-1]
-    one = np.flatnonzero(opened)
-    last = at[np.append(one[1:], len(at)) - 1]
-    first = at[one]
-    doc = np.flatnonzero(many)[np.searchsorted(np.cumsum(free), one, side="right")]
-    key = A.mix(least[one])
-    passage = A.pieces(values, first, last + window)
-    check = A.pieces(A.mix(gram + U64(SALT)), first, last + window - k + 1)  # of spread grams, not of units
+    many = np.flatnonzero(count >= window)
+    text = np.searchsorted(start[many], first, side="right") - 1
+    doc = many[text]
+    last = np.minimum(np.append(first[1:], len(least)) - 1, start[doc] + count[doc] - window)
+    key = A.mix(least[first])
+    del least
+    stop = last + window - k + 1
+    passage = A.pieces(gram, first, stop) if values.dtype == np.uint8 else A.pieces(values, first, last + window)
+    check = A.pieces(A.mix(gram + U64(salt)), first, stop)  # of spread grams, not of units
     place = [(x - start[doc]).astype(np.int32) for x in (first, last)]
     return Runs(doc.astype(np.int32), *place, key, passage, check)
 
@@ -145,12 +156,11 @@ def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, ch
 
 
 def distinct(name: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """The first place of each distinct (name, check), ascending by name."""
-    order = np.lexsort((check, name))  # stable: the first place comes first
-    a, b = name[order], check[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order[new]
+    """The first place of each distinct (name, check)."""
+    if not len(name):
+        return np.zeros(0, np.int64)
+    order, starts = A.same_pairs(name, check)
+    return np.minimum.reduceat(order, starts)
 
 
 def table(rows: list[tuple], schema: str) -> pa.Table:
@@ -230,7 +240,7 @@ KEYS = "kb int, bucket int, n long, keys binary"
 
 
 def send_keys(bucket: int, keys: np.ndarray, width: int) -> pa.Table:
-    key = np.unique(keys >> A.key_shift(width))
+    key = A.sorted_unique(keys >> A.key_shift(width))
     to = (key % U64(width)).astype(np.int64)
     order = np.lexsort((key, to))
     key, to = key[order], to[order]
@@ -298,7 +308,7 @@ def open_windows(texts: pa.Array, ids: np.ndarray, answers: pa.Table, scheme: Sc
     wanted = told(answers, OPEN)
     out = []
     for low, values, start, count in scheme.cut(texts) if len(wanted.name) or inner else ():
-        r = runs_of(values, start, count, scheme.window, scheme.gram)
+        r = runs_of(values, start, count, scheme.window, scheme.gram, scheme.salt)
         at, there = wanted.find(r.passage, r.check)
         if len(wanted.name):
             there = there & (wanted.doc[at] == ids[r.doc + low])
@@ -359,11 +369,11 @@ def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 def earlier(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:
     """Which runs of a bucket have a passage that a smaller document has, too, here or elsewhere."""
     out = told(told_rows, SETTLED).find(r.passage, r.check)[1]
-    order = np.lexsort((r.check, r.passage))  # stable: equal passages stay in document order
-    new = np.ones(len(order), bool)
-    new[1:] = (r.passage[order[1:]] != r.passage[order[:-1]]) | (r.check[order[1:]] != r.check[order[:-1]])
-    first = r.doc[order[new]][np.cumsum(new, dtype=np.int32) - 1]
-    out[order] |= ids[r.doc[order]] > ids[first]
+    if not len(r.doc):
+        return out
+    order, starts = A.same_pairs(r.passage, r.check)
+    first = np.minimum.reduceat(r.doc[order], starts)  # documents stand by doc_id
+    out[order] |= ids[r.doc[order]] > np.repeat(ids[first], np.diff(np.append(starts, len(order))))
     return out
 
 

@@ -39,9 +39,14 @@ def _pieces(texts: pa.Array):
 def scheme(length: int = LENGTH, gram: int = GRAM, key: bytes = b"") -> R.Scheme:
     def cut(texts: pa.Array):
         for low, data, start, count in _pieces(texts):
-            yield low, A.byte_values(key)[np.frombuffer(data, np.uint8)], start, count
+            yield low, np.frombuffer(data, np.uint8), start, count
 
-    return R.Scheme(cut, length, gram)
+    return R.Scheme(cut, length, gram, salt_of(key))
+
+
+def salt_of(key: bytes) -> int:
+    """What spreads the grams of passages: the query's own."""
+    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -63,7 +68,7 @@ def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key:
         found, text, held = [], [], 0
 
     for low, data, start, count in _pieces(texts):
-        r = R.runs_of(A.byte_values(key)[np.frombuffer(data, np.uint8)], start, count, length, gram)
+        r = R.runs_of(np.frombuffer(data, np.uint8), start, count, length, gram, salt_of(key))
         r.doc = r.doc + low
         on = np.flatnonzero(R.open_runs(ids, r, answers))
         if not len(on):
