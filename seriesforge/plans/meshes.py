@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesforge.operators import meshes
+from seriesforge.operators import meshes, silhouettes
 from seriesforge.plans.registry import query
 from seriesforge.session import load
 
@@ -85,3 +85,48 @@ def joint_visibility(spark, sf_dir):
     near = meshes.nearest_points(joints, seen, "vec_id", "joint", "i", ["u", "v", "z"], 5)
     got = meshes.visible_joints(near, seen, ["vec_id"], "joint", "i", 0.5)
     return got.select("vec_id", "joint", "tested", F.round("ratio", 6).alias("ratio"), F.round("margin", 6).alias("margin"), "visible")
+
+
+def outlined(spark, sf_dir):
+    """Silhouettes (of the meshes' surfaces), and masks: the same shifted by what depends on the vector, half of the weight on the right."""
+    front = meshes.surface(hands(spark, sf_dir), ["vec_id"], "vertices", faces(), "clip").select("vec_id", "px", "py")
+    mask = front.select("vec_id", (F.col("px") + F.col("vec_id") % 4).cast("int").alias("px"), (F.col("py") - F.col("vec_id") % 3).cast("int").alias("py"))
+    mask = mask.filter("px BETWEEN 0 AND 23 AND py BETWEEN 0 AND 23").withColumn("weight", F.expr("CASE WHEN px > 12 THEN 0.5D ELSE 1.0D END"))
+    return front, mask
+
+
+def _shift_sql() -> str:
+    grid = lambda n: f"""
+{n}w AS (SELECT g.vec_id, du, dv, sum(coalesce(k.weight, 0)) AS w, count(*) AS area FROM {n}g g JOIN f ON f.vec_id = g.vec_id LEFT JOIN k ON k.vec_id = g.vec_id AND k.px = f.px + du AND k.py = f.py + dv
+  WHERE f.px + du BETWEEN 0 AND 23 AND f.py + dv BETWEEN 0 AND 23 GROUP BY ALL),
+{n}s AS (SELECT {n}g.vec_id, {n}g.du, {n}g.dv, coalesce(area, 0) AS area, w / total AS coverage, w / greatest(area, 1) AS precision,
+  CASE WHEN coalesce(area, 0) < 3 OR total IS NULL THEN -1e9 ELSE 0.65 * (w / total) + 0.35 * (w / greatest(area, 1)) - 0.002 * sqrt(({n}g.du * {n}g.du + {n}g.dv * {n}g.dv)::DOUBLE) END AS score
+  FROM {n}g LEFT JOIN {n}w USING (vec_id, du, dv) LEFT JOIN heavy ON heavy.vec_id = {n}g.vec_id),
+{n}b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, du, dv) AS place FROM {n}s) WHERE place = 1)"""
+    return f"""WITH {S}, f AS (SELECT vec_id, px, py FROM s),
+k AS (SELECT vec_id, px + vec_id % 4 AS px, py - vec_id % 3 AS py, CASE WHEN px + vec_id % 4 > 12 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM f WHERE px + vec_id % 4 BETWEEN 0 AND 23 AND py - vec_id % 3 BETWEEN 0 AND 23),
+heavy AS (SELECT vec_id, sum(weight) AS total FROM k GROUP BY vec_id), i AS (SELECT DISTINCT vec_id FROM f),
+cg AS (SELECT vec_id, du, dv FROM i, generate_series(-6, 6, 3) u(du), generate_series(-6, 6, 3) v(dv)), {grid('c')},
+rg AS (SELECT vec_id, cb.du + u.d AS du, cb.dv + v.d AS dv FROM cb, generate_series(-2, 2) u(d), generate_series(-2, 2) v(d)), {grid('r')}
+SELECT vec_id, du::BIGINT AS du, dv::BIGINT AS dv, round(score, 6) AS score, area::BIGINT AS area FROM rb"""
+
+
+@query(_shift_sql())
+def silhouette_shifts(spark, sf_dir):
+    front, mask = outlined(spark, sf_dir)
+    got = silhouettes.refined_shift(silhouettes.pixel_runs(front, ["vec_id"]), silhouettes.row_sums(mask, ["vec_id"], 24), ["vec_id"], 24, 24, (6, 3), (2, 1), least_area=3, precision_weight=0.35, shift_penalty=0.002)
+    return got.select("vec_id", F.col("du").cast("long").alias("du"), F.col("dv").cast("long").alias("dv"), F.round("score", 6).alias("score"), F.col("area").cast("long").alias("area"))
+
+
+@query(f"""
+WITH {S}, p AS (SELECT vec_id, i, u, v FROM m WHERE i < 5), d AS (SELECT p.vec_id, p.i, s.z FROM p JOIN s ON s.vec_id = p.vec_id AND s.px BETWEEN round_even(p.u, 0) - 1 AND round_even(p.u, 0) + 1
+  AND s.py BETWEEN round_even(p.v, 0) - 1 AND round_even(p.v, 0) + 1 AND (s.px + s.py) % 4 > 0 AND s.z > 0.01),
+g AS (SELECT p.vec_id, p.i, count(z) AS n, median(z) AS z, quantile_cont(z, 0.9) - quantile_cont(z, 0.1) AS span FROM p LEFT JOIN d USING (vec_id, i) GROUP BY ALL)
+SELECT vec_id, i::INTEGER AS i, n::BIGINT AS count, CASE WHEN n < 3 THEN 'no_masked_depth' WHEN span > 0.1 THEN 'depth_span_high' ELSE 'ok' END AS status,
+  round(CASE WHEN n >= 3 AND span <= 0.1 THEN z END, 6) AS depth, round(span, 6) AS span FROM g""")
+def masked_depths(spark, sf_dir):
+    hand = hands(spark, sf_dir)
+    front = meshes.surface(hand, ["vec_id"], "vertices", faces(), "clip")
+    points = hand.select("vec_id", F.posexplode("vertices").alias("i", "p")).filter("i < 5").select("vec_id", "i", "p.u", "p.v")
+    got = silhouettes.sampled_depth(points, front, ["vec_id"], "i", "u", "v", 1, 3, 0.1, mask=front.filter("(px + py) % 4 > 0"))
+    return got.select("vec_id", "i", "count", "status", F.round("depth", 6).alias("depth"), F.round("span", 6).alias("span"))
