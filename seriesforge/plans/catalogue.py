@@ -221,4 +221,4 @@ def greedy_tracker(spark, sf_dir):
     return matching.track(one, "session", "frame", "candidate", reach=8.0)
 
 
-from seriesforge.plans import blocks, depthmaps, estimates, gates, geometry, meshes, poses, rows, stages, tracks  # noqa: E402, F401  (their queries register themselves)
+from seriesforge.plans import blocks, depthmaps, estimates, gates, geometry, meshes, poses, rollups, rows, stages, tracks  # noqa: E402, F401  (their queries register themselves)
