@@ -26,7 +26,7 @@ def truthy(c: Column, words: tuple[str, ...] = ("1", "true", "yes", "y", "valid"
 
 
 def csv_float(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.9f", finite(c)), F.lit(""))
+    return F.when(finite(c).isNotNull(), F.format_string("%.9f", finite(c))).otherwise("")
 
 
 def int_list(c: Column) -> Column:

@@ -222,13 +222,16 @@ def clipped_delta(df: DataFrame, value: str, smooth: str, most: float) -> DataFr
         "clipped", (F.abs(raw) > most).cast("int")).withColumn("moved", F.col(value) + F.col("delta"))
 
 
-def bracket_fill(df: DataFrame, key: str, order: str, position: str, value: str, out: str = "filled") -> DataFrame:
+def bracket_fill(df: DataFrame, key: str, order: str, position: str, value: str, out: str = "filled", reach: float | None = None) -> DataFrame:
     """Missing values by linear interpolation between the values around them; ends hold; and the
-    gap's length in positions (999 without both ends). Series with a single value stay as they are."""
+    gap's length in positions (999 without both ends). Series with a single value stay as they are.
+    reach: values further away in position count for nothing (12 frames, say); None is no bound."""
     w = over(key, order)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
     got = df.withColumn("_a", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "_b", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("_many", F.count(value).over(Window.partitionBy(key)) > 1)
+    if reach is not None:
+        got = got.withColumn("_a", F.when(F.col(position) - F.col("_a.p") <= reach, F.col("_a"))).withColumn("_b", F.when(F.col("_b.p") - F.col(position) <= reach, F.col("_b")))
     t = (F.col(position) - F.col("_a.p")) / F.nullif(F.col("_b.p") - F.col("_a.p"), F.lit(0).cast(df.schema[position].dataType))
     mixed = F.col("_a.v") + t * (F.col("_b.v") - F.col("_a.v"))
     found = F.coalesce(F.col(value), F.when(F.col("_many"), F.coalesce(mixed, F.col("_a.v"), F.col("_b.v"))))
@@ -248,6 +251,29 @@ def nearest(df: DataFrame, key: str, position: str, value: str, is_reference: Co
     return got.withColumn(out, F.when(F.col("_a").isNotNull() & before, F.col("_a.v")).otherwise(F.col("_b.v"))).drop("_a", "_b")
 
 
+def nearest_of_label(df: DataFrame, key: str, label: str, position: str, value: str, is_reference: Column, out: str = "nearest") -> DataFrame:
+    """As nearest(), among the references of the row's own label; where its series has none, among those of any label. And
+    source: label, any or none. NULL labels are a label."""
+    one = nearest(df.withColumn("_k", F.struct(key, label)), "_k", position, value, is_reference, "_own").withColumn(
+        "_has", F.max(F.coalesce(is_reference, F.lit(False)).cast("int")).over(Window.partitionBy(key, label)) == 1)
+    got = nearest(one.drop("_k"), key, position, value, is_reference, "_any")
+    some = F.max(F.coalesce(is_reference, F.lit(False)).cast("int")).over(Window.partitionBy(key)) == 1
+    got = got.withColumn(out, F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_any")))
+    return got.withColumn("source", F.when(F.col("_has"), "label").when(some, "any").otherwise("none")).drop("_own", "_any", "_has")
+
+
+def last_seen_jump(df: DataFrame, key: str, arrival: str, v: list[str], out: str = "jump") -> DataFrame:
+    """Distance of each row's point to the last finite one of its track in order of arrival (a number of the input's rows), however long ago;
+    NULL for the first and for rows that aren't finite."""
+    good = finite(F.col(v[0])).isNotNull()
+    for c in v[1:]:
+        good &= finite(F.col(c)).isNotNull()
+    last = F.last(F.when(good, F.struct(*v)), ignorenulls=True).over(over(key, arrival).rowsBetween(Window.unboundedPreceding, -1))
+    got = df.withColumn("_last", last)
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"_last.{c}")) * (F.col(c) - F.col(f"_last.{c}")) for c in v[1:]), (F.col(v[0]) - F.col(f"_last.{v[0]}")) * (F.col(v[0]) - F.col(f"_last.{v[0]}"))))
+    return got.withColumn(out, F.when(good, gap)).drop("_last")
+
+
 def majority(df: DataFrame, key: str, label: str, weight: Column, order: str, out: str = "label") -> DataFrame:
     """key and the label of the largest summed weight; the label seen first wins ties. NULL is a label; NULL weights add
     nothing; no rows give none."""

@@ -62,6 +62,13 @@ def patch(df: DataFrame, keys: list[str], depth: str, low: float, high: float, l
     return got.withColumn("status", F.when(F.col("count") < least, "too_few").when(F.col("spread") > most_spread, "too_wide").otherwise("ok"))
 
 
+def spread_about_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """count, median and mad (median distance from the median) of the finite values; two grouped passes, no lists."""
+    v = finite(F.col(value))
+    middle = df.groupBy(*keys).agg(F.percentile(v, 0.5).alias("median"), F.count(v).alias("count"))
+    return df.join(middle, keys).groupBy(*keys).agg(F.first("count").alias("count"), F.first("median").alias("median"), F.percentile(F.abs(v - F.col("median")), 0.5).alias("mad"))
+
+
 def residuals(df: DataFrame, keys: list[str], estimate: str) -> DataFrame:
     """Root mean square and greatest distance of the finite estimates from their median, spread (p90 - p10) and count."""
     v = finite(F.col(estimate))

@@ -58,9 +58,9 @@ def filter_tracks(df: DataFrame, track: str, side: str, place: list[str], depth:
     per = df.groupBy(track, side).agg(
         F.count("*").alias("_n"), F.percentile(size, 0.5).alias("_size"),
         *[F.percentile(F.when(usable, F.col(c)), 0.5).alias(n) for c, n in zip(place, near, strict=True)])
-    lead = per.withColumn("_place", F.row_number().over(Window.partitionBy(side).orderBy(F.desc("_n"), track))).filter("_place = 1")
-    main = lead.select(F.col(side).alias("_side"), F.col(track).alias("_main"), F.col("_n").alias("_main_n"), F.col("_size").alias("_main_size"),
-                       *[F.col(n).alias(f"_main{n}") for n in near])
+    lead = per.filter(F.col(side).isNotNull()).groupBy(side).agg(F.min_by(F.struct(track, "_n", "_size", *near), F.struct(-F.col("_n"), track)).alias("_lead"))
+    main = lead.select(F.col(side).alias("_side"), F.col(f"_lead.{track}").alias("_main"), F.col("_lead._n").alias("_main_n"), F.col("_lead._size").alias("_main_size"),
+                       *[F.col(f"_lead.{n}").alias(f"_main{n}") for n in near])
     both = per.join(main, per[side] == main["_side"], "left")
     gap = F.sqrt(sum(((F.col(n) - F.col(f"_main{n}")) * (F.col(n) - F.col(f"_main{n}")) for n in near[1:]),
                      (F.col(near[0]) - F.col(f"_main{near[0]}")) * (F.col(near[0]) - F.col(f"_main{near[0]}"))))

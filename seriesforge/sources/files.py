@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesforge.functions.scalars import finite
+
 
 def _rows(data: bytes) -> tuple[dict[str, np.ndarray], int]:
     with np.load(io.BytesIO(data)) as z:
@@ -124,6 +126,12 @@ def json_at(c: Column, dotted: str) -> Column:
     return F.get_json_object(c, "$." + dotted)
 
 
+def append_timing(spark: SparkSession, path: str, stage: str, status: str, seconds: float, exit_code: int, started_ns: int, ended_ns: int) -> None:
+    """One line more in a folder of JSON lines: a file of its own, so that nobody writes to another's."""
+    fields = "stage string, status string, duration_sec double, exit_code int, started_ns long, ended_ns long"
+    spark.createDataFrame([(stage, status, float(seconds), exit_code, started_ns, ended_ns)], fields).coalesce(1).write.mode("append").json(path)
+
+
 def timing_rollup(df: DataFrame, group: str, status: str, seconds: str) -> DataFrame:
     """runs, ok, failed, and the seconds of those that went well, for each group of timing lines."""
     good = F.col(status) == "ok"
@@ -143,9 +151,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def existing(df: DataFrame, files: DataFrame, column: str) -> DataFrame:
-    """Rows whose file is in a listing(), by its last path part."""
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    return df.join(files.select(name(F.col("path")).alias("_name")).distinct(), name(F.col(column)) == F.col("_name"), "left_semi")
+    """Rows whose file is in a listing(): a whole path (with or without a scheme), or one below some folder of the listing."""
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    parts = F.split(F.regexp_replace(plain(F.col("path")), "^/+", ""), "/")
+    # every ending of the listed paths at a "/", and the whole path
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    known = files.select(F.explode(F.concat(ends, F.array(plain(F.col("path"))))).alias("_name")).distinct()
+    return df.join(known, plain(F.col(column)) == F.col("_name"), "left_semi")
 
 
 def newest(files: DataFrame) -> str | None:
@@ -180,6 +192,25 @@ def intrinsics(cell: Column, focal: Column, width: Column, height: Column, defau
         pick([F.lit(default), F.lit(default), width / 2, height / 2], "default"))
 
 
+def session_intrinsics(df: DataFrame, key: str, cell: str, focal: str, width: str, height: str, default: float) -> DataFrame:
+    """key and intrinsics() of each session: of its JSON cell (the first by text), else of the median of its rows' finite focal lengths."""
+    per = df.groupBy(key).agg(F.min(cell).alias("_cell"), F.percentile(finite(F.col(focal)), 0.5).alias("_focal"), F.max(width).alias("_w"), F.max(height).alias("_h"))
+    return per.select(key, intrinsics(F.col("_cell"), F.col("_focal"), F.col("_w"), F.col("_h"), default).alias("camera"))
+
+
+def importable(names: list[str]) -> dict[str, bool]:
+    """Which modules could be imported here; none is."""
+    import importlib.util
+
+    def there(name: str) -> bool:
+        try:
+            return importlib.util.find_spec(name) is not None
+        except ModuleNotFoundError:  # a package above it is missing
+            return False
+
+    return {n: there(n) for n in names}
+
+
 def nested_frames(df: DataFrame, frame: str, candidate: str, point: str, values: list[str]) -> DataFrame:
     """frame and candidates: each with its points in order, for viewers; one row a frame."""
     per = df.groupBy(frame, candidate).agg(F.array_sort(F.collect_list(F.struct(point, *values))).alias("points"))

@@ -337,8 +337,8 @@ def test_files(spark, tmp_path):
     found = files.listing(spark, str(tmp_path / "*.npz"))
     assert files.newest(found).endswith("c.npz") and files.newest(found.limit(0)) is None
     assert [r["ready"] for r in files.ready(found, 10**9).collect()] == [False, False]
-    named = spark.createDataFrame([("x/b.npz",), ("none.npz",)], "p string")
-    assert [r["p"] for r in files.existing(named, found, "p").collect()] == ["x/b.npz"]
+    named = spark.createDataFrame([("b.npz",), ("x/b.npz",), ("none.npz",)], "p string")
+    assert [r["p"] for r in files.existing(named, found, "p").collect()] == ["b.npz"]
     assert files.subset(rows, F.col("t") == "x", "frame_index", ["candidate_index"]).first()["candidate_index"] == 0
     assert files.empty_table(spark, "a int").columns == ["a"]
 

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.operators import silhouettes
-from seriesforge.sources import depth, npz
+from seriesforge.functions import scalars as S
+from seriesforge.operators import series, silhouettes, summaries
+from seriesforge.sources import depth, files, npz
 
 SCHEMA = "frame_index int, hand_label string, joints_uv array<array<double>>, faces array<long>, candidate_index int"
 
@@ -99,3 +100,46 @@ def test_silhouettes_on_odd_rows(spark):
     got = {r["k"]: r for r in silhouettes.best_shift(runs, sums, ["k"], 6, 4, 2, least_area=1, shift_penalty=0.0).collect()}
     assert (got["a"]["du"], got["a"]["dv"], got["a"]["coverage"]) == (2, 1, 1.0) and got["a"]["precision"] == pytest.approx(1.5 / 4)
     assert got["b"]["score"] == -1e9 and (got["b"]["du"], got["b"]["dv"]) == (-2, -2)
+
+
+def test_files_are_told_apart_by_their_path(spark, tmp_path):
+    for name in ("a/d.npy", "b/d.npy", "c/e.npy"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "a/d.npy").unlink()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length", "modificationTime")
+    asked = spark.createDataFrame([(x,) for x in (f"{tmp_path}/a/d.npy", f"{tmp_path}/b/d.npy", f"file:{tmp_path}/b/d.npy", "b/d.npy", "a/d.npy", "d.npy", "c/e.npy", "/c/e.npy", None)], "p string")
+    assert sorted(r["p"] for r in files.existing(asked, listed, "p").collect()) == sorted([f"{tmp_path}/b/d.npy", f"file:{tmp_path}/b/d.npy", "b/d.npy", "d.npy", "c/e.npy"])
+    log = str(tmp_path / "log")
+    for i, (stage, ok) in enumerate((("C1", "ok"), ("C1", "failed"), ("C2", "ok"))):
+        files.append_timing(spark, log, stage, ok, i + 0.5, int(ok != "ok"), i, i + 1)
+    lines = spark.read.json(log)
+    assert {tuple(r) for r in files.timing_rollup(lines, "stage", "status", "duration_sec").collect()} == {("C1", 2, 1, 1, 0.5), ("C2", 1, 1, 0, 2.5)}
+    cams = spark.createDataFrame([("a", None, 500.0), ("a", None, float("nan")), ("a", None, 700.0), ("b", '{"fx": 1, "fy": 2, "cx": 3, "cy": 4}', 9.0), ("c", None, None)], "s string, cell string, f double")
+    got = {r["s"]: r["camera"] for r in files.session_intrinsics(cams.withColumn("w", F.lit(640)).withColumn("h", F.lit(480)), "s", "cell", "f", "w", "h", 450.0).collect()}
+    assert (got["a"]["fx"], got["a"]["cx"], got["a"]["source"]) == (600.0, 320.0, "focal") and got["b"]["fy"] == 2.0 and got["c"]["source"] == "default"
+    assert files.importable(["json", "no_such_module", "no_such.module"]) == {"json": True, "no_such_module": False, "no_such.module": False}
+
+
+def test_neighbours_of_label_and_reach(spark):
+    rows = [("a", "l", 0, 1.0, True), ("a", "l", 5, None, False), ("a", "r", 6, None, False), ("a", "r", 9, 9.0, None), ("b", "l", 1, 2.0, False), ("a", None, 4, 4.0, False)]
+    df = spark.createDataFrame(rows, "k string, side string, p int, v double, ref boolean")
+    got = {(r["k"], r["p"]): (r["nearest"], r["source"]) for r in series.nearest_of_label(df, "k", "side", "p", "v", F.col("ref")).collect()}
+    assert got["a", 5] == (1.0, "label") and got["a", 6] == (1.0, "any") and got["a", 4] == (1.0, "any") and got["b", 1] == (None, "none")
+    line = spark.createDataFrame([("a", p, v) for p, v in ((0, 0.0), (3, None), (20, None), (40, 40.0), (41, None))], "k string, p int, v double")
+    near = {r["p"]: (r["filled"], r["gap"]) for r in series.bracket_fill(line, "k", "p", "p", "v", reach=12).collect()}
+    assert near[3] == (0.0, 999) and near[20] == (None, 999) and near[41] == (40.0, 999)
+    assert {r["p"]: r["filled"] for r in series.bracket_fill(line, "k", "p", "p", "v").collect()}[20] == 20.0
+    seen = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, float("nan"), 0.0), ("a", 2, 3.0, 4.0), ("b", 3, 1.0, 1.0)], "k string, n int, x double, y double")
+    assert {r["n"]: r["jump"] for r in series.last_seen_jump(seen, "k", "n", ["x", "y"]).collect()} == {0: None, 1: None, 2: 5.0, 3: None}
+    spread = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 9.0, float("nan"), None)] + [("b", None)], "k string, v double")
+    assert {tuple(r) for r in summaries.spread_about_median(spread, ["k"], "v").collect()} == {("a", 3, 2.0, 1.0), ("b", 0, None, None)}
+
+
+def test_scalars_without_a_query(spark):
+    """Text of floats, guarded ratios, flags, rigid transforms and slerp."""
+    df = spark.createDataFrame([(1.5, 0.0), (float("nan"), 2.0), (None, None), (3.0, 2.0)], "a double, b double")
+    assert [r[0] for r in df.select(S.csv_float(F.col("a"))).collect()] == ["1.500000000", "", "", "3.000000000"]
+    q = S.slerp([F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)], [F.lit(np.cos(0.5)), F.lit(np.sin(0.5)), F.lit(0.0), F.lit(0.0)], F.lit(0.25))
+    assert list(df.limit(1).select(*[x.alias(f"q{i}") for i, x in enumerate(q)]).first()) == pytest.approx([np.cos(0.125), np.sin(0.125), 0, 0])
+    assert [list(r[0]) for r in df.limit(1).select(S.int_list(F.lit("3,x,5, 7"))).collect()] == [[3, 5, 7]]
