@@ -216,6 +216,11 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def by_small(x: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers below `most`; up to 16 bits are sorted by counting."""
+    return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
+
+
 def same_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal pairs (a, b) stand together, and where in it the next pair begins.
 

@@ -100,14 +100,16 @@ class Pairs:
 def grouped(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal pairs stand together, in their order before; where new ones begin; their tasks."""
     h = A.mix(A.mix(a) ^ (b * U64(0x9E3779B97F4A7C15)))
-    order = np.argsort(h, kind="stable")
+    # Sorted by the upper bits of the hash, with the place below them: so the order is stable, and values are sorted, not places.
+    low = U64((1 << len(h).bit_length()) - 1)
+    order = np.sort((h & ~low) | np.arange(len(h), dtype=U64)) & low
+    order = order.astype(np.int64)
     for _ in range(2):
         s, x, y = h[order], a[order], b[order]
-        same = s[1:] == s[:-1]
-        equal = same & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        if (same == equal).all():
+        equal = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        if ((((s[1:] ^ s[:-1]) & ~low) == 0) == equal).all():
             break
-        order = np.lexsort((b, a, h))  # two pairs of one hash
+        order = np.lexsort((b, a, h))  # two pairs of the same upper bits
     new = np.ones(len(a), bool)
     new[1:] = ~equal
     return order, new, ((s[new] >> U64(32)) * U64(width) >> U64(32)).astype(np.int64)

@@ -49,7 +49,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS, key: bytes = b"") -> tuple
         if short:
             g = np.concatenate((g, *[x for _, x in short]))
             doc = np.concatenate((doc, [i for i, _ in short]))
-        order = np.lexsort((g, doc))
+        order = np.argsort(g)
+        order = order[A.by_small(doc[order], len(raw))]
         g, doc = g[order], doc[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
@@ -65,7 +66,7 @@ KEYS = "kb int, bucket int, n long, keys binary, often binary"
 def _count_keys(bucket: int, values: np.ndarray, width: int) -> pa.Table:
     key, often = np.unique(values >> A.key_shift(width), return_counts=True)
     to = (key % U64(width)).astype(np.int64)
-    order = np.lexsort((key, to))
+    order = A.by_small(to, width)  # keys ascend already
     key, to, often = key[order], to[order], np.minimum(often[order], 255).astype(np.uint8)
     return R.table([(int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)), often[a:b].tobytes()) for a, b in A.equal_runs(to)], KEYS)
 

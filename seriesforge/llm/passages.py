@@ -145,20 +145,20 @@ def confirmed(ids: np.ndarray, base: np.ndarray, texts: pa.Array, answers: pa.Ta
         (every.passage, every.check, base[every.doc] + every.first, every.last - every.first + scheme.window, R.told(one, R.SETTLED)),
         (shown.name, shown.check, base[shown.doc] + shown.at, np.full(len(shown.at), scheme.window), R.told(two, R.SETTLED)),
     ):
-        by = np.lexsort((place, check, name))
-        new = np.ones(len(by), bool)
-        new[1:] = (name[by][1:] != name[by][:-1]) | (check[by][1:] != check[by][:-1])
-        head = by[new]
-        often = np.diff(np.append(np.flatnonzero(new), len(by)))
+        if not len(name):
+            continue
+        order, starts = A.same_pairs(name, check)
+        head, first = order[starts], np.minimum.reduceat(place[order], starts)
+        often = np.diff(np.append(starts, len(order)))
         at, known = names.find(name[head], check[head])
         # Told of an earlier document: all that stands in later documents recurs. Else the first place here is the first.
-        after = place[head] + 1
+        after = first + 1
         if known.any():
             beyond = np.append(base, np.iinfo(np.int64).max)[np.searchsorted(ids, names.doc[at[known]], side="right")]
             after[known] = np.minimum(after[known], beyond)
         on = known | (often > 1)
-        found.append((place[head][on], size[head][on], after[on]))
-    return Phrases(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        found.append((first[on], size[head][on], after[on]))
+    return Phrases(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else Phrases(*[np.zeros(0, np.int64)] * 3)
 
 
 def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int, key: bytes) -> pa.Table:

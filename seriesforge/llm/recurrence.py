@@ -144,7 +144,8 @@ def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, ch
     keyed = key is not None
     key = key[head] >> A.key_shift(width) if keyed else passage
     to = (key % U64(width)).astype(np.int64)
-    order = np.lexsort((key, to))
+    # by task, then key; a key's part above the tasks has fewer than 40 bits
+    order = np.argsort(to.astype(U64) << U64(40) | key // U64(width)) if keyed else A.by_small(to, width)
     head, key, to, passage, check = head[order], key[order], to[order], passage[order], check[order]
     rows = []
     for a, b in A.equal_runs(to):
@@ -183,17 +184,16 @@ def judge(sent: pa.Table) -> pa.Table:
     passage = np.concatenate([np.frombuffer(x["passages"], U64) for x in rows])
     check = np.concatenate([np.frombuffer(x["checks"], U64) for x in rows])
     doc = np.concatenate([_docs(x) for x in rows])
-    order = np.lexsort((doc, check, passage))
+    order, starts = A.same_pairs(passage, check)
     bucket, passage, check, doc = bucket[order], passage[order], check[order], doc[order]
-    new = np.concatenate(([True], (passage[1:] != passage[:-1]) | (check[1:] != check[:-1])))
-    group = np.cumsum(new) - 1
-    first = doc[new][group]
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    first = np.minimum.reduceat(doc, starts)[group]
     settled = first < doc
     shown = np.zeros(0, bool)
     if keyed:  # keys whose passages differ
         key = np.concatenate([A.unpack_ascending(x["keys"], x["n"]) for x in rows])[order]
-        _, which, often = np.unique(key[new], return_inverse=True, return_counts=True)
-        shown = new & (often[which] > 1)[group]
+        _, which, often = np.unique(key[starts], return_inverse=True, return_counts=True)
+        shown = ~settled & (often[which] > 1)[group]  # a document is in one bucket, which sends a passage once
     out = []
     for kind, on in ((SETTLED, settled), (OPEN, shown)):
         at = np.flatnonzero(on)
@@ -242,7 +242,7 @@ KEYS = "kb int, bucket int, n long, keys binary"
 def send_keys(bucket: int, keys: np.ndarray, width: int) -> pa.Table:
     key = A.sorted_unique(keys >> A.key_shift(width))
     to = (key % U64(width)).astype(np.int64)
-    order = np.lexsort((key, to))
+    order = A.by_small(to, width)  # keys ascend already
     key, to = key[order], to[order]
     return table([(int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width))) for a, b in A.equal_runs(to)], KEYS)
 
