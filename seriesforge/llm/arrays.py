@@ -181,16 +181,70 @@ def cover(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:length]) > 0
 
 
-def calm_malloc() -> None:
-    """Keep freed arrays of up to 16 MB in the process instead of giving their pages back (glibc; else nothing)."""
+@lru_cache(maxsize=1)
+def _libc():
     import ctypes
 
     try:
         libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def calm_malloc() -> None:
+    """Keep freed arrays of up to 16 MB in the process instead of giving their pages back (glibc; else nothing)."""
+    if libc := _libc():
         libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
         libc.mallopt(-1, 3 << 26)  # M_TRIM_THRESHOLD: about what a part of a text needs
-    except (OSError, AttributeError):
-        pass
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next task holds none."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def on_group(f):
+    """f for a group's Arrow table, keeping freed memory while it runs and giving it back at its end."""
+
+    def run(group):
+        calm_malloc()
+        try:
+            return f(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def on_groups(f):
+    """As on_group(), for the tables of two sides."""
+
+    def run(left, right):
+        calm_malloc()
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
+def on_batches(f):
+    """As on_group(), for an iterator of record batches."""
+
+    def run(batches):
+        calm_malloc()
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def pack_ascending(x: np.ndarray) -> bytes:

@@ -136,7 +136,6 @@ def pairs_of(x: dict, step: Step, width: int) -> Pairs:
 
 
 def _emit(batches: Iterator[pa.RecordBatch], step: Step, width: int) -> Iterator[pa.RecordBatch]:
-    A.calm_malloc()
     for batch in batches:
         for x in batch.to_pylist():
             p = pairs_of(x, step, width)
@@ -186,7 +185,6 @@ def _answers(p: Pairs, ranks: pa.Table) -> np.ndarray:
 
 
 def _update(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Table:
-    A.calm_malloc()
     rows = []
     for x in group.to_pylist():
         p = pairs_of(x, step, width)
@@ -201,7 +199,6 @@ def _update(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Tabl
 def _hits(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Table:
     """TOLD rows of kind HIT: place of the document in the bucket, first and last start of strings that a
     smaller document has, too."""
-    A.calm_malloc()
     rows = []
     for x in group.to_pylist():
         p = pairs_of(x, step, width)
@@ -233,10 +230,10 @@ def repeated(state: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def _round(state: DataFrame, step: Step, width: int) -> DataFrame:
-    sent = state.mapInArrow(lambda it: _emit(it, step, width), PAIRS)
-    ranks = sent.groupBy("kb").applyInArrow(lambda g: rank_pairs(g, step, width), RANKS)
+    sent = state.mapInArrow(A.on_batches(lambda it: _emit(it, step, width)), PAIRS)
+    ranks = sent.groupBy("kb").applyInArrow(A.on_group(lambda g: rank_pairs(g, step, width)), RANKS)
     turn, schema = (_hits, R.TOLD) if step.last else (_update, STATE)
     both = state.groupBy("part").cogroup(ranks.groupBy("part"))
-    after = stored(both.applyInArrow(lambda g, r: turn(g, r, step, width), schema), f"rank-{step.reach}")
+    after = stored(both.applyInArrow(A.on_groups(lambda g, r: turn(g, r, step, width)), schema), f"rank-{step.reach}")
     forget(state)
     return after

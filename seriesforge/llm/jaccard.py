@@ -96,7 +96,6 @@ SAME = ["digest", "digest2", "n_shingles"]
 
 def _describe(group: pa.Table, replies: pa.Table, width: int, key: bytes) -> pa.Table:
     """Every document's set size and digest; prefix and set only where the prefix has a shared shingle."""
-    A.calm_malloc()
     if not group.num_rows:
         return R.table([], FOUND)
     ids, texts = R.in_order(group)
@@ -135,11 +134,10 @@ def describe(docs: DataFrame) -> DataFrame:
     own = bucketed(docs, width, "text")
 
     def ask(group: pa.Table) -> pa.Table:
-        A.calm_malloc()
         return _count_keys(group.column("bucket")[0].as_py(), shingle_sets(R.in_order(group)[1], key=key)[0], width)
 
-    replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(_judge_keys, KEYS)
-    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: _describe(a, b, width, key), FOUND)
+    replies = own.groupBy("bucket").applyInArrow(A.on_group(ask), KEYS).groupBy("kb").applyInArrow(A.on_group(_judge_keys), KEYS)
+    return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(A.on_groups(lambda a, b: _describe(a, b, width, key)), FOUND)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +260,7 @@ def bridges(measured: DataFrame, items: DataFrame) -> DataFrame:
         )
 
     both = dealt(star, "star", "others").unionByName(dealt(others, "others", "star"))
-    return both.join(items, "doc_id").groupBy("region", "b_star", "b_others").applyInArrow(_bridged, EDGES)
+    return both.join(items, "doc_id").groupBy("region", "b_star", "b_others").applyInArrow(A.on_group(_bridged), EDGES)
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -273,7 +271,7 @@ def links(found: DataFrame) -> DataFrame:
     near = found.filter(F.col("items").isNotNull() & (F.col("doc_id") != NO_ID))
     reps = near.groupBy(*SAME).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     near = stored(near.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "small", "prefix", "items"), "near")
-    keys = near.select("doc_id", "small", "prefix").mapInArrow(_listed, "doc_id long, key long, core boolean")
+    keys = near.select("doc_id", "small", "prefix").mapInArrow(A.on_batches(_listed), "doc_id long, key long, core boolean")
     pivots = keys.groupBy("key").agg(
         F.min("doc_id").alias("region"), F.count("*").alias("n"), F.max("core").alias("any")
     ).filter("n > 1 AND any").select("key", "region", "n")
@@ -288,14 +286,14 @@ def links(found: DataFrame) -> DataFrame:
         ).filter("pivot IS NOT NULL AND n > 1")
         sized = members.join(sizes, "region")
         small = sized.filter(F.col("n") <= LOCAL_ROWS).select("region", "doc_id", "core").join(items, "doc_id")
-        ended = small.groupBy("region").applyInArrow(_finish, EDGES)
+        ended = small.groupBy("region").applyInArrow(A.on_group(_finish), EDGES)
         edges = ended if edges is None else edges.unionByName(ended)
         large = sized.filter(F.col("n") > LOCAL_ROWS).select("region", "doc_id", "core", "pivot")
         if large.isEmpty():
             return edges.distinct()
         measured = stored(large.filter("doc_id <> pivot").join(items, "doc_id").join(
             items.select(F.col("doc_id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot"
-        ).mapInArrow(_measured, "region long, doc_id long, core boolean, pivot long, shared long, either long"), "measured")
+        ).mapInArrow(A.on_batches(_measured), "region long, doc_id long, core boolean, pivot long, shared long, either long"), "measured")
         measured = measured.withColumn("linked", F.expr(f"100 * shared >= {SHARE} * either")).withColumn("d", F.expr("1 - shared / either"))
         edges = edges.unionByName(measured.filter("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         edges = edges.unionByName(bridges(measured, items))

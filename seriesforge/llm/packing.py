@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from seriesforge.llm.arrays import calm_malloc
+from seriesforge.llm.arrays import on_batches
 from seriesforge.llm.common import runs
 from seriesforge.llm.tokens import Encoder, vocabulary
 
@@ -113,7 +113,6 @@ def step_groups(lengths: list[int], step_tokens: int) -> list[int]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], spec: Packing) -> Iterator[pa.RecordBatch]:
-    calm_malloc()
     encoder = Encoder.of(spec.path)
     base = TaskContext.get().partitionId() << 36
     made = steps = 0
@@ -173,4 +172,4 @@ def pack(docs: DataFrame, spec: Packing | None = None) -> DataFrame:
     unique over partitions, but not gapless.
     """
     spec = spec or Packing(vocabulary())
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(lambda it: _packed(it, spec), SCHEMA)
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(on_batches(lambda it: _packed(it, spec)), SCHEMA)

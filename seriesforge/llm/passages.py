@@ -162,7 +162,6 @@ def confirmed(ids: np.ndarray, base: np.ndarray, texts: pa.Array, answers: pa.Ta
 
 
 def _remove(group: pa.Table, answers: pa.Table, window: int, gram: int, key: bytes) -> pa.Table:
-    A.calm_malloc()
     if not group.num_rows:
         return R.table([], RESULT)
     ids, texts = R.in_order(group)
@@ -223,5 +222,5 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     own = bucketed(docs, width, "text")
     told = R.answers(own, scheme(window, gram, key), width)
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _remove(a, b, window, gram, key), RESULT
+        A.on_groups(lambda a, b: _remove(a, b, window, gram, key)), RESULT
     )

@@ -263,7 +263,6 @@ def judge_keys(sent: pa.Table) -> pa.Table:
 
 
 def _send_shared(group: pa.Table, replies: pa.Table, scheme: Scheme, width: int) -> pa.Table:
-    A.calm_malloc()
     if not group.num_rows:
         return table([], SENT)
     ids, texts = in_order(group)
@@ -334,7 +333,6 @@ def _doubled(values: np.ndarray, start: np.ndarray, r: Runs, scheme: Scheme) ->
 
 
 def _show(group: pa.Table, answers: pa.Table, scheme: Scheme, width: int) -> pa.Table:
-    A.calm_malloc()
     if not group.num_rows or not answers.num_rows:
         return table([], SENT)
     ids, texts = in_order(group)
@@ -346,23 +344,22 @@ def passages_told(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     """TOLD rows for every bucket, by steps 1 and 2. own is bucketed()."""
 
     def ask(group: pa.Table) -> pa.Table:
-        A.calm_malloc()
         return send_keys(group.column("bucket")[0].as_py(), scheme.keys(in_order(group)[1]), width)
 
-    replies = own.groupBy("bucket").applyInArrow(ask, KEYS).groupBy("kb").applyInArrow(judge_keys, KEYS)
+    replies = own.groupBy("bucket").applyInArrow(A.on_group(ask), KEYS).groupBy("kb").applyInArrow(A.on_group(judge_keys), KEYS)
     return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
-        lambda a, b: _send_shared(a, b, scheme, width), SENT
-    ).groupBy("kb").applyInArrow(judge, TOLD)
+        A.on_groups(lambda a, b: _send_shared(a, b, scheme, width)), SENT
+    ).groupBy("kb").applyInArrow(A.on_group(judge), TOLD)
 
 
 def answers(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     """TOLD rows for every bucket, with step 1 (passages) and 2 (windows). own is bucketed()."""
     passages = passages_told(own, scheme, width)
     shown = own.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(
-        lambda a, b: _show(a, b, scheme, width), SENT
+        A.on_groups(lambda a, b: _show(a, b, scheme, width)), SENT
     )
     # The first document of each window decides.
-    ranked = shown.groupBy("kb").applyInArrow(judge, TOLD)
+    ranked = shown.groupBy("kb").applyInArrow(A.on_group(judge), TOLD)
     return passages.withColumn("step", F.lit(1)).unionByName(ranked.withColumn("step", F.lit(2)))
 
 

@@ -54,7 +54,6 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes) -> pa.Table:
     """A bucket's parts for the doubling: the open passages first held here; neighbours are one piece."""
-    A.calm_malloc()
     if not group.num_rows or not answers.num_rows:
         return R.table([], D.STATE)
     ids, texts = R.in_order(group)
@@ -103,7 +102,6 @@ def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes, schema: str | list[str]) -> pa.Table:
     """RESULT rows; or, if schema lists columns, the group's rows with what is left of text."""
-    A.calm_malloc()
     digest = isinstance(schema, str)
     rows: list[tuple] = []
     if not group.num_rows:
@@ -151,12 +149,12 @@ def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None
     plain = bucketed(docs, width, "text")  # the other columns stay at home until the end
     told = stored(R.passages_told(plain, scheme(length, gram, key), width), "passages")
     pieces = stored(plain.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _pieces_of(a, b, length, gram, key), D.STATE
+        A.on_groups(lambda a, b: _pieces_of(a, b, length, gram, key)), D.STATE
     ), "pieces")
     told = told.unionByName(D.repeated(pieces, length, width))
     schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda a, b: _remove(a, b, length, gram, key, schema), own.select(schema).schema if columns else RESULT
+        A.on_groups(lambda a, b: _remove(a, b, length, gram, key, schema)), own.select(schema).schema if columns else RESULT
     )
 
 
