@@ -15,13 +15,15 @@ from seriesforge.session import load
 KEY = "session"
 BAD = "user_id % 7 = 0 AND event_id % 4 = 0"
 FLAG = "CASE WHEN user_id % 6 = 1 AND event_id % 5 = 0 THEN 'bad_jump' WHEN user_id % 4 = 1 AND event_id % 6 = 0 THEN 'warn_gap|warn_jump' ELSE 'ok' END"
-PRESENT, QUALITY = "user_id % 17 > 0", "user_id % 19 > 0 AND (user_id % 8 > 0 OR event_id % 3 > 0)"
+PRESENT, QUALITY = "user_id % 17 > 0 AND NOT (user_id % 18 = 4 AND event_id % 16 = 0)", "user_id % 19 > 0 AND (user_id % 8 > 0 OR event_id % 3 > 0)"
+SELECTED = "(event_type <> 'error' OR user_id % 2 = 1)"
+INFILLED = "CASE WHEN user_id % 2 = 1 THEN {frame} < user_id % 3 ELSE event_type = 'signup' END"
 #: Of a session's u and n: the columns of its summary.
-SUMMARY = {"ok": "u % 11 > 0", "candidates": "n + CASE WHEN u % 9 = 0 THEN 1 ELSE 0 END", "candidates_in": "n + CASE WHEN u % 9 = 0 THEN 1 ELSE 0 END",
+SUMMARY = {"ok": "u % 11 > 0", "candidates": "CASE WHEN u % 29 = 1 THEN 0 WHEN u % 9 = 0 THEN n + 1 ELSE n END", "candidates_in": "n + CASE WHEN u % 9 = 0 THEN 1 ELSE 0 END",
            "candidates_out": "n - CASE WHEN u % 16 = 1 THEN 1 ELSE 0 END", "infilled_candidates": "u % 3", "fallback_ratio": "u % 10 / 10.0", "template_ratio": "u % 12 / 40.0",
            "enabled_by_default": "u % 14 = 1", "stride": "CASE WHEN u % 15 = 0 THEN 2 ELSE 1 END", "frames_exported": "CASE WHEN u % 22 = 1 THEN 0 ELSE n END"}
 EXPECTED = "CASE WHEN u % 3 > 0 THEN n + CASE WHEN u % 10 = 0 THEN 5 ELSE 0 END END"
-TOTAL = "n + CASE WHEN u % 12 = 1 THEN 1 ELSE 0 END"
+TOTAL = "n + CASE WHEN u % 12 = 2 THEN 1 ELSE 0 END"
 
 P = f"""e AS (SELECT user_id AS u, user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events),
 s AS (SELECT u, count(*) AS n FROM e GROUP BY u),
@@ -29,7 +31,7 @@ p AS (SELECT u, n, {EXPECTED} AS expected, u % 2 = 0 AS need_all, {TOTAL} AS tot
   {', '.join(f'{v} AS {k}' for k, v in SUMMARY.items())} FROM s),
 r AS (SELECT u, count(*) AS rows, sum(CASE WHEN {BAD} THEN 1 ELSE 0 END) AS odd, count(DISTINCT frame) AS frames, min(frame) AS lo, max(frame) AS hi, median(value / 200) AS valid,
   sum(CASE WHEN u % 21 = 1 AND event_id % 9 = 0 THEN 1 ELSE 0 END) AS missing, sum((contains({FLAG}, 'bad_'))::INT) AS bad, sum((contains({FLAG}, 'warn_'))::INT) AS warn,
-  sum((event_type <> 'error')::INT) AS selected, sum((event_type = 'signup')::INT) AS infilled FROM e WHERE {PRESENT} GROUP BY u),
+  sum({SELECTED}::INT) AS selected, sum(({INFILLED.format(frame='frame')})::INT) AS infilled FROM e WHERE {PRESENT} GROUP BY u),
 q AS (SELECT u, count(*) AS quality FROM e WHERE {QUALITY} GROUP BY u),
 m AS (SELECT p.*, coalesce(rows, 0) AS rows, coalesce(odd, 0) AS odd, coalesce(bad, 0) AS bad, coalesce(warn, 0) AS warn, coalesce(quality, 0) AS quality,
   frames, lo, hi, coalesce(valid, 0) AS valid, missing, selected, infilled, coalesce(NOT need_all OR (frames = total AND lo = 0 AND hi = total - 1), false) AS covered
@@ -77,7 +79,7 @@ def measures_of(spark, sf_dir, gate: str):
     """The measures of one of the gates E, F0, F1, F, G and H."""
     _, sessions, rows, quality = _inputs(spark, sf_dir)
     flag = {"E": "qc_flag", "F0": "depth_smooth_qc_flag", "F1": "motion_infiller_qc_flag", "F": "mano_smoothing_qc_flag", "G": "mano_visibility_qc_flag", "H": "visibility_realign_qc_flag"}[gate]
-    more = {"E": {"selected": F.sum((F.col("event_type") != "error").cast("long"))}, "F1": {"infilled": F.sum((F.col("event_type") == "signup").cast("long"))}}.get(gate, {})
+    more = {"E": {"selected": F.sum(F.expr(SELECTED).cast("long"))}, "F1": {"infilled": F.sum(F.expr(INFILLED.format(frame="frame_index")).cast("long"))}}.get(gate, {})
     m = stages.stage_measures(sessions, KEY, _stage(rows, gate, flag), stages.REQUIRED[gate], stages.FINITE[gate], flag, **more)
     m = stages.counted(m, KEY, "quality_rows", quality)
     if gate == "F0":
