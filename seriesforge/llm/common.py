@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside; results have null again.
 NO_ID = -(2**63)
 
-#: Text of this many bytes (as the optimizer estimates it) goes to one bucket of an exchange.
+#: Files of this many bytes (as the optimizer estimates it) go to one bucket of an exchange.
 BUCKET_BYTES = 24 << 20
+#: Text of this many bytes, as counted, goes to one bucket of texts that a task works on as a whole.
+TEXT_BYTES = 16 << 20
 
 #: Java and Python pattern of a word: a run without ASCII white space.
 WORD, SPACE = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]+"
@@ -41,6 +43,18 @@ def shuffle_width(df: DataFrame) -> int:
     return configured if size >> 60 else max(configured, min(1_000_000, size // BUCKET_BYTES))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts. Files hold them compressed, to a half or a tenth, so their size doesn't tell."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def text_width(docs: DataFrame, size: int | None = None) -> int:
+    """Buckets for texts that tasks work on bucket by bucket: as many as the session shuffles into, more if docs has more
+    text (size, where it is known)."""
+    configured = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(configured, min(1_000_000, (text_bytes(docs) if size is None else size) // TEXT_BYTES))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir.
 

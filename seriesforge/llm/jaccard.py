@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import NO_ID, bucketed, join_split, runs, scratch, shuffle_width, stored
+from seriesforge.llm.common import NO_ID, bucketed, join_split, runs, scratch, text_width, stored
 
 U64 = np.uint64
 WORDS = 5
@@ -130,7 +130,7 @@ def _describe(group: pa.Table, replies: pa.Table, width: int, key: bytes) -> pa.
 def describe(docs: DataFrame) -> DataFrame:
     """FOUND rows, one for each row of docs: NO_ID stands for a null doc_id, null texts have no shingles, repeated
     rows stay, an empty table gives none."""
-    width, key = shuffle_width(docs), A.secret()
+    width, key = text_width(docs), A.secret()
     own = bucketed(docs, width, "text")
 
     def ask(group: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from seriesforge.llm import arrays as A
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import NO_ID, bucketed, runs, shuffle_width
+from seriesforge.llm.common import NO_ID, bucketed, runs, text_width
 
 WINDOW, GRAM = 20, 10
 #: Words in the patterns of one automaton.
@@ -218,7 +218,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Rows without doc_id stand before all others, and are kept with a null id; an empty table gives
     none. Columns other than doc_id and text don't matter.
     """
-    width, key = shuffle_width(docs), A.secret()
+    width, key = text_width(docs), A.secret()
     own = bucketed(docs, width, "text")
     told = R.answers(own, scheme(window, gram, key), width)
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(

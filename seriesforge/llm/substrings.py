@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm import arrays as A
 from seriesforge.llm import doubling as D
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import NO_ID, bucketed, runs, shuffle_width, stored
+from seriesforge.llm.common import NO_ID, bucketed, runs, stored, text_bytes, text_width
 
 LENGTH, GRAM = 50, 28
 U64 = np.uint64
@@ -142,7 +142,8 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, key: byt
 
 
 def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None) -> DataFrame:
-    width, key = shuffle_width(docs), A.secret()
+    size, key = text_bytes(docs), A.secret()
+    width = text_width(docs, size)
     more = [c for c in columns or [] if c not in ("doc_id", "text")]
     rest = [F.struct(*more).alias("_rest")] if more else []  # one column, so that no name clashes
     own = bucketed(docs, width, "text", *rest)

@@ -93,3 +93,15 @@ def test_scratch_folders_belong_to_their_thread(spark):
             keep.add(inner.folder)
         assert exists(inner) and inner.agg(F.count("*")).first()[0] == 3
     assert not exists(inner)
+
+
+def test_buckets_follow_the_text_and_not_its_files(spark, tmp_path):
+    """40 MB of text in a small file: two buckets and more."""
+    spark.range(40).select("id", F.expr("repeat('many words of one kind ', 45600)").alias("text")).write.option("compression", "zstd").parquet(f"{tmp_path}/d")
+    docs, before = spark.read.parquet(f"{tmp_path}/d"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert common.text_width(docs) == common.text_bytes(docs) // common.TEXT_BYTES == 2
+        assert common.text_width(docs.limit(0)) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
