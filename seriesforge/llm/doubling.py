@@ -8,17 +8,23 @@ occurs once is unique: its position gets no rank, and no longer pair is made of
 8, 16, 32 ..., until nothing is left or the length asked for is reached; then the least document of
 each pair decides. The first ranks are the eight bytes themselves, so no hash stands for any text: hashes only
 deal and order pairs, which are compared as they are.
+
+Pairs take many times the room of their text. So a round stores the new ranks before they go back, and where there are many
+pairs deals them in several turns, each those of some tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seriesforge.llm import arrays as A
 from seriesforge.llm import recurrence as R
@@ -27,6 +33,8 @@ from seriesforge.llm.common import forget, stored
 U64 = np.uint64
 #: Bytes of text in a part, about; what a task works on at once follows it.
 PART_BYTES = 1 << 19
+#: Bytes of a pair on disk, about, and of the pairs that a turn deals at least.
+PAIR_BYTES, TURN_BYTES = 10, 64 << 20
 #: Of each piece: its document's place in the bucket and id, its first byte in the document, its bytes.
 STATE = "part long, bucket int, row binary, doc binary, at binary, size binary, text binary, rank binary"
 PAIRS = "kb int, part long, n long, a binary, b binary, many binary, docs binary"
@@ -97,9 +105,17 @@ class Pairs:
         return np.cumsum(self.new) - 1
 
 
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return A.mix(A.mix(a) ^ (b * U64(0x9E3779B97F4A7C15)))
+
+
+def _task(h: np.ndarray, width: int) -> np.ndarray:
+    return ((h >> U64(32)) * U64(width) >> U64(32)).astype(np.int64)
+
+
 def grouped(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal pairs stand together, in their order before; where new ones begin; their tasks."""
-    h = A.mix(A.mix(a) ^ (b * U64(0x9E3779B97F4A7C15)))
+    h = _hash(a, b)
     # Sorted by the upper bits of the hash, with the place below them: so the order is stable, and values are sorted, not places.
     low = U64((1 << len(h).bit_length()) - 1)
     order = np.sort((h & ~low) | np.arange(len(h), dtype=U64)) & low
@@ -112,10 +128,11 @@ def grouped(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
         order = np.lexsort((b, a, h))  # two pairs of the same upper bits
     new = np.ones(len(a), bool)
     new[1:] = ~equal
-    return order, new, ((s[new] >> U64(32)) * U64(width) >> U64(32)).astype(np.int64)
+    return order, new, _task(s[new], width)
 
 
-def pairs_of(x: dict, step: Step, width: int) -> Pairs:
+def pairs_of(x: dict, step: Step, width: int, tasks: tuple[int, int] | None = None) -> Pairs:
+    """The pairs of a part; of the tasks from .. to only, if they are given."""
     size = np.frombuffer(x["size"], "<i8")
     base = np.cumsum(size) - size
     free = np.maximum(size - step.reach + 1, 0)
@@ -129,16 +146,20 @@ def pairs_of(x: dict, step: Step, width: int) -> Pairs:
         a, b = rank[position], rank[position + step.offset]
         on = (a > 0) & (b > 0)
         position, piece, a, b = position[on], piece[on], a[on], b[on]
+    if tasks:
+        to = _task(_hash(a, b), width)
+        on = (to >= tasks[0]) & (to < tasks[1])
+        position, piece, a, b = position[on], piece[on], a[on], b[on]
     if not len(a):
         return Pairs(piece, position, position, a, b, position, np.zeros(0, bool), position)
     order, new, to = grouped(a, b, width)
     return Pairs(piece, position - base[piece], position, a, b, order, new, to)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], step: Step, width: int) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], step: Step, width: int, tasks: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
-            p = pairs_of(x, step, width)
+            p = pairs_of(x, step, width, tasks)
             heads = p.heads()
             many = np.diff(np.append(np.flatnonzero(p.new), len(p.new))) > 1
             doc = np.frombuffer(x["doc"], "<i8")[p.piece[heads]] if step.last else None
@@ -219,21 +240,34 @@ def _hits(group: pa.Table, ranks: pa.Table, step: Step, width: int) -> pa.Table:
     return R.table(rows, R.TOLD)
 
 
-def repeated(state: DataFrame, length: int, width: int) -> DataFrame:
+def turns(text: int, most: int, width: int) -> int:
+    """In how many turns the pairs of so many bytes of text are dealt, if a turn's take about `most` bytes."""
+    return max(1, min(width, -(-PAIR_BYTES * text // max(most, TURN_BYTES))))
+
+
+def repeated(state: DataFrame, length: int, width: int, most: int) -> DataFrame:
     """HIT rows for the strings of `length` bytes in the pieces of state that also start in a piece of a
     smaller document. state: a stored() table of STATE rows; it is
-    forgotten. No pieces, or none that repeats, give no rows.
+    forgotten. No pieces, or none that repeats, give no rows. most: bytes of disk, about, for the pairs dealt at a time.
     """
+    tables, n = [state], turns(state.agg(F.sum(F.length("text"))).first()[0] or 0, most, width)
     for step in steps(length):
-        state = _round(state, step, width)
-    return state
-
-
-def _round(state: DataFrame, step: Step, width: int) -> DataFrame:
-    sent = state.mapInArrow(A.on_batches(lambda it: _emit(it, step, width)), PAIRS)
-    ranks = sent.groupBy("kb").applyInArrow(A.on_group(lambda g: rank_pairs(g, step, width)), RANKS)
+        tables = _round(tables, step, width, n if step.first else -(-n // 3), -(-n // 3))  # ranks are shorter than text
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _round(tables: list[DataFrame], step: Step, width: int, n: int, back: int) -> list[DataFrame]:
+    """Pairs are dealt in n turns, their ranks go back in `back` turns."""
+    state, ranks = reduce(DataFrame.unionByName, tables), []
+    for tasks in pairwise(i * width // n for i in range(n + 1)):
+        share = tasks if n > 1 else None
+        sent = state.mapInArrow(A.on_batches(lambda it, share=share: _emit(it, step, width, share)), PAIRS)
+        ranks.append(stored(sent.groupBy("kb").applyInArrow(A.on_group(lambda g: rank_pairs(g, step, width)), RANKS), f"told-{step.reach}"))
+    told, after = reduce(DataFrame.unionByName, ranks), []
     turn, schema = (_hits, R.TOLD) if step.last else (_update, STATE)
-    both = state.groupBy("part").cogroup(ranks.groupBy("part"))
-    after = stored(both.applyInArrow(A.on_groups(lambda g, r: turn(g, r, step, width)), schema), f"rank-{step.reach}")
-    forget(state)
+    for i in range(back):
+        own, new = (t.filter(F.pmod(F.xxhash64("part"), F.lit(back)) == i) if back > 1 else t for t in (state, told))
+        both = own.groupBy("part").cogroup(new.groupBy("part"))
+        after.append(stored(both.applyInArrow(A.on_groups(lambda g, r: turn(g, r, step, width)), schema), f"rank-{step.reach}"))
+    forget(*tables, *ranks)
     return after

@@ -152,7 +152,7 @@ def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None
     pieces = stored(plain.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         A.on_groups(lambda a, b: _pieces_of(a, b, length, gram, key)), D.STATE
     ), "pieces")
-    told = told.unionByName(D.repeated(pieces, length, width))
+    told = told.unionByName(D.repeated(pieces, length, width, size))
     schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
     return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         A.on_groups(lambda a, b: _remove(a, b, length, gram, key, schema)), own.select(schema).schema if columns else RESULT

@@ -253,6 +253,17 @@ def test_doubling_by_brute_force(spark, length):
         doubling.steps(15)
 
 
+def test_doubling_in_turns(spark, monkeypatch):
+    """The pairs of a few tasks at a time, of which few lie on disk together; the result is the same."""
+    assert [doubling.turns(n << 20, 500 << 20, 40) for n in (0, 50, 51, 200, 10_000)] == [1, 1, 2, 4, 40]
+    monkeypatch.setattr(doubling, "turns", lambda text, most, width: 4)
+    tables, real = [], doubling.stored
+    monkeypatch.setattr(doubling, "stored", lambda df, name: tables.append(name) or real(df, name))
+    test_doubling_by_brute_force(spark, 50)
+    made = Counter(x for x in tables if x.startswith(("told", "rank")))
+    assert made == {"told-16": 4, **{f"{t}-{n}": 2 for t, n in (("rank", 16), ("told", 32), ("rank", 32), ("told", 50), ("rank", 50))}}
+
+
 def test_equal_hashes_of_unequal_pairs(monkeypatch):
     monkeypatch.setattr(arrays, "mix", lambda h: h * np.uint64(0))
     a, b = np.array([1, 2, 1, 2, 1], np.uint64), np.array([7, 7, 7, 7, 8], np.uint64)
