@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,17 +106,131 @@ def chained(frames: np.ndarray, boxes: np.ndarray, least: float = 0.2) -> np.nda
     return out
 
 
-def chain(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.2) -> DataFrame:
-    """key, frame, candidate and track_id by overlap with the frame before; one session (key) is one ordered group."""
+#: Pairs of boxes that are compared at a time.
+PAIRS = 1 << 19
+
+
+def near_pairs(t: np.ndarray, boxes: np.ndarray, bridge: int, score: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j and scores of all pairs of a box and one that is 1 to `bridge` earlier in t, which ascends, if their score isn't NaN."""
+    low, high = np.searchsorted(t, t - bridge), np.searchsorted(t, t)
+    end = np.cumsum(high - low)
+    found, a = [], 0
+    while a < len(t):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + PAIRS, side="right")))
+        n = (high - low)[a:b]
+        i = np.repeat(np.arange(a, b), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+        s = score(boxes[i], boxes[j], t[i] - t[j])
+        on = ~np.isnan(s)
+        found.append((i[on], j[on], s[on]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, candidate])
-        t = chained(pdf[frame].to_numpy(), pdf[BOX].to_numpy(float), least)
-        return pdf[[key, frame, candidate]].assign(track_id=t.astype("int32"))
 
+def pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of each box of a with the box of b beside it."""
+    inner = np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None).prod(1)
+    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(1)
+    union = area(a) + area(b) - inner
+    return np.where(union > 1e-9, inner / np.where(union > 1e-9, union, 1), 0.0)
+
+
+@dataclass
+class Linker:
+    """Tracks of boxes that come in order of session and time, many sessions at once; the boxes of a session's last `bridge` times are
+    all that it holds. A time's boxes are matched to the last boxes of tracks by falling score (NaN: no match)."""
+
+    bridge: int
+    score: Callable
+    latest: bool  # among equal scores the later box wins, by the earlier time's first; else the lesser box, then track
+    t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    boxes: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
+    name: list[int] = field(default_factory=list)
+    over: list[bool] = field(default_factory=list)  # the track has gone on since
+    count: int = 0
+
+    def step(self, t: np.ndarray, boxes: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """The tracks of whole times' boxes. Times ascend over all calls, by more than `bridge` where a session opens."""
+        held = len(self.t)
+        all_t, all_boxes = np.concatenate([self.t, t]), np.concatenate([self.boxes, boxes])
+        i, j, s = near_pairs(all_t, all_boxes, self.bridge, self.score)
+        fresh = i >= held
+        i, j, s = i[fresh], j[fresh], s[fresh]
+        order = np.lexsort((-i, -j, -s, all_t[i]) if self.latest else (j, i, -s, all_t[i]))
+        i, j, s = (x[order].tolist() for x in (i, j, s))
+        name, over = self.name + [-1] * len(t), self.over + [False] * len(t)
+        times = all_t[held:]
+        edge = (held + np.flatnonzero(np.diff(times, prepend=times[:1] - 1))).tolist() + [len(all_t)]
+        begins, k, n = set((held + np.flatnonzero(opens)).tolist()), 0, len(i)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if a in begins:
+                self.count = 0
+            while k < n and i[k] < b:
+                x, y = i[k], j[k]
+                k += 1
+                if name[x] >= 0 or over[y]:
+                    continue
+                if not self.latest:  # of equal ones, the lesser track
+                    m = k
+                    while m < n and i[m] == x and s[m] == s[k - 1]:
+                        if not over[j[m]] and name[j[m]] < name[y]:
+                            y = j[m]
+                        m += 1
+                name[x], over[y] = name[y], True
+            for x in range(a, b):
+                if name[x] < 0:
+                    name[x], self.count = self.count, self.count + 1
+        keep = int(np.searchsorted(all_t, all_t[-1] - self.bridge, side="right")) if len(all_t) else 0
+        self.t, self.boxes, self.name, self.over = all_t[keep:], all_boxes[keep:], name[keep:], over[keep:]
+        return np.array(name[held:], np.int32)
+
+
+def _linked(df: DataFrame, key: str, frame: str, candidate: str, bridge: int, score: Callable, latest: bool) -> DataFrame:
+    """key, frame, candidate and track_id. Sessions are dealt to tasks and stream through them in order, so no
+    session is held. bridge 0: times are the frames that a session has, without those between, and tracks bridge none."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(key, frame, candidate, *BOX).groupBy(key).applyInPandas(
-        run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, track_id int")
+    names = [key, frame, candidate]
+    w = Window.partitionBy(key).orderBy(frame, candidate)
+    gap = F.col(frame) - F.lag(frame).over(w)
+    gap = F.when(gap > 0, F.least(gap, F.lit(bridge + 1)) if bridge else F.lit(1)).otherwise(0)
+    opens = F.row_number().over(w) == 1
+    reach = bridge or 1
+    dealt = df.select(*names, *BOX, opens.alias("_opens"), F.when(opens, reach + 1).otherwise(gap).cast("long").alias("_gap"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linker, held, at = Linker(reach, score, latest), None, 0
+
+        def given(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal at
+            t = at + np.cumsum(rows.column("_gap").to_numpy())
+            at = int(t[-1])
+            boxes = np.column_stack([rows.column(c).to_numpy().astype(float) for c in BOX])
+            track = linker.step(t, boxes, rows.column("_opens").to_numpy())
+            return rows.select(names).append_column("track_id", pa.array(track))
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            new = np.flatnonzero(rows.column("_gap").to_numpy())  # the last time may go on in the next batch
+            cut = int(new[-1]) if len(new) else 0
+            held = rows.slice(cut)
+            if cut:
+                yield from given(rows.slice(0, cut)).to_batches()
+        if held is not None and held.num_rows:
+            yield from given(held).to_batches()
+
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", track_id int")
+
+
+def chain(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.2) -> DataFrame:
+    """key, frame, candidate and track_id by overlap with the frame before that has boxes, as chained() gives them; a session (key)
+    streams through one task."""
+
+    def score(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        overlap = pair_iou(a, b)
+        return np.where(overlap >= least, overlap, np.nan)
+
+    return _linked(df, key, frame, candidate, 0, score, True)
 
 
 @dataclass
@@ -161,26 +276,13 @@ def tracks(frames: np.ndarray, boxes: np.ndarray, least: float, bridge: int, rea
 
 
 def track(df: DataFrame, key: str, frame: str, candidate: str, least: float = 0.12, bridge: int = 6, reach: float = 130.0) -> DataFrame:
-    """key, frame, candidate and track_id, counted from 0 in each session (key). Equal scores go to the lesser candidate,
-    then track; boxes with NULLs open tracks of their own; no rows give none.
-
-    No track lives over a gap of more than `bridge` frames, so a session is cut there, and each stretch is a group of its own.
+    """key, frame, candidate and track_id, counted from 0 in each session (key), as tracks() gives them. Equal scores go to the lesser
+    candidate, then track; boxes with NULLs open tracks of their own; no rows give none. A session streams through one task.
     """
-    w = Window.partitionBy(key).orderBy(frame)
-    cut = F.coalesce((F.col(frame) - F.lag(frame).over(w) > bridge).cast("int"), F.lit(0))
-    dealt = df.select(key, frame, candidate, *BOX).withColumn("_new", cut).withColumn("_stretch", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, candidate])
-        t = tracks(pdf[frame].to_numpy(), pdf[BOX].to_numpy(float), least, bridge, reach)
-        return pdf[[key, frame, candidate, "_stretch"]].assign(_t=t.astype("int32"))
+    def score(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        middle = lambda x: (x[:, :2] + x[:, 2:]) / 2
+        overlap, far = pair_iou(a, b), np.linalg.norm(middle(a) - middle(b), axis=1)
+        return np.where((overlap >= least) | (far <= reach), 3 * overlap - far / reach - 0.25 * (gap - 1), np.nan)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    found = dealt.groupBy(key, "_stretch").applyInPandas(
-        run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {candidate} {kinds[candidate]}, _stretch long, _t int")
-    # Numbers of earlier stretches come first.
-    opened = F.max("_t").over(Window.partitionBy(key, "_stretch")) + 1
-    first = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(frame, candidate)) == 1
-    before = F.sum(F.when(F.col("_first"), F.col("_opened")).otherwise(0)).over(Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1))
-    got = found.withColumn("_opened", opened).withColumn("_first", first)
-    return got.select(key, frame, candidate, (F.col("_t") + F.coalesce(before, F.lit(0))).cast("int").alias("track_id"))
+    return _linked(df, key, frame, candidate, bridge, score, False)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import numpy as np
 import pytest
@@ -169,6 +170,32 @@ def test_matching_by_plain_models(spark, sf):
                 live[mine[i]] = (f, box)
 
 
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_trackers_in_a_stream_equal_their_models(spark, batch):
+    """Many ties, gaps, NULLs, crowded frames, and sessions that go over the batches' ends; no task holds a group."""
+    rng = random.Random(4)
+    rows = [(k, f, c, *((None,) * 4 if rng.random() < 0.05 else (x, y, x + 6.0, y + 6.0)))
+            for k in range(-3, 9) for f in range(60) if rng.random() < 0.6 and f // 9 != 3 for c in range(rng.choice((1, 2, 5, 12)))
+            for x, y in [(float(rng.randint(0, 7)), float(rng.randint(0, 7)))]]
+    rows += [(None, f, c, 1.0 * c, 0.0, c + 6.0, 6.0) for f in (1, 2, 40) for c in range(3)]
+    df = spark.createDataFrame(rows, "k int, f int, c int, x1 double, y1 double, x2 double, y2 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [{(r["k"], r["f"], r["c"]): r["track_id"] for r in d.collect()} for d in (
+            matching.track(df, "k", "f", "c", bridge=4, reach=5.0), matching.chain(df, "k", "f", "c"))]
+        plan = matching.track(df, "k", "f", "c")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+        assert matching.track(df.limit(0), "k", "f", "c").count() == matching.chain(df.limit(0), "k", "f", "c").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == k)
+        frames, boxes = np.array([r[0] for r in own]), np.array([r[2:] for r in own], float)
+        for found, want in zip(got, (matching.tracks(frames, boxes, 0.12, 4, 5.0), matching.chained(frames, boxes)), strict=True):
+            assert [found[k, r[0], r[1]] for r in own] == want.tolist()
+    assert [len(g) for g in got] == [len(rows)] * 2
+
+
 def test_visible_choice_and_ladder(spark):
     seen = [[1 if j in on else 0 for j in range(21)] for on in ((0, 5), (0, 1, 2), (3, 4, 7, 8), ())]
     df = spark.createDataFrame([(i, v, [True] * 21) for i, v in enumerate(seen)], "i int, v array<int>, s array<boolean>")
