@@ -80,9 +80,9 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, query: str,
     Of equal distances the lesser point comes first; keys with fewer points give fewer rows. Rows whose place isn't finite take no part.
 
     A key's box is cut into halves, quarters ... of each side, down to cells of about k points. A query takes the finest
-    cell around it (or around the box's nearest place) that holds k points; all nearest ones are within the distance to that
-    cell's far corner, in the few cells of that size which the distance reaches. Cells are join keys, so a key
-    with many points is many tasks' work. The k best of a task's part are picked before the exchange.
+    cell around it (or around the box's nearest place) that holds k points; all nearest ones are within the distance of the
+    k-th best of that cell, in the few cells of that size which the distance reaches. Cells are join keys, so a key
+    with many points is many tasks' work. Points beyond that distance go in the join, and are neither sorted nor exchanged.
     """
     good = lambda df: df.filter(sum((finite(F.col(c)).isNotNull().cast("int") for c in place[1:]), finite(F.col(place[0])).isNotNull().cast("int")) == len(place))
     d = range(len(place))
@@ -104,24 +104,20 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, query: str,
     laid = cells(points.join(box, key).select("*", level), "p").select(*cell, point, *[f"_p{i}" for i in d])
     held = laid.groupBy(*cell).agg(F.count("*").alias("_n"))
     asked = cells(queries.join(box, key).select("*", level), "q").join(held, cell, "left")
-    wide = F.col("_side") / F.pow(F.lit(2.0), "_level")
-    far = F.lit(0.0)
-    for i in d:
-        low = F.col(f"_m{i}") + F.col(f"_c{i}") * wide
-        one = F.greatest(F.abs(F.col(f"_q{i}") - low), F.abs(F.col(f"_q{i}") - low - wide))
-        far += one * one
     enough = (F.col("_n") >= k) | (F.col("_level") == 0)
-    chosen = asked.filter(enough).withColumn("_far", F.sqrt(far) * (1 + 1e-9)).groupBy(key, query).agg(F.max_by(F.struct(
-        "_level", "_far", "_side", *[f"_q{i}" for i in d], *[f"_m{i}" for i in d]), "_level").alias("_b")).select(key, query, "_b.*")
-    reach = chosen
+    chosen = asked.filter(enough).groupBy(key, query).agg(F.max_by(F.struct(
+        "_level", "_n", "_side", *[f"_{x}{i}" for x in "cqm" for i in d]), "_level").alias("_b")).select(key, query, "_b.*")
+    square = sum(((F.col(f"_q{i}") - F.col(f"_p{i}")) * (F.col(f"_q{i}") - F.col(f"_p{i}")) for i in d[1:]), (F.col("_q0") - F.col("_p0")) * (F.col("_q0") - F.col("_p0")))
+    place_in_cell = F.row_number().over(Window.partitionBy(key, query).orderBy("_far"))
+    reach = chosen.join(laid.drop(point), cell).withColumn("_far", F.sqrt(square)).drop(*[f"_p{i}" for i in d]).withColumn("_r", place_in_cell).filter(
+        (F.col("_r") <= k) & (F.col("_r") == F.least(F.lit(k), "_n"))).drop("_r", "_n", *[f"_c{i}" for i in d])
     for i in d:
         step = F.col("_side") / F.pow(F.lit(2.0), "_level")
         edge = F.pow(F.lit(2.0), "_level") - 1
-        bound = lambda s: F.greatest(F.lit(0.0), F.least(edge, F.floor((F.col(f"_q{i}") + s * F.col("_far") - F.col(f"_m{i}")) / step))).cast("long")  # noqa: E731, B023
+        far = F.col("_far") * (1 + 1e-9) + step * 1e-9 + (F.abs(f"_q{i}") + F.abs(f"_m{i}")) * 1e-14  # above what rounding takes
+        bound = lambda s: F.greatest(F.lit(0.0), F.least(edge, F.floor((F.col(f"_q{i}") + s * far - F.col(f"_m{i}")) / step))).cast("long")  # noqa: E731, B023
         reach = reach.withColumn(f"_c{i}", F.explode(F.sequence(bound(-1), bound(1))))
-    near = reach.join(laid, cell)
-    square = sum(((F.col(f"_q{i}") - F.col(f"_p{i}")) * (F.col(f"_q{i}") - F.col(f"_p{i}")) for i in d[1:]), (F.col("_q0") - F.col("_p0")) * (F.col("_q0") - F.col("_p0")))
-    got = near.select(key, query, point, F.sqrt(square).alias("distance"))
+    got = reach.join(laid, cell).filter(F.sqrt(square) <= F.col("_far")).select(key, query, point, F.sqrt(square).alias("distance"))
     rank = F.row_number().over(Window.partitionBy(key, query).orderBy("distance", point))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k)
 

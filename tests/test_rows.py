@@ -535,3 +535,30 @@ def test_mesh_edges(spark):
             own = sorted((np.sqrt((a - c) ** 2 + (b - d) ** 2), p) for kk, p, c, d in near if kk == k and c == c)[:7]
             want |= {(k, q, p, i + 1) for i, (_, p) in enumerate(own)}
     assert {(r["k"], r["q"], r["p"], r["rank"]) for r in found} == want
+
+
+def test_nearest_points_ranks_few_candidates(spark):
+    """Of what the cells around a query hold, only points within the k-th distance of its own cell are ranked."""
+    import random
+
+    rng = random.Random(5)
+    near = [("x", i, *(rng.random() for _ in range(3))) for i in range(4000)] + [("x", 4000 + i, 0.5, 0.5, 0.5) for i in range(9)]
+    asked = [("x", i, *(rng.random() for _ in range(3))) for i in range(150)] + [("x", 900, 0.5, 0.5, 0.5), ("x", 901, 7.0, 7.0, -7.0)]
+    schema = "a double, b double, c double"
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = meshes.nearest_points(spark.createDataFrame(asked, f"k string, q int, {schema}"), spark.createDataFrame(near, f"k string, p int, {schema}"), "k", "q", "p", ["a", "b", "c"], 6)
+        found = {(r["q"], r["p"], r["rank"]) for r in got.collect()}
+        plan = got._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    rows, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            rows.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert rows and max(rows) < 60 * len(asked)
+    dist = lambda u, v: np.sqrt(sum((x - y) * (x - y) for x, y in zip(u, v, strict=True)))
+    assert found == {(q, p, n) for _, q, *u in asked for n, (_, p) in enumerate(sorted((dist(u, v), p) for _, p, *v in near)[:6], 1)}
