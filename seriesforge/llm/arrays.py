@@ -173,14 +173,6 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1])) + np.repeat(start - (total - count), count)
 
 
-def cover(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of length positions lie in one of the ranges."""
-    d = np.zeros(length + 1, np.int64)
-    np.add.at(d, start, 1)
-    np.add.at(d, end, -1)
-    return np.cumsum(d[:length]) > 0
-
-
 @lru_cache(maxsize=1)
 def _libc():
     import ctypes
@@ -262,14 +254,6 @@ def unpack_ascending(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, U64, 1, 1), d)), dtype=U64)
 
 
-def sorted_unique(x: np.ndarray) -> np.ndarray:
-    """The distinct values in ascending order, by sorting; numpy's own way, a table of hashes, takes several times as long."""
-    x = np.sort(x)
-    new = np.ones(len(x), bool)
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    return x[new]
-
-
 def by_small(x: np.ndarray, most: int) -> np.ndarray:
     """The stable order of numbers below `most`; up to 16 bits are sorted by counting."""
     return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
@@ -299,6 +283,33 @@ def places(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_values[at] == x
 
 
+class Among:
+    """Ascending values to look others up in. A table of the low bits of spread values spares most of the others a search."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.low = U64((1 << min(23, max(10, (8 * len(values)).bit_length()))) - 1)
+        self.table = np.zeros(int(self.low) + 1, bool)
+        self.table[values & self.low] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are there, by their places in x, and their places in the values."""
+        on = np.flatnonzero(self.table[x & self.low])
+        at, there = places(self.values, x[on])
+        return on[there], at[there]
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        out[self.find(x)[0]] = True
+        return out
+
+
+def twice(x: np.ndarray) -> np.ndarray:
+    """Which of some spread values occur twice or more in x."""
+    s = np.sort(x)
+    return Among(s[1:][s[1:] == s[:-1]]).has(x)
+
+
 def equal_runs(x: np.ndarray) -> list[tuple[int, int]]:
     """(from, to) of the runs of equal values in x."""
     if not len(x):

@@ -5,10 +5,11 @@ hash of its grams of k units. Consecutive windows with the same key form a run,
 (W - k + 2) / 2 windows; equal windows have equal keys wherever they are, so only runs of one key
 can share windows. A run's passage is the text its windows cover.
 
-1. Each bucket of documents sends its distinct keys; keys of one bucket only drop out.
+1. Each bucket of documents sends its distinct keys; keys that occur once in one bucket only drop out.
 2. The distinct passages of the other keys follow, each with its first document. Passages with an
    earlier equal passage are settled: all their windows occur earlier. A key with several passages
-   is open: the first holder of each passage must show its windows.
+   is open: the first holder of each passage must show its windows. If the scheme asks for sides, only
+   passages that share more than the key's gram are open: see sides_of().
 3. Windows shown are compared by content, and the first document of each window is found.
 
 Passages and windows are named by two 64-bit hashes of different make, and count as equal only if
@@ -44,27 +45,30 @@ class Runs:
     key: np.ndarray
     passage: np.ndarray
     check: np.ndarray
+    sides: np.ndarray
 
 
 @dataclass(frozen=True)
 class Scheme:
     """cut(texts) yields (index of the first text, units, start and count of each text's units) of
-    parts of a bucket's texts."""
+    parts of a bucket's texts. sides: passages are told apart by sides_of(), too."""
 
     cut: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
     window: int
     gram: int
     salt: int = SALT
+    sides: bool = False
 
     def keys(self, texts: pa.Array) -> np.ndarray:
-        """The distinct keys of a bucket's runs."""
-        parts = [A.sorted_unique(keys_of(values, start, count, self.window, self.gram)) for _, values, start, count in self.cut(texts)]
-        return A.sorted_unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
+        """The keys of a bucket's runs."""
+        parts = [keys_of(values, start, count, self.window, self.gram) for _, values, start, count in self.cut(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0, U64)
 
-    def runs(self, texts: pa.Array) -> Runs:
+    def runs(self, texts: pa.Array, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Runs:
+        """A bucket's runs; if wanted is given, those only of whose keys it holds, with their sides if the scheme has them."""
         parts, before = [], []
         for low, values, start, count in self.cut(texts):
-            parts.append(runs_of(values, start, count, self.window, self.gram, self.salt))
+            parts.append(runs_of(values, start, count, self.window, self.gram, self.salt, wanted, self.sides and wanted is not None))
             before.append(low)
         return join_runs(parts, before)
 
@@ -94,10 +98,12 @@ def keys_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: in
     return A.mix(least[opened])
 
 
-def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int, salt: int = SALT) -> Runs:
+def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, k: int, salt: int = SALT,
+            wanted: Callable[[np.ndarray], np.ndarray] | None = None, sides: bool = False) -> Runs:
     """values: the units of some texts (64-bit values, or bytes), one text after another; start and count of each text's units.
 
-    Passages are named by their units (bytes: by their grams), and by their grams mixed with a salt.
+    Passages are named by their units (bytes: by their grams), and by their grams mixed with a salt. Of the runs, those whose keys are
+    wanted are returned (all, if it isn't given).
     """
     gram, least, opened = _openings(values, start, count, window, k)
     first = np.flatnonzero(opened)
@@ -109,16 +115,43 @@ def runs_of(values: np.ndarray, start: np.ndarray, count: np.ndarray, window: in
     last = np.minimum(np.append(first[1:], len(least)) - 1, start[doc] + count[doc] - window)
     key = A.mix(least[first])
     del least
+    if wanted is not None:
+        on = wanted(key)
+        doc, first, last, key = doc[on], first[on], last[on], key[on]
+        if not len(first):
+            return _no_runs()
     stop = last + window - k + 1
     passage = A.pieces(gram, first, stop) if values.dtype == np.uint8 else A.pieces(values, first, last + window)
     check = A.pieces(A.mix(gram + U64(salt)), first, stop)  # of spread grams, not of units
     place = [(x - start[doc]).astype(np.int32) for x in (first, last)]
-    return Runs(doc.astype(np.int32), *place, key, passage, check)
+    side = sides_of(gram, first, last, key, passage, window - k) if sides else np.zeros(0, U64)
+    return Runs(doc.astype(np.int32), *place, key, passage, check, side)
+
+
+def sides_of(gram: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, passage: np.ndarray, reach: int) -> np.ndarray:
+    """Of each run two names of 32 bits, of its least gram with the gram reach / 2 units to its left, and to its right.
+
+    Two passages of one key with a common window have one of the two in common, since reach / 2 of the window's other units or more stand on one
+    side of the gram. A name is the passage's own where the passage doesn't go so far. 0, which fits
+    every name, is the value of a run that has its least gram twice, as a window's gram could be either.
+    """
+    n = (last - first).astype(np.int64) + 1 + reach
+    at = A.ranges(first, n)
+    hit = np.flatnonzero(A.mix(gram[at]) == np.repeat(key, n))
+    begin = np.cumsum(n) - n
+    head = np.searchsorted(hit, begin)  # every run has its least gram
+    anchor = at[hit[head]]
+    own = A.mix(passage)
+    far = reach // 2
+    left = np.where(anchor - far >= first, A.mix(key + gram[np.maximum(anchor - far, 0)]), own)
+    right = np.where(anchor + far <= last + reach, A.mix(key + gram[np.minimum(anchor + far, len(gram) - 1)]), own)
+    once = np.diff(np.append(head, len(hit))) == 1
+    return np.where(once, (left & U64(0xFFFFFFFF00000000)) | (right >> U64(32)), U64(0))
 
 
 def _no_runs() -> Runs:
     e, h = np.zeros(0, np.int32), np.zeros(0, U64)
-    return Runs(e, e, e, h, h, h)
+    return Runs(e, e, e, h, h, h, h)
 
 
 def join_runs(parts: list[Runs], docs_before: list[int]) -> Runs:
@@ -126,14 +159,15 @@ def join_runs(parts: list[Runs], docs_before: list[int]) -> Runs:
         return _no_runs()
     return Runs(
         np.concatenate([p.doc + np.int32(n) for p, n in zip(parts, docs_before, strict=True)]),
-        *[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "key", "passage", "check")],
+        *[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "key", "passage", "check", "sides")],
     )
 
 
-SENT = "kb int, bucket int, n long, keys binary, passages binary, checks binary, docs binary, rank binary"
+SENT = "kb int, bucket int, n long, keys binary, passages binary, checks binary, docs binary, rank binary, sides binary"
 
 
-def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, check: np.ndarray, key: np.ndarray | None, width: int) -> pa.Table:
+def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, check: np.ndarray, key: np.ndarray | None, width: int,
+         sides: np.ndarray | None = None) -> pa.Table:
     """One row for each bucket of keys: distinct passages of this bucket, each with its first document.
 
     doc: index in docs, ascending. Keys are cut to some upper bits here; that may put unequal grams under
@@ -141,18 +175,21 @@ def send(bucket: int, docs: np.ndarray, doc: np.ndarray, passage: np.ndarray, ch
     """
     head = distinct(passage, check)
     passage, check = passage[head], check[head]
+    sides = sides[head] if sides is not None and len(sides) else None
     keyed = key is not None
     key = key[head] >> A.key_shift(width) if keyed else passage
     to = (key % U64(width)).astype(np.int64)
     # by task, then key; a key's part above the tasks has fewer than 40 bits
     order = np.argsort(to.astype(U64) << U64(40) | key // U64(width)) if keyed else A.by_small(to, width)
     head, key, to, passage, check = head[order], key[order], to[order], passage[order], check[order]
+    sides = sides[order] if sides is not None else None
     rows = []
     for a, b in A.equal_runs(to):
         own, rank = np.unique(docs[doc[head[a:b]]], return_inverse=True)
         small = np.uint16 if len(own) <= 1 << 16 else np.uint32
         rows.append((int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)) if keyed else None, passage[a:b].tobytes(), check[a:b].tobytes(),
-                     A.pack_ascending(own.astype(np.int64).view(U64) ^ U64(1 << 63)), rank.astype(small).tobytes()))
+                     A.pack_ascending(own.astype(np.int64).view(U64) ^ U64(1 << 63)), rank.astype(small).tobytes(),
+                     sides[a:b].tobytes() if sides is not None else None))
     return table(rows, SENT)
 
 
@@ -192,8 +229,10 @@ def judge(sent: pa.Table) -> pa.Table:
     shown = np.zeros(0, bool)
     if keyed:  # keys whose passages differ
         key = np.concatenate([A.unpack_ascending(x["keys"], x["n"]) for x in rows])[order]
-        _, which, often = np.unique(key[starts], return_inverse=True, return_counts=True)
-        shown = ~settled & (often[which] > 1)[group]  # a document is in one bucket, which sends a passage once
+        differ = A.twice(A.mix(key[starts]))
+        if rows[0]["sides"] is not None:
+            differ &= _alike(key[starts], np.concatenate([np.frombuffer(x["sides"], U64) for x in rows])[order][starts])
+        shown = ~settled & differ[group]  # a document is in one bucket, which sends a passage once
     out = []
     for kind, on in ((SETTLED, settled), (OPEN, shown)):
         at = np.flatnonzero(on)
@@ -205,6 +244,13 @@ def judge(sent: pa.Table) -> pa.Table:
     return table(out, TOLD)
 
 
+def _alike(key: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which of some passages have a side in common with another of their key."""
+    spread = A.mix(key)
+    any_side = A.Among(np.sort(spread[sides == 0])).has(spread)
+    return any_side | A.twice(A.mix(spread ^ (sides >> U64(32)))) | A.twice(A.mix(spread ^ (sides & U64(0xFFFFFFFF))))
+
+
 def _docs(x: dict) -> np.ndarray:
     rank = np.frombuffer(x["rank"], np.uint16 if len(x["rank"]) == 2 * x["n"] else np.uint32)
     own = int(rank.max()) + 1 if len(rank) else 0
@@ -221,8 +267,11 @@ class Names:
 
     def find(self, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each name its place here, and whether it is there."""
-        at, there = A.places(self.name, name)
-        return at, there & (self.check[at] == check) if len(self.name) else there
+        at, there = np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+        on, found = A.Among(self.name).find(name)
+        at[on] = found
+        there[on] = self.check[found] == check[on]
+        return at, there
 
 
 def told(answers: pa.Table, kind: int) -> Names:
@@ -236,29 +285,34 @@ def told(answers: pa.Table, kind: int) -> Names:
     return Names(p[order], c[order], d[order])
 
 
-KEYS = "kb int, bucket int, n long, keys binary"
+KEYS = "kb int, bucket int, n long, keys binary, twice binary"
 
 
 def send_keys(bucket: int, keys: np.ndarray, width: int) -> pa.Table:
-    key = A.sorted_unique(keys >> A.key_shift(width))
+    """The distinct keys of a bucket, and which of them it has twice or more."""
+    every = np.sort(keys >> A.key_shift(width))
+    new = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    key, often = every[at], np.diff(np.append(at, len(every))) > 1
     to = (key % U64(width)).astype(np.int64)
     order = A.by_small(to, width)  # keys ascend already
-    key, to = key[order], to[order]
-    return table([(int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width))) for a, b in A.equal_runs(to)], KEYS)
+    key, to, often = key[order], to[order], often[order]
+    return table([(int(to[a]), bucket, b - a, A.pack_ascending(key[a:b] // U64(width)), np.packbits(often[a:b]).tobytes()) for a, b in A.equal_runs(to)], KEYS)
 
 
 def judge_keys(sent: pa.Table) -> pa.Table:
-    """Tell every bucket which of its keys other buckets have, too."""
+    """Tell every bucket which of its keys other buckets have, too, or it has twice itself."""
     rows = sent.to_pylist()
     key = np.concatenate([A.unpack_ascending(x["keys"], x["n"]) for x in rows])
-    _, which, often = np.unique(key, return_inverse=True, return_counts=True)
-    shared = often[which] > 1
+    shared = A.twice(A.mix(key))
+    shared |= np.concatenate([np.unpackbits(np.frombuffer(x["twice"], np.uint8), count=x["n"]) for x in rows]).view(bool)
     out, at = [], 0
     for x in rows:
         own = key[at : at + x["n"]][shared[at : at + x["n"]]]
         at += x["n"]
         if len(own):
-            out.append((x["kb"], x["bucket"], len(own), A.pack_ascending(own)))
+            out.append((x["kb"], x["bucket"], len(own), A.pack_ascending(own), None))
     return table(out, KEYS)
 
 
@@ -266,15 +320,10 @@ def _send_shared(group: pa.Table, replies: pa.Table, scheme: Scheme, width: int)
     if not group.num_rows:
         return table([], SENT)
     ids, texts = in_order(group)
-    r = scheme.runs(texts)
-    key = r.key >> A.key_shift(width)
     parts = [A.unpack_ascending(x["keys"], x["n"]) * U64(width) + U64(x["kb"]) for x in replies.to_pylist()]
-    shared = np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64)
-    head = distinct(r.passage, r.check)
-    own, which, often = np.unique(key[head], return_inverse=True, return_counts=True)
-    on = head[A.places(shared, key[head])[1] | (often[which] > 1)]
-    on.sort()
-    return send(group.column("bucket")[0].as_py(), ids, r.doc[on], r.passage[on], r.check[on], r.key[on], width)
+    shared = A.Among(np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64))
+    r = scheme.runs(texts, lambda key: shared.find(key >> A.key_shift(width))[0])
+    return send(group.column("bucket")[0].as_py(), ids, r.doc, r.passage, r.check, r.key, width, r.sides)
 
 
 @dataclass
@@ -344,7 +393,7 @@ def passages_told(own: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     """TOLD rows for every bucket, by steps 1 and 2. own is bucketed()."""
 
     def ask(group: pa.Table) -> pa.Table:
-        return send_keys(group.column("bucket")[0].as_py(), scheme.keys(in_order(group)[1]), width)
+        return send_keys(group.column("bucket")[0].as_py(), scheme.keys(group.column("text").combine_chunks()), width)
 
     replies = own.groupBy("bucket").applyInArrow(A.on_group(ask), KEYS).groupBy("kb").applyInArrow(A.on_group(judge_keys), KEYS)
     return own.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
@@ -368,7 +417,11 @@ def earlier(ids: np.ndarray, r: Runs, told_rows: pa.Table) -> np.ndarray:
     out = told(told_rows, SETTLED).find(r.passage, r.check)[1]
     if not len(r.doc):
         return out
-    order, starts = A.same_pairs(r.passage, r.check)
+    on = np.flatnonzero(A.twice(r.passage))
+    if not len(on):
+        return out
+    order, starts = A.same_pairs(r.passage[on], r.check[on])
+    order = on[order]
     first = np.minimum.reduceat(r.doc[order], starts)  # documents stand by doc_id
     out[order] |= ids[r.doc[order]] > np.repeat(ids[first], np.diff(np.append(starts, len(order))))
     return out

@@ -3,8 +3,9 @@
 1. Most positions can't start a repeated string; they are left out first (recurrence.py). Every
    window of 50 bytes has a key, the least hash of its grams of 28 bytes; equal windows have equal
    keys, so windows whose key no other document has go, and so do passages that an earlier document
-   has whole (by two 64-bit hashes): all their windows are repeats. No repeated window is lost.
-2. The windows that are left, those of passages that share a key and differ, go through prefix
+   has whole (by two 64-bit hashes): all their windows are repeats. Passages that differ must share 39 bytes,
+   the key's gram and 11 bytes to a side. No repeated window is lost.
+2. The windows that are left, those of passages that share so much and differ, go through prefix
    doubling (doubling.py): rank pairs are dealt by Spark and sorted at offsets 8, 16 and 18, reranked, and dropped
    once unique. Past 50 bytes the least document of each string decides.
 """
@@ -22,15 +23,17 @@ from pyspark.sql import functions as F
 from seriesforge.llm import arrays as A
 from seriesforge.llm import doubling as D
 from seriesforge.llm import recurrence as R
-from seriesforge.llm.common import NO_ID, bucketed, runs, stored, text_bytes, text_width
+from seriesforge.llm.common import NO_ID, bucketed, forget, runs, stored, text_bytes, text_width
 
 LENGTH, GRAM = 50, 28
+#: Bytes of text worked on at once: arrays of eight bytes for each of them stay in a core's own cache.
+CUT_BYTES = 1 << 17
 U64 = np.uint64
 
 
 def _pieces(texts: pa.Array):
-    """(index of the first text, bytes, start and count of each text) of parts of about 1 MB."""
-    for low, high in runs(texts, 1 << 20):
+    """(index of the first text, bytes, start and count of each text) of parts of about CUT_BYTES."""
+    for low, high in runs(texts, CUT_BYTES):
         raw = [(x or "").encode() for x in texts.slice(low, high - low).to_pylist()]
         count = np.array([len(x) for x in raw], np.int64)
         yield low, b"".join(raw), np.cumsum(count) - count, count
@@ -41,7 +44,7 @@ def scheme(length: int = LENGTH, gram: int = GRAM, key: bytes = b"") -> R.Scheme
         for low, data, start, count in _pieces(texts):
             yield low, np.frombuffer(data, np.uint8), start, count
 
-    return R.Scheme(cut, length, gram, salt_of(key))
+    return R.Scheme(cut, length, gram, salt_of(key), sides=True)
 
 
 def salt_of(key: bytes) -> int:
@@ -52,12 +55,29 @@ def salt_of(key: bytes) -> int:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in document order, those that follow one another as one."""
+    opened = np.ones(len(doc), bool)
+    opened[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
+    one = np.flatnonzero(opened)
+    return doc[one], first[one], last[np.append(one[1:], len(doc)) - 1] if len(doc) else last
+
+
+#: The part of a row that holds the runs settled without the doubling: place of the document in the bucket, first and last start of each.
+GONE = -1
+
+
 def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes) -> pa.Table:
-    """A bucket's parts for the doubling: the open passages first held here; neighbours are one piece."""
-    if not group.num_rows or not answers.num_rows:
+    """A bucket's parts for the doubling: the open passages first held here; neighbours are one piece. One more row, GONE, has the
+    passages that are repeats whole."""
+    if not group.num_rows:
         return R.table([], D.STATE)
     ids, texts = R.in_order(group)
     bucket = group.column("bucket")[0].as_py()
+    every = scheme(length, gram, key).runs(texts)
+    every.key = every.key[:0]  # no longer needed, and as large as the text
+    gone = np.flatnonzero(R.earlier(ids, every, answers))
+    settled = _joined(every.doc[gone], every.first[gone], every.last[gone])
     rows, found, text, held = [], [], [], 0
 
     def close() -> None:
@@ -66,18 +86,14 @@ def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key:
             rows.append(D.state_row(bucket, len(rows), *(np.concatenate(c) for c in zip(*found, strict=True)), b"".join(text)))
         found, text, held = [], [], 0
 
-    for low, data, start, count in _pieces(texts):
-        r = R.runs_of(np.frombuffer(data, np.uint8), start, count, length, gram, salt_of(key))
-        r.doc = r.doc + low
-        on = np.flatnonzero(R.open_runs(ids, r, answers))
-        if not len(on):
+    on = np.flatnonzero(R.open_runs(ids, every, answers))
+    docs, firsts, lasts = (x.astype(np.int64) for x in _joined(every.doc[on], every.first[on], every.last[on]))
+    del every
+    for low, data, start, count in _pieces(texts) if len(on) else ():
+        a, b = np.searchsorted(docs, (low, low + len(count)))
+        if a == b:
             continue
-        doc, first, last = r.doc[on], r.first[on], r.last[on]
-        opened = np.ones(len(on), bool)
-        opened[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
-        one = np.flatnonzero(opened)
-        last = last[np.append(one[1:], len(on)) - 1]
-        doc, first = doc[one], first[one]
+        doc, first, last = docs[a:b], firsts[a:b], lasts[a:b]
         size = last - first + length
         begin = start[doc - low] + first
         text += [data[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
@@ -86,11 +102,13 @@ def _pieces_of(group: pa.Table, answers: pa.Table, length: int, gram: int, key:
         if held >= D.PART_BYTES:
             close()
     close()
+    if len(gone):
+        rows.append((GONE, bucket, settled[0].astype("<i8").tobytes(), None, *(x.astype("<i8").tobytes() for x in settled[1:]), None, None))
     return R.table(rows, D.STATE)
 
 
 def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document (its place in the bucket), first and last start of the strings found by the doubling."""
+    """Document (its place in the bucket), first and last start of the strings found, by the passages or by the doubling."""
     rows = answers.filter(pc.equal(answers.column("kind"), D.HIT)).to_pylist()
     if not rows:
         e = np.zeros(0, np.int64)
@@ -100,7 +118,22 @@ def _hit(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(x[order] for x in found)
 
 
-def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, key: bytes, schema: str | list[str]) -> pa.Table:
+def without(raw: bytes, first: list[int], end: list[int]) -> tuple[bytes, int, int]:
+    """What is left of raw without the ranges, which may overlap; the bytes removed, and in how many spans."""
+    left, removed, spans, upto = [], 0, 0, -1
+    for a, b in sorted(zip(first, end, strict=True)):
+        if a > upto:
+            left.append(raw[max(upto, 0) : a])
+            spans += 1
+            removed += b - a
+            upto = b
+        elif b > upto:
+            removed += b - upto
+            upto = b
+    return b"".join((*left, raw[max(upto, 0) :])), removed, spans
+
+
+def _remove(group: pa.Table, answers: pa.Table, length: int, schema: str | list[str]) -> pa.Table:
     """RESULT rows; or, if schema lists columns, the group's rows with what is left of text."""
     digest = isinstance(schema, str)
     rows: list[tuple] = []
@@ -108,28 +141,18 @@ def _remove(group: pa.Table, answers: pa.Table, length: int, gram: int, key: byt
         return R.table(rows, RESULT) if digest else group.select(schema)
     group = R.sort_group(group)
     ids, texts = R.in_order(group)
-    every = scheme(length, gram, key).runs(texts)
-    every.key = every.key[:0]  # no longer needed, and as large as the text
-    gone = R.earlier(ids, every, answers)
     hit_doc, hit_first, hit_last = _hit(answers)
-    bound = np.searchsorted(every.doc, np.arange(len(ids) + 1))
-    lo = np.searchsorted(hit_doc, np.arange(len(ids) + 1))
+    lo = np.searchsorted(hit_doc, np.arange(len(ids) + 1)).tolist()
+    first, end = hit_first.tolist(), (hit_last + length).tolist()
     left: list[str] = []
     for low, data, start, count in _pieces(texts):
         for i in range(len(count)):
             d = low + i
             raw = data[start[i] : start[i] + count[i]]
-            on = bound[d] + np.flatnonzero(gone[bound[d] : bound[d + 1]])
-            more = slice(lo[d], lo[d + 1])
+            on = slice(lo[d], lo[d + 1])
             removed = spans = 0
-            if len(on) or lo[d] < lo[d + 1]:
-                mask = A.cover(
-                    len(raw), np.concatenate((every.first[on], hit_first[more])),
-                    np.concatenate((every.last[on], hit_last[more])) + length,
-                )
-                removed = int(mask.sum())
-                spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
-                raw = np.frombuffer(raw, np.uint8)[~mask].tobytes()
+            if lo[d] < lo[d + 1]:
+                raw, removed, spans = without(raw, first[on], end[on])
             if digest:
                 rows.append((None if ids[d] == NO_ID else int(ids[d]), int(count[i]), removed, spans, hashlib.sha256(raw).hexdigest()))
             else:
@@ -152,10 +175,16 @@ def _resolved(docs: DataFrame, length: int, gram: int, columns: list[str] | None
     pieces = stored(plain.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         A.on_groups(lambda a, b: _pieces_of(a, b, length, gram, key)), D.STATE
     ), "pieces")
-    told = told.unionByName(D.repeated(pieces, length, width, size))
+    gone = stored(pieces.where(F.col("part") == GONE).select(
+        "bucket", F.lit(D.HIT).alias("kind"), (F.length("row") / 8).cast("long").alias("n"), F.col("row").alias("passages"), F.col("at").alias("checks"), F.col("size").alias("docs")
+    ), "gone")
+    forget(told)
+    state = pieces.where(F.col("part") != GONE)
+    state.folder = pieces.folder
+    found = gone.unionByName(D.repeated(state, length, width, size))
     schema = ["doc_id", "text", "_rest"][: 2 + len(rest)] if columns else RESULT
-    return own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        A.on_groups(lambda a, b: _remove(a, b, length, gram, key, schema)), own.select(schema).schema if columns else RESULT
+    return own.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
+        A.on_groups(lambda a, b: _remove(a, b, length, schema)), own.select(schema).schema if columns else RESULT
     )
 
 

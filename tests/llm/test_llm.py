@@ -264,6 +264,39 @@ def test_doubling_in_turns(spark, monkeypatch):
     assert made == {"told-16": 4, **{f"{t}-{n}": 2 for t, n in (("rank", 16), ("told", 32), ("rank", 32), ("told", 50), ("rank", 50))}}
 
 
+@pytest.mark.parametrize("gram", [27, 28])
+def test_passages_without_a_common_window_are_not_doubled(spark, monkeypatch, gram):
+    """49 bytes in common are too few; with the key's gram and a half of the rest to a side, all windows are found."""
+    rng, sent, real = random.Random(gram), [], doubling.repeated
+    noise = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    monkeypatch.setattr(doubling, "repeated", lambda state, *a: sent.append(state.agg(F.sum(F.length("text"))).first()[0] or 0) or real(state, *a))
+
+    def run(size, often):
+        rows = []
+        for i in range(often):
+            common = noise(size)
+            rows += [(2 * i + j, noise(30 + i % 50) + common + noise(60)) for j in range(2)]
+        got = substrings.remove_substrings(spark.createDataFrame(rows, "doc_id long, text string"), gram=gram)
+        assert Counter(map(tuple, got.collect())) == without_substrings(rows)
+
+    run(36, 100)
+    assert sent.pop() == 0  # the gram and 8 bytes
+    run(50, 200)
+    run(51, 200)
+    assert all(sent)
+
+
+def test_bytes_without_ranges():
+    rng = random.Random(1)
+    for n in range(200):
+        raw = bytes(rng.randrange(256) for _ in range(n % 40))
+        first = [rng.randint(0, len(raw) - 1) for _ in range(n % 6)] if raw else []
+        end = [min(len(raw), x + rng.randint(1, 9)) for x in first]
+        off = [any(a <= i < b for a, b in zip(first, end, strict=True)) for i in range(len(raw))]
+        spans = sum(1 for i, x in enumerate(off) if x and not (i and off[i - 1]))
+        assert substrings.without(raw, first, end) == (bytes(c for c, x in zip(raw, off, strict=True) if not x), sum(off), spans)
+
+
 def test_equal_hashes_of_unequal_pairs(monkeypatch):
     monkeypatch.setattr(arrays, "mix", lambda h: h * np.uint64(0))
     a, b = np.array([1, 2, 1, 2, 1], np.uint64), np.array([7, 7, 7, 7, 8], np.uint64)
