@@ -10,7 +10,9 @@ the region's core, and each link has an end there. In a region, distances to the
 pivot are exact; documents within 0.25 link to it and so to each other's component. Core documents
 among them are compared with those beyond 0.25 in their triangle window and leave; by the triangle
 inequality only documents in the window around the rest's distances go on with the rest of the
-core, which is joined recursively with a new pivot until nothing is left.
+core, which is joined recursively with a new pivot until nothing is left. Regions of more than
+LOCAL_ROWS rows take a round over all data for each pivot, so only pivots that take many core
+documents along get one: see ended(). Each round's links are written, so that plans do not grow.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS = 5
 SHARE = 75
 #: Regions of at most so many rows are finished in one task.
 LOCAL_ROWS = 2048
+#: A larger region gets pivots until so many of them took fewer core documents than half of LOCAL_ROWS out of it.
+MISSES = 4
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +267,24 @@ def bridges(measured: DataFrame, items: DataFrame) -> DataFrame:
     return both.join(items, "doc_id").groupBy("region", "b_star", "b_others").applyInArrow(A.on_group(_bridged), EDGES)
 
 
+def ended(members: DataFrame, items: DataFrame) -> DataFrame:
+    """Links of regions that need no further round: small ones, those of a small core, and those whose pivots take few with them.
+
+    members: region, doc_id, core, n and n_core. Regions of more than LOCAL_ROWS rows are dealt into blocks of core documents and of
+    others; a task joins a block of core documents with another block. Each link has an end in the core, so some task has both ends.
+    """
+    half = max(1, LOCAL_ROWS // 2)
+    whole, core, others = f"n <= {LOCAL_ROWS}", f"ceil(n_core / {half})", f"ceil((n - n_core) / {half})"
+    blocks = members.selectExpr("region", "doc_id", "core", f"if({whole}, 1L, {core}) AS cores", f"if({whole}, 1L, {core} + {others}) AS blocks")
+    own = F.when(F.col("blocks") == 1, 0).when(F.col("core"), F.pmod(F.xxhash64("doc_id"), "cores")).otherwise(
+        F.col("cores") + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col("blocks") - F.col("cores"))))
+    pairs = blocks.select("region", "doc_id", "core", "blocks", own.alias("own"), F.explode(F.sequence(
+        F.lit(0).cast("long"), F.when(F.col("core"), F.col("blocks")).otherwise(F.col("cores")) - 1)).alias("met"))
+    return pairs.filter("own <> met OR blocks = 1").select(
+        "region", "doc_id", "core", F.least("own", "met").alias("b_core"), F.greatest("own", "met").alias("b_other")
+    ).join(items, "doc_id").groupBy("region", "b_core", "b_other").applyInArrow(A.on_group(_finish), EDGES)
+
+
 def links(found: DataFrame) -> DataFrame:
     """(a, b): linked representatives of unequal sets, enough to connect every component.
 
@@ -278,30 +300,33 @@ def links(found: DataFrame) -> DataFrame:
     prefixes = near.agg(F.sum(F.expr("octet_length(prefix) div 8"))).first()[0] or 0
     members = join_split(keys, pivots, ["key"], "n", prefixes).groupBy("region", "doc_id").agg(F.max("core").alias("core"))
     items = near.select("doc_id", "items")
-    edges = None
+    members = members.select("*", F.lit(None).cast("long").alias("before"), F.lit(0).alias("missed"))
+    folders = []
     while True:
         members = stored(members, "members")
+        half = max(1, LOCAL_ROWS // 2)
         sizes = members.groupBy("region").agg(
-            F.count("*").alias("n"), F.min(F.when(F.col("core"), F.col("doc_id"))).alias("pivot")
-        ).filter("pivot IS NOT NULL AND n > 1")
-        sized = members.join(sizes, "region")
-        small = sized.filter(F.col("n") <= LOCAL_ROWS).select("region", "doc_id", "core").join(items, "doc_id")
-        ended = small.groupBy("region").applyInArrow(A.on_group(_finish), EDGES)
-        edges = ended if edges is None else edges.unionByName(ended)
-        large = sized.filter(F.col("n") > LOCAL_ROWS).select("region", "doc_id", "core", "pivot")
-        if large.isEmpty():
-            return edges.distinct()
+            F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.min(F.when(F.col("core"), F.col("doc_id"))).alias("pivot"),
+            (F.max("missed") + F.when(F.max("before") - F.count_if("core") < half, 1).otherwise(0)).alias("missed"),
+        ).filter("pivot IS NOT NULL AND n > 1").withColumn(
+            "ends", F.expr(f"n <= {LOCAL_ROWS} OR n_core <= {half} OR missed >= {MISSES}"))
+        edges = ended(members.join(sizes.filter("ends").drop("pivot", "missed", "ends"), "region"), items)
+        going = sizes.filter("NOT ends").select("region", "pivot", F.col("n_core").alias("before"), "missed")
+        if going.isEmpty():
+            folders.append(stored(edges, "links").folder)
+            return found.sparkSession.read.schema(EDGES).parquet(*folders).distinct()
+        large = members.drop("before", "missed").join(going.select("region", "pivot"), "region")
         measured = stored(large.filter("doc_id <> pivot").join(items, "doc_id").join(
             items.select(F.col("doc_id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot"
         ).mapInArrow(A.on_batches(_measured), "region long, doc_id long, core boolean, pivot long, shared long, either long"), "measured")
         measured = measured.withColumn("linked", F.expr(f"100 * shared >= {SHARE} * either")).withColumn("d", F.expr("1 - shared / either"))
         edges = edges.unionByName(measured.filter("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        edges = edges.unionByName(bridges(measured, items))
+        folders.append(stored(edges.unionByName(bridges(measured, items)), "links").folder)
         rest = measured.filter("NOT (core AND linked)")
         window = rest.filter("core").groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
         members = rest.join(window, "region").filter(
             F.col("core") | F.col("d").between(F.col("low") - REACH - 1e-9, F.col("high") + REACH + 1e-9)
-        ).select("region", "doc_id", "core")
+        ).select("region", "doc_id", "core").join(going.select("region", "before", "missed"), "region")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -406,6 +406,23 @@ def test_jaccard_chains(spark, chains, local, monkeypatch):
     assert got == labels_of(sets)
 
 
+def test_jaccard_rounds(spark, monkeypatch):
+    """Regions of documents that share a phrase and are far apart end after a few pivots; what is left is joined block by block."""
+    monkeypatch.setattr(jaccard, "LOCAL_ROWS", 8)
+    rounds, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (rounds.append(name), stored(df, name))[1])
+    rng = random.Random(3)
+    phrases = [[f"p{i}x{j}" for j in range(20)] for i in range(24)]
+    texts = [a + b for i, a in enumerate(phrases) for b in phrases[i + 1 :]]
+    texts += [x[:-1] + [f"n{i}"] for i, x in enumerate(rng.sample(texts, 60))]
+    rng.shuffle(texts)
+    texts = [" ".join(x) for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == labels_of({i: shingles(t) for i, t in enumerate(texts)})
+    assert 3 <= rounds.count("members") <= 7
+
+
 @pytest.mark.parametrize("core_x", [False, True])
 def test_carve_tests_ended_core_documents(core_x):
     """The middle link of the chain 1 - 3 - 4 - 2, and one from a core document to another."""
